@@ -7,11 +7,17 @@ The ``pandas_udf`` forms serve parameter or summary frames of any length.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Ship the helpers below with the UDFs, so that executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INF = float("inf")
 
@@ -61,7 +67,7 @@ def with_gaussian_sigma(df: DataFrame, sensitivity: str, epsilon: str, delta: st
     """Add ``sigma`` to a parameter frame, solving once per distinct parameter row."""
     keys = [sensitivity, epsilon, delta]
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def solve(s: pd.Series, e: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([analytic_gaussian_sigma(*row) for row in zip(s, e, d)])
 
@@ -113,6 +119,6 @@ def correlation_p_value(rho: float, n: float) -> float:
     return regularised_beta(dof / 2.0, 0.5, dof / (dof + t_squared))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_value_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p_value(r, k) for r, k in zip(rho, n.astype(float))])

@@ -120,16 +120,41 @@ def evaluation_summary(
 def mechanism_comparison(summary: DataFrame) -> DataFrame:
     """Gaussian against Laplace per (query, epsilon), on the first metric column
     both sides have. Pairs missing on a side are in :func:`unmatched_pairs`."""
-    rows = primary_metrics(summary)
-    # Both sides of a query resolve the same metric column.
-    keys = ["query_num", "eps"]
-    gaussian = rows.where(F.col("mechanism") == "gaussian").select(
-        *keys, "epsilon", "metric_type", "primary_col", F.col("value").alias("gaussian_value")
+    columns = ["median_re", "mean_tvd", "tvd", "spearman_rho"]
+
+    def side(mechanism: str, prefix: str) -> DataFrame:
+        values = [
+            F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")).alias(f"{prefix}_{c}")
+            for c in columns
+        ]
+        return summary.where(F.col("mechanism") == mechanism).select(
+            "query_num", epsilon_number(F.col("epsilon")).alias("eps"),
+            F.col("epsilon").cast("string").alias(f"{prefix}_epsilon"),
+            F.col("metric_type").alias(f"{prefix}_type"), *values,
+        )
+
+    pairs = side("gaussian", "g").join(side("laplace", "l"), ["query_num", "eps"]).select(
+        "*", F.col("g_epsilon").alias("epsilon"), F.col("g_type").alias("metric_type")
     )
-    laplace = rows.where(F.col("mechanism") == "laplace").select(
-        *keys, F.col("primary_col").alias("l_col"), F.col("value").alias("laplace_value")
+    # The pivot metric where both sides have it, else the single-column one.
+    pivot = F.col("g_mean_tvd").isNotNull() & F.col("l_mean_tvd").isNotNull()
+    name = (
+        F.when(F.col("metric_type") == "RE", "median_re")
+        .when((F.col("metric_type") == "TVD") & pivot, "mean_tvd")
+        .when(F.col("metric_type") == "TVD", "tvd")
+        .when(F.col("metric_type") == "SPEARMAN", "spearman_rho")
     )
-    both = gaussian.join(laplace, keys).where(F.col("primary_col") == F.col("l_col"))
+    named = pairs.withColumn("primary_col", name)
+
+    def chosen(prefix: str) -> Column:
+        return F.coalesce(
+            *[F.when(F.col("primary_col") == c, F.col(f"{prefix}_{c}")) for c in columns]
+        )
+
+    both = named.select(
+        "query_num", "epsilon", "metric_type", "primary_col",
+        chosen("g").alias("gaussian_value"), chosen("l").alias("laplace_value"),
+    ).where(F.col("gaussian_value").isNotNull() & F.col("laplace_value").isNotNull())
     gap = F.col("gaussian_value") - F.col("laplace_value")
     gaussian_better = F.when(lower_is_better(F.col("metric_type")), gap < 0).otherwise(gap > 0)
     winner = (

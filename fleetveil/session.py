@@ -17,6 +17,7 @@ def local_session(app: str = "fleetveil", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FLEETVEIL_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():

@@ -56,6 +56,11 @@ def clip_upper(value: Column | str, cap: float, null_is_cap: bool = False) -> Co
     return clipped if null_is_cap else F.when(value.isNotNull(), clipped)
 
 
+def steady_round(value: Column | str, digits: int) -> Column:
+    """Round half up after dropping the last bits, which depend on summation order."""
+    return F.round(F.round(col(value), 9), digits)
+
+
 # Separates the parts of a joined key; does not occur in printable names.
 KEY_SEPARATOR = "\x1f"
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetveil.functions.exprs import steady_round
 from fleetveil.plans.metrics import passes
 from fleetveil.plans.registry import LOWER_IS_BETTER, PASS_THRESHOLD
 
@@ -101,18 +102,18 @@ def evaluation_summary(
     share = F.nullif(F.col("n_epsilons"), F.lit(0)).cast("double")
     return out.select(
         "query_num", "mechanism", "metric_type", "primary_col",
-        F.round("worst.value", 4).alias("worst_value"),
+        steady_round("worst.value", 4).alias("worst_value"),
         F.col("worst.epsilon").alias("worst_epsilon"),
-        F.round("best.value", 4).alias("best_value"),
+        steady_round("best.value", 4).alias("best_value"),
         F.col("best.epsilon").alias("best_epsilon"),
-        F.round("baseline_value", 4).alias("baseline_value"),
-        F.round("adaptive_threshold", 4).alias("adaptive_threshold"),
-        F.round("mean", 4).alias("mean_across_eps"),
-        F.round("std", 4).alias("std_across_eps"),
-        "n_pass_hard", F.round(F.col("n_pass_hard") / share, 4).alias("frac_pass_hard"),
+        steady_round("baseline_value", 4).alias("baseline_value"),
+        steady_round("adaptive_threshold", 4).alias("adaptive_threshold"),
+        steady_round("mean", 4).alias("mean_across_eps"),
+        steady_round("std", 4).alias("std_across_eps"),
+        "n_pass_hard", steady_round(F.col("n_pass_hard") / share, 4).alias("frac_pass_hard"),
         threshold[F.col("metric_type")].alias("pass_threshold"),
         "n_pass_adaptive",
-        F.round(F.col("n_pass_adaptive") / share, 4).alias("frac_pass_adaptive"),
+        steady_round(F.col("n_pass_adaptive") / share, 4).alias("frac_pass_adaptive"),
         "n_epsilons",
     )
 
@@ -162,9 +163,9 @@ def mechanism_comparison(summary: DataFrame) -> DataFrame:
     )
     return both.select(
         "query_num", "epsilon", "metric_type", "primary_col",
-        F.round("gaussian_value", 4).alias("gaussian_value"),
-        F.round("laplace_value", 4).alias("laplace_value"),
-        F.round(gap, 4).alias("difference"), winner.alias("winner"),
+        steady_round("gaussian_value", 4).alias("gaussian_value"),
+        steady_round("laplace_value", 4).alias("laplace_value"),
+        steady_round(gap, 4).alias("difference"), winner.alias("winner"),
     )
 
 
@@ -213,12 +214,12 @@ def utility_table(summary: DataFrame, published: bool = False) -> DataFrame:
     scores = utility_scores(primary_metrics(summary, published))
     detail = F.struct(
         "query_num", "metric_type", F.col("primary_col").alias("col"),
-        F.round("baseline", 4).alias("baseline"), F.round("value", 4).alias("current"),
-        F.round("score", 4).alias("utility_preserved"),
+        steady_round("baseline", 4).alias("baseline"), steady_round("value", 4).alias("current"),
+        steady_round("score", 4).alias("utility_preserved"),
     )
     return scores.groupBy("mechanism", "eps").agg(
-        F.round(F.avg("score"), 4).alias("mean_utility_preserved"),
-        F.round(F.min("score"), 4).alias("min_utility_preserved"),
+        steady_round(F.avg("score"), 4).alias("mean_utility_preserved"),
+        steady_round(F.min("score"), 4).alias("min_utility_preserved"),
         F.count(F.lit(1)).alias("n_queries_scored"),
         F.sort_array(F.collect_list(detail)).alias("per_query_detail"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetveil.functions.calibration import correlation_p_value_udf
+from fleetveil.functions.exprs import steady_round
 from fleetveil.operators.ranking import exact_median, full_rank, value_positions
 from fleetveil.plans.registry import PASS_THRESHOLD, ReleasedQuery
 from fleetveil.plans.release import Release
@@ -40,7 +41,7 @@ def median_relative_error(cells: DataFrame) -> DataFrame:
     # Rounded so that ties compare equal in every evaluation of the frame.
     errors = cells.withColumn("re", F.round(error, 12)).where(F.col("re").isNotNull())
     return exact_median(errors, "re", AT, "median_re").withColumn(
-        "median_re", F.round("median_re", 4)
+        "median_re", steady_round("median_re", 4)
     )
 
 
@@ -58,13 +59,13 @@ def total_variation(cells: DataFrame) -> DataFrame:
     gap = F.abs(normalised("true_value", "__t") - normalised("noisy_value", "__n"))
     return (
         cells.join(F.broadcast(sums), at).groupBy(*at)
-        .agg(F.round(F.sum(gap) / F.lit(2.0), 4).alias("tvd"))
+        .agg(steady_round(F.sum(gap) / F.lit(2.0), 4).alias("tvd"))
     )
 
 
 def pivot_variation(per_column: DataFrame) -> DataFrame:
     return per_column.groupBy(*AT).agg(
-        F.round(F.avg("tvd"), 4).alias("mean_tvd"), F.round(F.max("tvd"), 4).alias("max_tvd")
+        steady_round(F.avg("tvd"), 4).alias("mean_tvd"), steady_round(F.max("tvd"), 4).alias("max_tvd")
     )
 
 
@@ -84,8 +85,8 @@ def rank_correlation(ranks: DataFrame, x: str, y: str) -> DataFrame:
         correlation_p_value_udf(rho, F.col("n").cast("double"))
     )
     return out.select(
-        *AT, F.when(known, F.round(rho, 4)).alias("spearman_rho"),
-        F.when(known, F.round(F.nanvl(p, F.lit(None).cast("double")), 4)).alias("p_value"),
+        *AT, F.when(known, steady_round(rho, 4)).alias("spearman_rho"),
+        F.when(known, steady_round(F.nanvl(p, F.lit(None).cast("double")), 4)).alias("p_value"),
     )
 
 

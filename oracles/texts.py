@@ -319,6 +319,11 @@ def _metric_filter(metric: str) -> str:
     return " OR ".join(tests)
 
 
+def r4(x: str) -> str:
+    """Four digits, half up in decimal arithmetic."""
+    return f"CAST(round(CAST({x} AS DECIMAL(30, 9)), 4) AS DOUBLE)"
+
+
 _AVG_RANK = (
     "(rank() OVER (PARTITION BY {p} ORDER BY {v} {d}) "
     "+ (count(*) OVER (PARTITION BY {p}, {v}) - 1) / 2.0)"
@@ -328,7 +333,7 @@ _AVG_RANK = (
 def _rho(x: str, y: str) -> str:
     return (
         f"CASE WHEN count(*) < 2 THEN NULL WHEN var_pop({x}) = 0 OR var_pop({y}) = 0 THEN 0.0 "
-        f"ELSE round(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})), 4) END"
+        f"ELSE {r4(f'covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y}))')} END"
     )
 
 
@@ -342,17 +347,17 @@ _KIND = "CASE " + " ".join(
 
 CTES |= {
     "m_re": f"""
-        SELECT {_AT}, round(median(abs(true_value - noisy_value) / abs(true_value)), 4) AS median_re
+        SELECT {_AT}, {r4('median(abs(true_value - noisy_value) / abs(true_value))')} AS median_re
         FROM released WHERE true_value <> 0 AND ({_metric_filter('RE')}) GROUP BY ALL""",
     "m_tvd": f"""
-        SELECT {_AT}, col, round(sum(abs(true_value / t - noisy_value / n)) / 2, 4) AS tvd
+        SELECT {_AT}, col, {r4('sum(abs(true_value / t - noisy_value / n)) / 2')} AS tvd
         FROM (SELECT *, CASE WHEN sum(true_value) OVER w > 0 THEN sum(true_value) OVER w ELSE 1 END AS t,
                      CASE WHEN sum(noisy_value) OVER w > 0 THEN sum(noisy_value) OVER w ELSE 1 END AS n
               FROM released WHERE {_metric_filter('TVD')}
               WINDOW w AS (PARTITION BY {_AT}, col)) x
         GROUP BY {_AT}, col""",
     "m_pivot": f"""
-        SELECT {_AT}, round(avg(tvd), 4) AS mean_tvd, round(max(tvd), 4) AS max_tvd
+        SELECT {_AT}, {r4('avg(tvd)')} AS mean_tvd, {r4('max(tvd)')} AS max_tvd
         FROM m_tvd WHERE query_num IN (7, 8) GROUP BY ALL""",
     "m_rho": f"""
         SELECT {_AT}, {_rho('tr', 'nr')} AS spearman_rho
@@ -401,30 +406,30 @@ CTES |= {
                        WHEN lower THEN 1 - (value - b) / abs(b)
                        WHEN abs(b) >= 1e-9 THEN 1 - (b - value) / abs(b) END AS score
         FROM based WHERE NOT no_noise AND eps <= 1""",
-    "y_eval": """
+    "y_eval": f"""
         SELECT query_num, mechanism, metric_type, any_value(primary_col) AS primary_col,
                arg_max(value, (CASE WHEN lower THEN value ELSE -value END, -eps)) AS worst_value,
                arg_max(epsilon, (CASE WHEN lower THEN value ELSE -value END, -eps)) AS worst_epsilon,
                arg_min(value, (CASE WHEN lower THEN value ELSE -value END, eps)) AS best_value,
                arg_min(epsilon, (CASE WHEN lower THEN value ELSE -value END, eps)) AS best_epsilon,
-               max(b) AS baseline_value, round(avg(value), 4) AS mean_across_eps,
-               round(stddev_samp(value), 4) AS std_across_eps,
+               max(b) AS baseline_value, {r4('avg(value)')} AS mean_across_eps,
+               {r4('stddev_samp(value)')} AS std_across_eps,
                count(*) FILTER (WHERE ok AND NOT no_noise) AS n_pass_hard,
                count(*) FILTER (WHERE NOT no_noise AND CASE WHEN lower THEN value <= b / 0.9
                                 ELSE value >= b * 0.9 END) AS n_pass_adaptive,
                count(*) FILTER (WHERE NOT no_noise) AS n_epsilons
         FROM based GROUP BY query_num, mechanism, metric_type""",
-    "y_cmp": """
+    "y_cmp": f"""
         SELECT g.query_num, g.epsilon, g.eps, g.metric_type, g.primary_col, g.lower, g.threshold,
-               g.no_noise, round(g.value, 4) AS gaussian_value, round(l.value, 4) AS laplace_value,
-               round(g.value - l.value, 4) AS difference,
+               g.no_noise, {r4('g.value')} AS gaussian_value, {r4('l.value')} AS laplace_value,
+               {r4('g.value - l.value')} AS difference,
                CASE WHEN abs(g.value - l.value) < 1e-7 THEN 'tie'
                     WHEN (g.value < l.value) = g.lower THEN 'gaussian' ELSE 'laplace' END AS winner
         FROM judged g JOIN judged l ON g.query_num = l.query_num AND g.epsilon = l.epsilon
         WHERE g.mechanism = 'gaussian' AND l.mechanism = 'laplace'""",
-    "y_table": """
-        SELECT mechanism, eps, round(avg(score), 4) AS mean_utility_preserved,
-               round(min(score), 4) AS min_utility_preserved, count(*) AS n_queries_scored
+    "y_table": f"""
+        SELECT mechanism, eps, {r4('avg(score)')} AS mean_utility_preserved,
+               {r4('min(score)')} AS min_utility_preserved, count(*) AS n_queries_scored
         FROM utility WHERE score IS NOT NULL GROUP BY mechanism, eps""",
     "y_pick": """
         SELECT mechanism, coalesce(min(eps) FILTER (WHERE mean_utility_preserved >= 0.8),

@@ -43,8 +43,14 @@ def gaussian_delta(sigma: float, sensitivity: float, epsilon: float) -> float:
     return normal_cdf(half - shift) - math.exp(epsilon) * normal_cdf(-half - shift)
 
 
-def analytic_gaussian_sigma(sensitivity: float, epsilon: float, delta: float) -> float:
-    """Smallest sigma that is (epsilon, delta)-private, never above the classic bound."""
+def analytic_gaussian_sigma(
+    sensitivity: float, epsilon: float, delta: float, cap_at_classic: bool = False
+) -> float:
+    """Smallest sigma that is (epsilon, delta)-private.
+
+    Up to epsilon 1 it lies below the classic bound. Beyond, the classic formula can
+    fall short of the guarantee; ``cap_at_classic`` restores the published cap there.
+    """
     if epsilon == INF or sensitivity == 0.0:
         return 0.0
     if epsilon == 0.0:
@@ -60,7 +66,8 @@ def analytic_gaussian_sigma(sensitivity: float, epsilon: float, delta: float) ->
             high = middle
         else:
             low = middle
-    return min(high * sensitivity, classic)
+    sigma = high * sensitivity
+    return min(sigma, classic) if cap_at_classic else sigma
 
 
 def with_gaussian_sigma(df: DataFrame, sensitivity: str, epsilon: str, delta: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,7 +39,7 @@ def sum_when(condition: Column, value: Column | str) -> Column:
 
 
 def row_total(columns: list[str]) -> Column:
-    return reduce(add, [F.col(c) for c in columns])
+    return F.expr(" + ".join(f"`{c}`" for c in columns))
 
 
 def clip_upper(value: Column | str, cap: float, null_is_cap: bool = False) -> Column:
@@ -56,6 +53,16 @@ def clip_upper(value: Column | str, cap: float, null_is_cap: bool = False) -> Co
     return clipped if null_is_cap else F.when(value.isNotNull(), clipped)
 
 
+def round_to(value: Column | str, digits: int = 0) -> Column:
+    """Round half away from zero in double arithmetic, as the source engine does.
+
+    Spark's own ``round`` works on the shortest decimal text of the double and
+    differs on values such as 1.005.
+    """
+    power = float(10**digits)
+    return F.round(col(value).cast("double") * F.lit(power)) / F.lit(power)
+
+
 def steady_round(value: Column | str, digits: int) -> Column:
     """Round half up after dropping the last bits, which depend on summation order."""
     return F.round(F.round(col(value), 9), digits)

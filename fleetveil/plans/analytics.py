@@ -14,7 +14,14 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetveil.functions.exprs import percent_of, ratio, row_total, sum_when, weighted_mean
+from fleetveil.functions.exprs import (
+    percent_of,
+    ratio,
+    round_to,
+    row_total,
+    sum_when,
+    weighted_mean,
+)
 from fleetveil.operators.joins import fan_out_weighted_means, valid_time_join
 from fleetveil.operators.ranking import full_rank, top_ranked
 from fleetveil.operators.units import (
@@ -101,8 +108,8 @@ def display_durations(t: Tables, more_than: int = 50) -> DataFrame:
     )
     return out.select(
         "connection_type", "resolution", "number_of_systems",
-        F.round("ac", 2).alias("average_duration_on_ac_in_seconds"),
-        F.round("dc", 2).alias("average_duration_on_dc_in_seconds"),
+        round_to("ac", 2).alias("average_duration_on_ac_in_seconds"),
+        round_to("dc", 2).alias("average_duration_on_dc_in_seconds"),
     )
 
 
@@ -114,7 +121,7 @@ def display_vendor_share(t: Tables) -> DataFrame:
     )
     return per_vendor.crossJoin(F.broadcast(total)).withColumn(
         "percentage_of_systems",
-        F.round(percent_of("number_of_systems", "total_number_of_systems"), 2),
+        round_to(percent_of("number_of_systems", "total_number_of_systems"), 2),
     )
 
 
@@ -162,10 +169,10 @@ def sleep_by_cpu(t: Tables, more_than: int = 100) -> DataFrame:
     state = fold_state(state.join(cpu, "guid"), [*group, "guid"], measures)
 
     def mean(name: str) -> Column:
-        return F.round(ratio(F.sum(f"{name}__num"), F.sum(f"{name}__den")), 2)
+        return round_to(ratio(F.sum(f"{name}__num"), F.sum(f"{name}__den")), 2)
 
     def share(name: str) -> Column:
-        return F.round(percent_of(F.sum(f"{name}__num"), F.sum("total__num")), 2)
+        return round_to(percent_of(F.sum(f"{name}__num"), F.sum("total__num")), 2)
 
     out = state.groupBy(*group).agg(
         F.count(F.lit(1)).alias("number_of_systems"),
@@ -187,12 +194,11 @@ def category_totals_per_device(t: Tables) -> DataFrame:
 
 
 def weighted_category_shares() -> list[Column]:
-    """Day-weighted mean share of each category, in percent."""
+    """Day-weighted mean share of each category, in percent, to three digits."""
     return [
-        F.round(
-            F.lit(100.0)
-            * ratio(F.sum(F.col("days") * ratio(c, "total_duration")), F.sum("days")),
-            3,
+        F.expr(
+            f"round(100 * sum(days * {c} / nullif(total_duration, 0)) / nullif(sum(days), 0) * 1000)"
+            " / 1000D"
         ).alias(c)
         for c in CATEGORY_COLUMNS
     ]
@@ -234,9 +240,9 @@ def browser_shares(t: Tables) -> DataFrame:
     shares = per_browser.crossJoin(F.broadcast(devices)).crossJoin(F.broadcast(sums))
     return shares.select(
         "browser",
-        F.round(percent_of("num_systems", "total_systems"), 2).alias("percent_systems"),
-        F.round(percent_of("num_instances", "tot_instances"), 2).alias("percent_instances"),
-        F.round(percent_of("sum_duration", "tot_duration"), 2).alias("percent_duration"),
+        round_to(percent_of("num_systems", "total_systems"), 2).alias("percent_systems"),
+        round_to(percent_of("num_instances", "tot_instances"), 2).alias("percent_instances"),
+        round_to(percent_of("sum_duration", "tot_duration"), 2).alias("percent_duration"),
     )
 
 
@@ -247,7 +253,7 @@ def ram_histogram(t: Tables) -> DataFrame:
     return out.select(
         (F.col("sysinfo_ram") / F.pow(F.lit(2.0), F.lit(10.0))).alias("ram_gb"),
         "number_of_systems",
-        F.round("avg_percentage_used").alias("avg_percentage_used"),
+        round_to("avg_percentage_used").alias("avg_percentage_used"),
     )
 
 
@@ -295,7 +301,7 @@ def apps_by_focal_time(t: Tables, k: int = 10) -> DataFrame:
         F.avg("totalsecfocal_day").alias("average_focal_sec_per_day")
     )
     top = top_ranked(means, F.col("average_focal_sec_per_day"), k, ["app_type"])
-    return top.withColumn("average_focal_sec_per_day", F.round("average_focal_sec_per_day"))
+    return top.withColumn("average_focal_sec_per_day", round_to("average_focal_sec_per_day"))
 
 
 def apps_by_devices(t: Tables, k: int = 10) -> DataFrame:
@@ -362,7 +368,7 @@ def top_wait_processes_by_type(t: Tables, k: int = 10) -> DataFrame:
         per_process, F.col("total_duration_sec_per_instance"), k, ["event_name", "acdc"]
     )
     return top.withColumn(
-        "total_duration_sec_per_instance", F.round("total_duration_sec_per_instance", 2)
+        "total_duration_sec_per_instance", round_to("total_duration_sec_per_instance", 2)
     )
 
 
@@ -398,7 +404,7 @@ def wait_processes_by_power_source(
     by_source = folded.groupBy("proc_name", "acdc").agg(
         F.sum("instances").alias("n"), F.sum("duration_ms").alias("ms")
     )
-    seconds = F.round(ratio(F.col("ms") / F.lit(1000.0), "n"), 2)
+    seconds = round_to(ratio(F.col("ms") / F.lit(1000.0), "n"), 2)
     return by_source.join(top, "proc_name").groupBy("proc_name").agg(
         sum_when(F.col("acdc") == "AC", seconds).alias("ac_duration"),
         sum_when(F.col("acdc") == "DC", seconds).alias("dc_duration"),

@@ -12,7 +12,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetveil.functions.exprs import clip_upper, percent_of, ratio, row_total
+from fleetveil.functions.exprs import clip_upper, percent_of, ratio, round_to, row_total
 from fleetveil.operators.ranking import full_rank, top_ranked
 from fleetveil.operators.units import (
     Measure,
@@ -54,7 +54,7 @@ def _units(
 
 def _mean(name: str, digits: int | None = None) -> Column:
     mean = F.avg(name)
-    return (mean if digits is None else F.round(mean, digits)).alias(name)
+    return (mean if digits is None else round_to(mean, digits)).alias(name)
 
 
 def battery_by_country(t: Tables, limits: Limits) -> DataFrame:
@@ -93,7 +93,7 @@ def display_vendor_share(t: Tables, limits: Limits) -> DataFrame:
     known = t["system_display_devices"].where(F.col("vendor_name").isNotNull())
     counts = distinct_units(known, ["vendor_name"], "guid")
     totalled = with_total(counts, total_number_of_systems=F.sum("number_of_systems"))
-    share = F.round(percent_of("number_of_systems", "total_number_of_systems"), 2)
+    share = round_to(percent_of("number_of_systems", "total_number_of_systems"), 2)
     return totalled.withColumn("percentage_of_systems", share)
 
 
@@ -128,10 +128,10 @@ def sleep_by_cpu(t: Tables, limits: Limits) -> DataFrame:
         t["system_on_off_suspend_time_day"], group, measures, limits, t["system_cpu_metadata"]
     ).withColumn("total", row_total(states))
     outputs = [
-        *[F.round(F.avg(s), 2).alias(f"avg_{k}_time") for k, s in SLEEP_STATES.items()],
-        F.round(F.avg("total"), 2).alias("avg_total_time"),
+        *[round_to(F.avg(s), 2).alias(f"avg_{k}_time") for k, s in SLEEP_STATES.items()],
+        round_to(F.avg("total"), 2).alias("avg_total_time"),
         *[
-            F.round(percent_of(F.sum(s), F.sum("total")), 2).alias(f"avg_pcnt_{s}")
+            round_to(percent_of(F.sum(s), F.sum("total")), 2).alias(f"avg_pcnt_{s}")
             for s in states
         ],
     ]
@@ -178,7 +178,7 @@ def browser_shares(t: Tables, limits: Limits) -> DataFrame:
     ).withColumnRenamed("number_of_systems", "systems")
     totalled = with_total(per_browser, **{f"all_{p}": F.sum(p) for p in parts})
     return totalled.select(
-        "browser", *[F.round(percent_of(p, f"all_{p}"), 2).alias(f"percent_{p}") for p in parts]
+        "browser", *[round_to(percent_of(p, f"all_{p}"), 2).alias(f"percent_{p}") for p in parts]
     )
 
 

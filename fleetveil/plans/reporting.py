@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from fleetveil.functions.exprs import (
     half_even_int,
     percent_of,
-    ratio,
+    round_to,
     sentinel_null,
-    sum_when,
     weighted_mean,
 )
 from fleetveil.plans.categories import CATEGORIES, CATEGORY_COLUMNS
@@ -143,17 +142,21 @@ def network_consumption(src: Tables) -> DataFrame:
     )
 
 
-def _in_category(parent: str, sub: str | None) -> Column:
-    hit = F.col("parent_category") == parent
-    return hit if sub is None else hit & (F.col("sub_category") == sub)
+def category_sql(parent: str, sub: str | None) -> str:
+    """SQL condition that a usage row belongs to a category."""
+    hit = f"parent_category = '{parent}'"
+    return hit if sub is None else f"{hit} AND sub_category = '{sub}'"
 
 
 def web_category_pivots(src: Tables, measures=WEB_MEASURES) -> DataFrame:
     """All category sums of all measures per device and day, in one scan and one
     shuffle; columns are named ``<measure>__<category>``."""
+    # SQL text keeps the many columns cheap to build on the driver.
     return src["web_usage"].groupBy("guid", "dt").agg(
         *[
-            sum_when(_in_category(parent, sub), measure).alias(f"{measure}__{name}")
+            F.expr(
+                f"sum(CASE WHEN {category_sql(parent, sub)} THEN {measure} ELSE 0 END)"
+            ).alias(f"{measure}__{name}")
             for measure in measures
             for (parent, sub), name in zip(CATEGORIES, CATEGORY_COLUMNS)
         ]
@@ -201,7 +204,7 @@ def memory_utilization(src: Tables) -> DataFrame:
         "guid", "dt", (F.col("nrs") * F.col("copies")).alias("nrs"), "avg_free_ram",
         "sysinfo_ram",
         used.alias("utilized_ram"),
-        F.round(percent_of(used, "sysinfo_ram")).alias("avg_percentage_used"),
+        round_to(percent_of(used, "sysinfo_ram")).alias("avg_percentage_used"),
     )
 
 

@@ -21,8 +21,9 @@ from fleetveil.plans.reporting import reporting_tables, web_category_pivots
 from fleetveil.operators.noise import Policy, noise_plan
 from fleetveil.session import stage
 from fleetveil.sources.bindings import telemetry_sources
+from fleetveil.sources.readers import SourceTable, folder_bytes, read_sampled
 from oracles.build import shape
-from oracles.cases import CASES, COVERAGE, PUBLISHED_POLICY, Q_OPTIONS, oracle
+from oracles.cases import CASES, COVERAGE, PUBLISHED_POLICY, Q_OPTIONS, ROWS_ONLY, oracle
 from oracles.texts import DEMO_LIMITS, DEMO_POLICY, DEMO_REGISTRY, DEMO_SEED
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -162,6 +163,13 @@ def _generalisation(rows: DataFrame) -> DataFrame:
     )
 
 
+def _sized_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items, sampled down to about a quarter of the stored bytes."""
+    source = SourceTable("lineitem", f"{folder}/lineitem.parquet")
+    target = folder_bytes(spark, source.folder) // 4
+    return read_sampled(spark, source, target, seed=7)[0]
+
+
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r01_display_devices": _reporting("system_display_devices"),
     "r02_userwait": _reporting("system_userwait"),
@@ -232,6 +240,12 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "b06_generalisation": _of_summary(_generalisation),
     "b07_pareto": _of_summary(chart_data.pareto_points),
+    "b08_axis": _of_summary(chart_data.axis_ticks),
+    "b09_single_epsilon": _of_summary(
+        lambda rows: _flags_as_int(chart_data.is_single_epsilon(rows), "single_epsilon")
+    ),
+    "s04_sized_sample": _sized_sample,
+    "m06_p_values": _of_summary(lambda rows: rows.where("spearman_rho IS NOT NULL")),
 }
 for _name in CASES:
     if _name.startswith("q"):
@@ -240,6 +254,9 @@ for _name in CASES:
         _RUNS[_name] = _exact_release(int(_name[1:3]))
 
 
+SPECS = {**{name: spec for name, (spec, _) in CASES.items()}, **ROWS_ONLY}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Battery use by country with every device's contribution capped."""
     limits = Limits(min_units={**DEMO_LIMITS.min_units, 1: 5})
@@ -248,9 +265,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def registered(name: str):
-        return lambda spark, folder: shape(_RUNS[name](spark, folder), CASES[name][0])
+        return lambda spark, folder: shape(_RUNS[name](spark, folder), SPECS[name])
 
-    return {name: registered(name) for name in CASES}
+    return {name: registered(name) for name in SPECS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,18 +54,12 @@ def clip_upper(value: Column | str, cap: float, null_is_cap: bool = False) -> Co
 
 
 def round_to(value: Column | str, digits: int = 0) -> Column:
-    """Round half away from zero in double arithmetic, as the source engine does.
+    """Round half away from zero in decimal terms.
 
-    Spark's own ``round`` works on the shortest decimal text of the double and
-    differs on values such as 1.005.
+    The last bits of a double sum depend on the order of its terms and would decide
+    a tie differently from run to run; they are dropped first.
     """
-    power = float(10**digits)
-    return F.round(col(value).cast("double") * F.lit(power)) / F.lit(power)
-
-
-def steady_round(value: Column | str, digits: int) -> Column:
-    """Round half up after dropping the last bits, which depend on summation order."""
-    return F.round(F.round(col(value), 9), digits)
+    return F.round(F.round(col(value).cast("double"), 9), digits)
 
 
 # Separates the parts of a joined key; does not occur in printable names.

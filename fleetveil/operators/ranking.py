@@ -39,10 +39,29 @@ def top_ranked(
 
 
 def numeric_bucket(value: Column) -> Column:
-    """Monotone bucket number of a double; equal values share a bucket."""
+    """Monotone bucket number of a double; equal values share a bucket.
+
+    The power of two below the value, then equal steps up to the next one. An
+    exponent that the logarithm rounds one off gives the same bucket, so the number
+    does not depend on the last bit of a math library. Infinities and NaN, which
+    Spark orders last, get buckets of their own.
+    """
     value = value.cast("double")
-    step = F.floor(F.log2(F.abs(value)) * F.lit(BUCKETS_PER_OCTAVE)) + F.lit(_OCTAVE_SHIFT)
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * step).cast("bigint")
+    size = F.abs(value)
+    finite = size < F.lit(float("inf"))
+    exponent = F.least(F.floor(F.log2(F.when(finite & (size > 0), size))), F.lit(1023))
+    mantissa = size / F.pow(F.lit(2.0), exponent.cast("double"))
+    step = exponent * F.lit(BUCKETS_PER_OCTAVE) + F.floor(
+        (mantissa - F.lit(1.0)) * F.lit(float(BUCKETS_PER_OCTAVE))
+    )
+    ranked = F.when(finite, step + F.lit(_OCTAVE_SHIFT)).otherwise(F.lit(3 * _OCTAVE_SHIFT))
+    return (
+        F.when(F.isnan(value), F.lit(4 * _OCTAVE_SHIFT))
+        .when(value == 0, F.lit(0))
+        .when(value < 0, -ranked)
+        .otherwise(ranked)
+        .cast("bigint")
+    )
 
 
 def text_bucket(value: Column) -> Column:
@@ -91,41 +110,57 @@ def value_positions(
     )
 
 
-def full_rank(
+def rank_table(
     df: DataFrame,
     value: str,
     name: str,
     group: Sequence[str] = (),
     descending: bool = True,
     average: bool = False,
-    nulls: bool = True,
-    salts: int = 8,
 ) -> DataFrame:
-    """Add the rank of every row: standard (1, 1, 3) or the average of tied places.
-
-    NULL values come last (``nulls=False`` skips that step where none occur). The ranks of the distinct values are joined back with
-    the rows spread over ``salts`` keys, so a value shared by a third of the rows
-    does not land in one task.
-    """
-    group = list(group)
-    places = value_positions(df, value, group, descending)
+    """(group, value, rank) of the distinct values: the standard rank (1, 1, 3) or
+    the average of tied places."""
     rank = F.col("before") + F.lit(1)
     if average:
         rank = rank + (F.col("n") - F.lit(1)) / F.lit(2.0)
-    ranks = places.select(*group, value, rank.alias(name)).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return value_positions(df, value, group, descending).select(
+        *group, value, rank.alias(name)
     )
+
+
+def attach_rank(
+    df: DataFrame, ranks: DataFrame, value: str, name: str, group: Sequence[str] = (),
+    salts: int = 8,
+) -> DataFrame:
+    """Join a :func:`rank_table` back to the rows. The rows are spread over ``salts``
+    keys, so a value shared by a third of them does not land in one task."""
+    spread = ranks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    left, right = rows.alias("l"), ranks.alias("r")
+    left, right = rows.alias("l"), spread.alias("r")
     same = (F.col("l.__salt") == F.col("r.__salt")) & (
         F.col(f"l.{value}") == F.col(f"r.{value}")
     )
     for g in group:
         same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    ranked = left.join(right, same, "left").select(
+    return left.join(right, same, "left").select(
         *[F.col(f"l.{c}").alias(c) for c in df.columns], F.col(f"r.{name}").alias(name)
     )
-    return _rank_nulls(df, ranked, value, name, group, average) if nulls else ranked
+
+
+def full_rank(
+    df: DataFrame,
+    value: str,
+    name: str,
+    group: Sequence[str] = (),
+    descending: bool = True,
+    average: bool = False,
+    nulls: bool = True,
+) -> DataFrame:
+    """Add the rank of every row. NULL values come last (``nulls=False`` skips that
+    step where none occur)."""
+    ranks = rank_table(df, value, name, group, descending, average)
+    ranked = attach_rank(df, ranks, value, name, group)
+    return _rank_nulls(df, ranked, value, name, list(group), average) if nulls else ranked
 
 
 def _rank_nulls(

@@ -197,8 +197,8 @@ def weighted_category_shares() -> list[Column]:
     """Day-weighted mean share of each category, in percent, to three digits."""
     return [
         F.expr(
-            f"round(100 * sum(days * {c} / nullif(total_duration, 0)) / nullif(sum(days), 0) * 1000)"
-            " / 1000D"
+            "round(round("
+            f"100 * sum(days * {c} / nullif(total_duration, 0)) / nullif(sum(days), 0), 9), 3)"
         ).alias(c)
         for c in CATEGORY_COLUMNS
     ]
@@ -349,8 +349,12 @@ def _is_wait() -> Column:
     return ~F.col("proc_name").isin(NON_PROCESSES) & ~F.col("event_name").isin(NON_WAIT_EVENTS)
 
 
+def _seconds() -> Column:
+    return F.col("total_duration_ms") / F.lit(1000.0)
+
+
 def _seconds_per_instance() -> Column:
-    return ratio(F.sum("total_duration_ms") / F.lit(1000.0), F.sum("number_of_instances"))
+    return ratio(F.sum(_seconds()), F.sum("number_of_instances"))
 
 
 def top_wait_processes(t: Tables, k: int = 10) -> DataFrame:
@@ -386,25 +390,25 @@ def wait_processes_by_power_source(
         .groupBy("proc_name", "acdc", "guid")
         .agg(
             F.sum("number_of_instances").alias("instances"),
-            F.sum("total_duration_ms").alias("duration_ms"),
+            F.sum(_seconds()).alias("duration_s"),
             F.sum(F.when(waits, F.col("number_of_instances"))).alias("wait_instances"),
-            F.sum(F.when(waits, F.col("total_duration_ms"))).alias("wait_ms"),
+            F.sum(F.when(waits, _seconds())).alias("wait_s"),
         )
     )
     eligible = (
         folded.where(F.col("wait_instances").isNotNull())
         .groupBy("proc_name", "guid")
-        .agg(F.sum("wait_instances").alias("n"), F.sum("wait_ms").alias("ms"))
+        .agg(F.sum("wait_instances").alias("n"), F.sum("wait_s").alias("s"))
         .groupBy("proc_name")
-        .agg(F.sum("n").alias("n"), F.sum("ms").alias("ms"), F.count("guid").alias("devices"))
+        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("guid").alias("devices"))
         .where((F.col("n") > min_instances) & (F.col("devices") > min_devices))
-        .withColumn("seconds", ratio(F.col("ms") / F.lit(1000.0), "n"))
+        .withColumn("seconds", ratio("s", "n"))
     )
     top = top_ranked(eligible, F.col("seconds"), k).select("proc_name")
     by_source = folded.groupBy("proc_name", "acdc").agg(
-        F.sum("instances").alias("n"), F.sum("duration_ms").alias("ms")
+        F.sum("instances").alias("n"), F.sum("duration_s").alias("s")
     )
-    seconds = round_to(ratio(F.col("ms") / F.lit(1000.0), "n"), 2)
+    seconds = round_to(ratio("s", "n"), 2)
     return by_source.join(top, "proc_name").groupBy("proc_name").agg(
         sum_when(F.col("acdc") == "AC", seconds).alias("ac_duration"),
         sum_when(F.col("acdc") == "DC", seconds).alias("dc_duration"),

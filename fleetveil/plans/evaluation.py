@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetveil.functions.exprs import steady_round
+from fleetveil.functions.exprs import round_to
 from fleetveil.plans.metrics import passes
 from fleetveil.plans.registry import LOWER_IS_BETTER, PASS_THRESHOLD
 
@@ -102,18 +102,18 @@ def evaluation_summary(
     share = F.nullif(F.col("n_epsilons"), F.lit(0)).cast("double")
     return out.select(
         "query_num", "mechanism", "metric_type", "primary_col",
-        steady_round("worst.value", 4).alias("worst_value"),
+        round_to("worst.value", 4).alias("worst_value"),
         F.col("worst.epsilon").alias("worst_epsilon"),
-        steady_round("best.value", 4).alias("best_value"),
+        round_to("best.value", 4).alias("best_value"),
         F.col("best.epsilon").alias("best_epsilon"),
-        steady_round("baseline_value", 4).alias("baseline_value"),
-        steady_round("adaptive_threshold", 4).alias("adaptive_threshold"),
-        steady_round("mean", 4).alias("mean_across_eps"),
-        steady_round("std", 4).alias("std_across_eps"),
-        "n_pass_hard", steady_round(F.col("n_pass_hard") / share, 4).alias("frac_pass_hard"),
+        round_to("baseline_value", 4).alias("baseline_value"),
+        round_to("adaptive_threshold", 4).alias("adaptive_threshold"),
+        round_to("mean", 4).alias("mean_across_eps"),
+        round_to("std", 4).alias("std_across_eps"),
+        "n_pass_hard", round_to(F.col("n_pass_hard") / share, 4).alias("frac_pass_hard"),
         threshold[F.col("metric_type")].alias("pass_threshold"),
         "n_pass_adaptive",
-        steady_round(F.col("n_pass_adaptive") / share, 4).alias("frac_pass_adaptive"),
+        round_to(F.col("n_pass_adaptive") / share, 4).alias("frac_pass_adaptive"),
         "n_epsilons",
     )
 
@@ -163,9 +163,9 @@ def mechanism_comparison(summary: DataFrame) -> DataFrame:
     )
     return both.select(
         "query_num", "epsilon", "metric_type", "primary_col",
-        steady_round("gaussian_value", 4).alias("gaussian_value"),
-        steady_round("laplace_value", 4).alias("laplace_value"),
-        steady_round(gap, 4).alias("difference"), winner.alias("winner"),
+        round_to("gaussian_value", 4).alias("gaussian_value"),
+        round_to("laplace_value", 4).alias("laplace_value"),
+        round_to(gap, 4).alias("difference"), winner.alias("winner"),
     )
 
 
@@ -214,12 +214,12 @@ def utility_table(summary: DataFrame, published: bool = False) -> DataFrame:
     scores = utility_scores(primary_metrics(summary, published))
     detail = F.struct(
         "query_num", "metric_type", F.col("primary_col").alias("col"),
-        steady_round("baseline", 4).alias("baseline"), steady_round("value", 4).alias("current"),
-        steady_round("score", 4).alias("utility_preserved"),
+        round_to("baseline", 4).alias("baseline"), round_to("value", 4).alias("current"),
+        round_to("score", 4).alias("utility_preserved"),
     )
     return scores.groupBy("mechanism", "eps").agg(
-        steady_round(F.avg("score"), 4).alias("mean_utility_preserved"),
-        steady_round(F.min("score"), 4).alias("min_utility_preserved"),
+        round_to(F.avg("score"), 4).alias("mean_utility_preserved"),
+        round_to(F.min("score"), 4).alias("min_utility_preserved"),
         F.count(F.lit(1)).alias("n_queries_scored"),
         F.sort_array(F.collect_list(detail)).alias("per_query_detail"),
     )

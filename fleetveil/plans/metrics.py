@@ -13,10 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetveil.functions.calibration import correlation_p_value_udf
-from fleetveil.functions.exprs import steady_round
-from fleetveil.operators.ranking import exact_median, full_rank, value_positions
+from fleetveil.functions.exprs import round_to
+from fleetveil.operators.ranking import (
+    attach_rank,
+    exact_median,
+    full_rank,
+    rank_table,
+    value_positions,
+)
 from fleetveil.plans.registry import PASS_THRESHOLD, ReleasedQuery
 from fleetveil.plans.release import Release
+from fleetveil.session import stage
 
 AT = ["query_num", "mechanism", "variant", "epsilon"]
 
@@ -41,7 +48,7 @@ def median_relative_error(cells: DataFrame) -> DataFrame:
     # Rounded so that ties compare equal in every evaluation of the frame.
     errors = cells.withColumn("re", F.round(error, 12)).where(F.col("re").isNotNull())
     return exact_median(errors, "re", AT, "median_re").withColumn(
-        "median_re", steady_round("median_re", 4)
+        "median_re", round_to("median_re", 4)
     )
 
 
@@ -59,13 +66,13 @@ def total_variation(cells: DataFrame) -> DataFrame:
     gap = F.abs(normalised("true_value", "__t") - normalised("noisy_value", "__n"))
     return (
         cells.join(F.broadcast(sums), at).groupBy(*at)
-        .agg(steady_round(F.sum(gap) / F.lit(2.0), 4).alias("tvd"))
+        .agg(round_to(F.sum(gap) / F.lit(2.0), 4).alias("tvd"))
     )
 
 
 def pivot_variation(per_column: DataFrame) -> DataFrame:
     return per_column.groupBy(*AT).agg(
-        steady_round(F.avg("tvd"), 4).alias("mean_tvd"), steady_round(F.max("tvd"), 4).alias("max_tvd")
+        round_to(F.avg("tvd"), 4).alias("mean_tvd"), round_to(F.max("tvd"), 4).alias("max_tvd")
     )
 
 
@@ -85,15 +92,18 @@ def rank_correlation(ranks: DataFrame, x: str, y: str) -> DataFrame:
         correlation_p_value_udf(rho, F.col("n").cast("double"))
     )
     return out.select(
-        *AT, F.when(known, steady_round(rho, 4)).alias("spearman_rho"),
-        F.when(known, steady_round(F.nanvl(p, F.lit(None).cast("double")), 4)).alias("p_value"),
+        *AT, F.when(known, round_to(rho, 4)).alias("spearman_rho"),
+        F.when(known, round_to(F.nanvl(p, F.lit(None).cast("double")), 4)).alias("p_value"),
     )
 
 
 def spearman_numeric(cells: DataFrame) -> DataFrame:
     """Average ranks, descending, of true and noisy values."""
-    ranked = full_rank(cells, "true_value", "true_rank", AT, average=True, nulls=False)
-    ranked = full_rank(ranked, "noisy_value", "noisy_rank", AT, average=True, nulls=False)
+    ranked = cells
+    for side in ("true", "noisy"):
+        value, name = f"{side}_value", f"{side}_rank"
+        ranks = rank_table(cells, value, name, AT, average=True)
+        ranked = attach_rank(ranked, ranks, value, name, AT)
     return rank_correlation(ranked, "true_rank", "noisy_rank")
 
 
@@ -111,6 +121,8 @@ def spearman_categorical(winners: DataFrame) -> DataFrame:
     scored = located.join(labels, [*AT, "noisy_item"], "left").withColumn(
         "label_position", F.coalesce("label_position", "total").cast("long")
     )
+    # Several branches read the label positions: fix them once.
+    scored = stage(scored)
     ranked = full_rank(
         scored, "label_position", "label_rank", AT, descending=False, average=True, nulls=False
     )

@@ -18,6 +18,8 @@ def local_session(app: str = "fleetveil", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Do not record a Python call site for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FLEETVEIL_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
@@ -32,7 +34,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    # A machine-local folder is only a stand-in for single-machine runs.
+    if shared is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fleetveil-checkpoint-"))
 
 

@@ -42,6 +42,25 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
     return df.select(*out)
 
 
+def expand_rounds(sql: str) -> str:
+    """Write out ``round_dec(x[, digits])``: round half up in decimal arithmetic, after
+    dropping the last bits of the double, which depend on the order of summation."""
+    while (at := sql.rfind("round_dec(")) >= 0:
+        start = at + len("round_dec(")
+        depth, comma, end = 1, None, start
+        while depth:
+            ch = sql[end]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = end
+            end += 1
+        value = sql[start:comma if comma else end - 1]
+        digits = sql[comma + 1:end - 1].strip() if comma else "0"
+        exact = f"CAST({value} AS DECIMAL(38, 9))"
+        sql = f"{sql[:at]}CAST(round({exact}, {digits}) AS DOUBLE){sql[end:]}"
+    return sql
+
+
 def with_ctes(ctes: dict[str, str], sql: str) -> str:
     """Prefix ``sql`` with the CTEs it needs, directly or through others."""
     needed: list[str] = []
@@ -55,6 +74,6 @@ def with_ctes(ctes: dict[str, str], sql: str) -> str:
 
     visit(sql)
     if not needed:
-        return sql
+        return expand_rounds(sql)
     body = ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in needed)
-    return f"WITH {body}\n{sql}"
+    return expand_rounds(f"WITH {body}\n{sql}")

@@ -72,7 +72,7 @@ _case("r16_mods_power",
       + " ".join(f"{p}_power_consumption:i" for p in POWER_PARTS), "SELECT * FROM rep_power")
 _case("r17_batt_events",
       "load_ts:s guid:i dt:s duration_mins:d "
-      + " ".join(f"{f}_power_{s}_battery_percent:{'d' if f == 'avg' else 'i'}"
+      + " ".join(f"{f}_power_{s}_battery_percent:d"
                  for s in ("on", "off") for f in ("max", "min", "avg"))
       + " num_power_ons:i", "SELECT * FROM rep_batt")
 _case("r18_cpu_metadata", "guid:i marketcodename:s cpugen:s", "SELECT * FROM src_cpu_metadata")
@@ -186,14 +186,14 @@ _case("q03_display_durations",
       "average_duration_on_dc_in_seconds:d",
       """SELECT connection_type, concat(resolution_heigth, 'x', resolution_width) AS resolution,
          count(DISTINCT guid) AS number_of_systems,
-         round(avg(duration_ac), 2) AS average_duration_on_ac_in_seconds,
-         round(avg(duration_dc), 2) AS average_duration_on_dc_in_seconds
+         round_dec(avg(duration_ac), 2) AS average_duration_on_ac_in_seconds,
+         round_dec(avg(duration_dc), 2) AS average_duration_on_dc_in_seconds
          FROM rep_display WHERE connection_type IS NOT NULL AND resolution_heigth <> 0
          AND resolution_width <> 0 GROUP BY 1, 2 HAVING count(DISTINCT guid) > 50""")
 _case("q04_vendor_share",
       "vendor_name:s number_of_systems:i total_number_of_systems:i percentage_of_systems:d",
       """SELECT vendor_name, count(DISTINCT guid) AS number_of_systems, total_number_of_systems,
-         round(count(DISTINCT guid) * 1e2 / total_number_of_systems, 2) AS percentage_of_systems
+         round_dec(count(DISTINCT guid) * 1e2 / total_number_of_systems, 2) AS percentage_of_systems
          FROM rep_display, (SELECT count(DISTINCT guid) AS total_number_of_systems FROM rep_display) t
          GROUP BY vendor_name, total_number_of_systems""")
 _case("q05_blockers_by_os",
@@ -212,15 +212,15 @@ _case("q07_sleep_by_cpu",
       "avg_modern_sleep_time:d avg_sleep_time:d avg_total_time:d avg_pcnt_on_time:d "
       "avg_pcnt_off_time:d avg_pcnt_mods_time:d avg_pcnt_sleep_time:d",
       f"""SELECT marketcodename, cpugen, count(DISTINCT o.guid) AS number_of_systems,
-          round(avg(on_time), 2) AS avg_on_time, round(avg(off_time), 2) AS avg_off_time,
-          round(avg(mods_time), 2) AS avg_modern_sleep_time, round(avg(sleep_time), 2) AS avg_sleep_time,
-          round(avg({_STATE_SUM}), 2) AS avg_total_time,
-          {', '.join(f"round(sum({s}) * 1e2 / sum({_STATE_SUM}), 2) AS avg_pcnt_{s}" for s in _STATE_COLS)}
+          round_dec(avg(on_time), 2) AS avg_on_time, round_dec(avg(off_time), 2) AS avg_off_time,
+          round_dec(avg(mods_time), 2) AS avg_modern_sleep_time, round_dec(avg(sleep_time), 2) AS avg_sleep_time,
+          round_dec(avg({_STATE_SUM}), 2) AS avg_total_time,
+          {', '.join(f"round_dec(sum({s}) * 1e2 / sum({_STATE_SUM}), 2) AS avg_pcnt_{s}" for s in _STATE_COLS)}
           FROM src_on_off o JOIN src_cpu_metadata c ON c.guid = o.guid GROUP BY 1, 2
           HAVING count(DISTINCT o.guid) > 5""")
 _case("q08_persona_web", "persona:s number_of_systems:i days:i " + _d(*CATEGORY_COLUMNS),
       f"""SELECT persona, count(DISTINCT guid) AS number_of_systems, sum(days) AS days,
-          {', '.join(f"round(1e2 * sum(days * {c} / nullif(total, 0)) / sum(days), 3) AS {c}"
+          {', '.join(f"round_dec(1e2 * sum(days * {c} / nullif(total, 0)) / sum(days), 3) AS {c}"
                      for c in CATEGORY_COLUMNS)}
           FROM (SELECT w.guid, persona, count(*) AS days,
                 {', '.join(f"sum({c}) AS {c}" for c in CATEGORY_COLUMNS)},
@@ -233,14 +233,14 @@ _case("q09_package_power",
          sum(nrs * mean) / sum(nrs) AS avg_pkg_power_consumed
          FROM rep_hwpkg p JOIN src_sysinfo s ON s.guid = p.guid GROUP BY 1""")
 _case("q10_browser_shares", "browser:s percent_systems:d percent_instances:d percent_duration:d",
-      """SELECT browser, round(count(DISTINCT guid) * 1e2 / s, 2) AS percent_systems,
-         round(count(*) * 1e2 / n, 2) AS percent_instances,
-         round(sum(duration_ms) * 1e2 / d, 2) AS percent_duration
+      """SELECT browser, round_dec(count(DISTINCT guid) * 1e2 / s, 2) AS percent_systems,
+         round_dec(count(*) * 1e2 / n, 2) AS percent_instances,
+         round_dec(sum(duration_ms) * 1e2 / d, 2) AS percent_duration
          FROM rep_web, (SELECT count(DISTINCT guid) AS s, count(*) AS n, sum(duration_ms) AS d
                         FROM rep_web) t GROUP BY browser, s, n, d""")
 _case("q11_ram_histogram", "ram_gb:d number_of_systems:i avg_percentage_used:d",
       """SELECT sysinfo_ram / 1024 AS ram_gb, count(DISTINCT guid) AS number_of_systems,
-         round(sum(nrs * avg_percentage_used) / sum(nrs)) AS avg_percentage_used
+         round_dec(sum(nrs * avg_percentage_used) / sum(nrs)) AS avg_percentage_used
          FROM rep_mem WHERE avg_percentage_used > 0 GROUP BY sysinfo_ram""")
 _case("q12_users_by_power", "user_id:s total_power_consumption:i rnk:i",
       """SELECT user_id, sum(total_power_consumption) AS total_power_consumption,
@@ -253,7 +253,7 @@ _case("q13_server_like",
           ofcores AS number_of_cores FROM ({_NET} HAVING sum(nrs) > 720) n
           JOIN src_sysinfo s ON s.guid = n.guid WHERE sent_bytes > received_bytes""")
 _case("q14_apps_focal", "app_type:s exe_name:s average_focal_sec_per_day:d rank:i",
-      "SELECT app_type, exe_name, round(v) AS average_focal_sec_per_day, rank FROM ("
+      "SELECT app_type, exe_name, round_dec(v) AS average_focal_sec_per_day, rank FROM ("
       + _top(f"SELECT app_type, exe_name, avg(totalsecfocal_day) AS v {_APPS} GROUP BY 1, 2",
              "v", 10, "app_type") + ") x")
 _case("q15_apps_devices", "app_type:s exe_name:s number_of_systems:i rank:i",
@@ -281,7 +281,7 @@ _case("q20_wait_processes", "proc_name:s total_duration_sec_per_instance:d rank:
            f"WHERE {_WAIT} GROUP BY 1", "total_duration_sec_per_instance", 10))
 _case("q21_wait_by_type",
       "event_name:s acdc:s proc_name:s total_duration_sec_per_instance:d rank:i",
-      "SELECT * REPLACE (round(total_duration_sec_per_instance, 2) AS total_duration_sec_per_instance) "
+      "SELECT * REPLACE (round_dec(total_duration_sec_per_instance, 2) AS total_duration_sec_per_instance) "
       "FROM (" + _top(
           f"SELECT event_name, acdc, proc_name, {_SEC} AS total_duration_sec_per_instance "
           f"FROM rep_userwait WHERE {_WAIT} GROUP BY 1, 2, 3",
@@ -290,7 +290,7 @@ _case("q22_wait_by_power", "proc_name:s ac_duration:d dc_duration:d unknown_dura
       "SELECT proc_name, "
       + ", ".join(f"coalesce(sum(v) FILTER (WHERE acdc = '{a}'), 0) AS {n}_duration"
                   for a, n in (("AC", "ac"), ("DC", "dc"), ("UN", "unknown")))
-      + f""" FROM (SELECT proc_name, acdc, round({_SEC}, 2) AS v FROM rep_userwait
+      + f""" FROM (SELECT proc_name, acdc, round_dec({_SEC}, 2) AS v FROM rep_userwait
              WHERE proc_name IN (SELECT proc_name FROM ("""
       + _top(f"SELECT proc_name, {_SEC} AS v FROM rep_userwait WHERE {_WAIT} GROUP BY 1 "
              "HAVING sum(number_of_instances) > 50 AND count(DISTINCT guid) > 20", "v", 20)
@@ -419,12 +419,25 @@ _case("b07_pareto",
               ELSE (b - value) / abs(b) END AS utility_loss
          FROM based WHERE NOT no_noise""")
 
+_case("b08_axis", "position:d label:s",
+      "SELECT DISTINCT position, CASE WHEN no_noise THEN '∞' ELSE epsilon END AS label FROM scored")
+_case("b09_single_epsilon", "mechanism:s single_epsilon:i",
+      "SELECT mechanism, CASE WHEN count(DISTINCT eps) FILTER (WHERE NOT no_noise) <= 1 THEN 1 ELSE 0 "
+      "END AS single_epsilon FROM scored GROUP BY mechanism")
+
 # A published-behaviour release beside the sound one, through the same mechanism SQL.
 PUBLISHED_POLICY = Policy(
     budget="per_column", distribution_parts=28, normalise="percent_columns"
 )
 
 
+# Queries whose result SQL cannot state: a random sample, a Student tail probability.
+ROWS_ONLY: dict[str, str] = {
+    "s04_sized_sample": "l_orderkey:i l_partkey:i l_quantity:d",
+    "m06_p_values": f"{_ATS} spearman_rho:d p_value:d",
+}
+
+
 def oracle(name: str) -> str:
     spec, sql = CASES[name]
     ctes = CTES

@@ -95,7 +95,7 @@ CTES |= {
         FROM src_web_usage GROUP BY ALL""",
     "rep_mem": f"""
         SELECT guid, dt, nrs, free AS avg_free_ram, size AS sysinfo_ram,
-               size - free AS utilized_ram, round((size - free) * 1e2 / size) AS avg_percentage_used
+               size - free AS utilized_ram, round_dec((size - free) * 1e2 / size) AS avg_percentage_used
         FROM (SELECT m.guid, m.dt, sum(sample_count) AS nrs,
                      {_wavg('average', 'sample_count')} AS free,
                      CAST(s.ram * 1024 AS INTEGER) AS size
@@ -135,8 +135,8 @@ CTES |= {
         GROUP BY 1, 2 HAVING count(*) >= {_K[2]}""",
     "e03": f"""
         SELECT connection_type, resolution, count(*) AS number_of_systems,
-               round(avg(ac), 2) AS average_duration_on_ac_in_seconds,
-               round(avg(dc), 2) AS average_duration_on_dc_in_seconds
+               round_dec(avg(ac), 2) AS average_duration_on_ac_in_seconds,
+               round_dec(avg(dc), 2) AS average_duration_on_dc_in_seconds
         FROM (SELECT connection_type, concat(resolution_heigth, 'x', resolution_width) AS resolution,
                      guid, least(avg(duration_ac), 3600) AS ac, least(avg(duration_dc), 3600) AS dc
               FROM rep_display
@@ -145,7 +145,7 @@ CTES |= {
         GROUP BY 1, 2 HAVING count(*) >= {_K[3]}""",
     "e04": """
         SELECT vendor_name, n AS number_of_systems, sum(n) OVER () AS total_number_of_systems,
-               round(n * 1e2 / sum(n) OVER (), 2) AS percentage_of_systems
+               round_dec(n * 1e2 / sum(n) OVER (), 2) AS percentage_of_systems
         FROM (SELECT vendor_name, count(DISTINCT guid) AS n FROM rep_display
               WHERE vendor_name IS NOT NULL GROUP BY 1) vendors""",
     "e05": f"""
@@ -166,10 +166,10 @@ CTES |= {
                                    WHERE m.country = c.country)""",
     "e07": f"""
         SELECT marketcodename, cpugen, count(*) AS number_of_systems,
-               round(avg(s_on), 2) AS avg_on_time, round(avg(s_off), 2) AS avg_off_time,
-               round(avg(s_mods), 2) AS avg_modern_sleep_time, round(avg(s_sleep), 2) AS avg_sleep_time,
-               round(avg(s_on + s_off + s_mods + s_sleep), 2) AS avg_total_time,
-               {', '.join(f"round(sum(s_{s}) * 1e2 / nullif(sum(s_on + s_off + s_mods + s_sleep), 0), 2)"
+               round_dec(avg(s_on), 2) AS avg_on_time, round_dec(avg(s_off), 2) AS avg_off_time,
+               round_dec(avg(s_mods), 2) AS avg_modern_sleep_time, round_dec(avg(s_sleep), 2) AS avg_sleep_time,
+               round_dec(avg(s_on + s_off + s_mods + s_sleep), 2) AS avg_total_time,
+               {', '.join(f"round_dec(sum(s_{s}) * 1e2 / nullif(sum(s_on + s_off + s_mods + s_sleep), 0), 2)"
                           f" AS avg_pcnt_{s}_time" for s in _STATES)}
         FROM (SELECT marketcodename, cpugen, o.guid,
                      {', '.join(f'least(avg({s}_time), 1440) AS s_{s}' for s in _STATES)}
@@ -177,7 +177,7 @@ CTES |= {
         GROUP BY 1, 2 HAVING count(*) >= {_K[7]}""",
     "e08": f"""
         SELECT persona, count(*) AS number_of_systems, sum(days) AS days,
-               {', '.join(f"round(1e2 * sum(days * {c} / total) / sum(days), 3) AS {c}"
+               {', '.join(f"round_dec(1e2 * sum(days * {c} / total) / sum(days), 3) AS {c}"
                           for c in CATEGORY_COLUMNS)}
         FROM (SELECT w.guid, persona, least(count(*), 365) AS days,
                      {', '.join(f"least(sum({c}), 3.6e6) AS {c}" for c in CATEGORY_COLUMNS)},
@@ -190,16 +190,16 @@ CTES |= {
               FROM rep_hwpkg p JOIN src_sysinfo s ON s.guid = p.guid GROUP BY 1, 2) device
         GROUP BY 1 HAVING count(*) >= {_K[9]}""",
     "e10": """
-        SELECT browser, round(n * 1e2 / sum(n) OVER (), 2) AS percent_systems,
-               round(r * 1e2 / sum(r) OVER (), 2) AS percent_instances,
-               round(ms * 1e2 / sum(ms) OVER (), 2) AS percent_duration
+        SELECT browser, round_dec(n * 1e2 / sum(n) OVER (), 2) AS percent_systems,
+               round_dec(r * 1e2 / sum(r) OVER (), 2) AS percent_instances,
+               round_dec(ms * 1e2 / sum(ms) OVER (), 2) AS percent_duration
         FROM (SELECT browser, count(*) AS n, sum(r) AS r, sum(ms) AS ms
               FROM (SELECT browser, guid, least(count(*), 50) AS r, least(sum(duration_ms), 3.6e6) AS ms
                     FROM rep_web WHERE browser IS NOT NULL GROUP BY 1, 2) device
               GROUP BY 1) browsers""",
     "e11": f"""
         SELECT sysinfo_ram / 1024 AS ram_gb, count(*) AS number_of_systems,
-               round(avg(p)) AS avg_percentage_used
+               round_dec(avg(p)) AS avg_percentage_used
         FROM (SELECT sysinfo_ram, guid, least(avg(avg_percentage_used), 100) AS p
               FROM rep_mem WHERE avg_percentage_used > 0 GROUP BY 1, 2) device
         GROUP BY 1 HAVING count(*) >= {_K[11]}""",
@@ -320,8 +320,7 @@ def _metric_filter(metric: str) -> str:
 
 
 def r4(x: str) -> str:
-    """Four digits, half up in decimal arithmetic."""
-    return f"CAST(round(CAST({x} AS DECIMAL(30, 9)), 4) AS DOUBLE)"
+    return f"round_dec({x}, 4)"
 
 
 _AVG_RANK = (

@@ -5,7 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetveil.operators.joins import fan_out_weighted_means, valid_time_join
-from fleetveil.operators.ranking import exact_median, full_rank, top_ranked, value_positions
+from fleetveil.operators.ranking import (
+    exact_median,
+    full_rank,
+    numeric_bucket,
+    top_ranked,
+    value_positions,
+)
 from fleetveil.operators.units import (
     bound_groups_per_unit,
     count_of,
@@ -84,6 +90,22 @@ def test_full_rank_has_no_single_task_window_over_rows(spark):
             raise AssertionError(line)
 
 
+def test_buckets_follow_the_order_of_values(spark):
+    rng = random.Random(11)
+    values = [2.0**e for e in range(-1074, 1024)] + [
+        rng.uniform(1, 2) * 2.0 ** rng.randint(-1000, 1000) for _ in range(3000)
+    ]
+    values += [v * (1 - 2**-53) for v in values] + [1.7976931348623157e308, float("inf"), 0.0]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", numeric_bucket(F.col("v")).alias("b")).collect()
+    ordered = [r.b for r in sorted(rows, key=lambda r: r.v)]
+    assert ordered == sorted(ordered) and None not in ordered
+    nan = spark.createDataFrame([(float("nan"),)], "v double").select(
+        numeric_bucket(F.col("v")).alias("b")).first()
+    assert nan.b > ordered[-1]
+
+
 def test_text_positions(spark):
     words = ["pear", "apple", "apricot", "fig", "apple", "banana"]
     df = spark.createDataFrame([(w,) for w in words], "w string")

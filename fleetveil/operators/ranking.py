@@ -64,8 +64,24 @@ def numeric_bucket(value: Column) -> Column:
     )
 
 
-def text_bucket(value: Column) -> Column:
-    return F.substring(value, 1, 3)
+def with_text_bucket(df: DataFrame, value: str) -> DataFrame:
+    """Add ``__bucket``: the three characters after the prefix that all values share.
+
+    Every text between the smallest and the largest has their common prefix, so one
+    row of extremes gives its length; dropping it keeps the order of the values.
+    """
+    ends = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    shared = ends.select(
+        F.expr(
+            "size(filter(sequence(1, greatest(length(__lo), 1)),"
+            " i -> substring(__lo, 1, i) = substring(__hi, 1, i)))"
+        ).alias("__shared")
+    )
+    return (
+        df.crossJoin(F.broadcast(shared))
+        .withColumn("__bucket", F.substr(F.col(value), F.col("__shared") + F.lit(1), F.lit(3)))
+        .drop("__shared")
+    )
 
 
 def value_positions(
@@ -78,13 +94,15 @@ def value_positions(
     """(group, value, n, before, total): how many rows hold the value, how many come
     strictly ahead of it, and how many there are, over the non-NULL values."""
     group = list(group)
-    bucket = text_bucket if text else numeric_bucket
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("__bucket", bucket(F.col(value)))
     )
+    if text:
+        counts = with_text_bucket(counts, value)
+    else:
+        counts = counts.withColumn("__bucket", numeric_bucket(F.col(value)))
     bucket_order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
     value_order = F.col(value).desc() if descending else F.col(value).asc()
     ahead = Window.partitionBy(*group).orderBy(bucket_order)

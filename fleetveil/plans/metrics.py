@@ -21,7 +21,7 @@ from fleetveil.operators.ranking import (
     rank_table,
     value_positions,
 )
-from fleetveil.plans.registry import PASS_THRESHOLD, ReleasedQuery
+from fleetveil.plans.registry import DELTA, PASS_THRESHOLD, slug
 from fleetveil.plans.release import Release
 from fleetveil.session import stage
 
@@ -129,8 +129,11 @@ def spearman_categorical(winners: DataFrame) -> DataFrame:
     return rank_correlation(ranked, "position", "label_rank")
 
 
-def metric_summary(release: Release, database: str = "full") -> DataFrame:
-    """One row per (query, mechanism, variant, epsilon) with the metric of its query."""
+def metric_summary(release: Release, database: str = "full", delta: float = DELTA) -> DataFrame:
+    """One row per (query, mechanism, variant, epsilon) with the metric of its query.
+
+    The seed is left out on purpose: whoever knows it can remove the noise.
+    """
     registry = release.registry
     scored = [q for q in registry.values() if q.columns]
     first_column = reduce(
@@ -158,10 +161,15 @@ def metric_summary(release: Release, database: str = "full") -> DataFrame:
     wide = sizes
     for part in parts:
         wide = wide.join(F.broadcast(part), AT, "left")
-    kind = F.create_map(*[x for q in registry.values() for x in (F.lit(q.number), F.lit(q.metric))])
-    wide = wide.withColumn("metric_type", kind[F.col("query_num")])
+
+    def by_query(values: dict[int, str]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("query_num")]
+
+    wide = wide.withColumn("metric_type", by_query({n: q.metric for n, q in registry.items()}))
     return wide.select(
-        *AT, F.lit(database).alias("database"), "n_rows", "metric_type", "median_re",
+        *AT, by_query({n: slug(q.title) for n, q in registry.items()}).alias("query_file"),
+        F.when(F.col("mechanism") == "gaussian", F.lit(delta)).alias("delta"),
+        F.lit(database).alias("database"), "n_rows", "metric_type", "median_re",
         "spearman_rho", "p_value", "mean_tvd", "max_tvd", "tvd",
         metric_pass().alias("pass"),
     )

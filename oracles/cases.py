@@ -90,7 +90,10 @@ COVERAGE = {
     "system_hw_pkg_power": "rep_hwpkg", "system_pkg_C0": "rep_c0",
     "system_pkg_avg_freq_mhz": "rep_freq", "system_pkg_temp_centigrade": "rep_temp",
     "system_psys_rap_watts": "rep_psys", "system_network_consumption": "rep_net",
-    "system_web_cat_pivot_duration": "rep_webdur", "system_web_cat_usage": "rep_web",
+    "system_web_cat_pivot_duration": "rep_webdur",
+    "system_web_cat_pivot_page_load_count": "rep_webdur",
+    "system_web_cat_pivot_page_visit_count": "rep_webdur",
+    "system_web_cat_pivot_domain_count": "rep_webdur", "system_web_cat_usage": "rep_web",
     "system_memory_utilization": "rep_mem", "system_mods_power_consumption": "rep_power",
     "system_batt_dc_events": "rep_batt", "system_cpu_metadata": "src_cpu_metadata",
     "system_mods_top_blocker_hist": "src_blockers", "system_os_codename_history": "src_os_history",

@@ -116,6 +116,19 @@ def test_text_positions(spark):
     assert got["apple"] == (2, 0, 6) and got["apricot"] == (1, 2, 6) and got["pear"][1] == 5
 
 
+@pytest.mark.parametrize("prefix", ["", "NATION_", "é"])
+def test_text_positions_with_a_shared_prefix(spark, prefix):
+    rng = random.Random(2)
+    words = [prefix + "".join(rng.choice("abz~") for _ in range(rng.randint(0, 5)))
+             for _ in range(300)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    got = {
+        r.w: (r.n, r.before)
+        for r in value_positions(df, "w", descending=False, text=True).collect()
+    }
+    assert got == {w: (words.count(w), sum(x < w for x in words)) for w in words}
+
+
 def test_exact_median(spark):
     rows = _pairs(401) + [(1000 + i, "c", float(i)) for i in range(4)]
     df = spark.createDataFrame(rows, "id int, g string, v double")

@@ -25,14 +25,11 @@ from fleetveil.functions.exprs import (
 from fleetveil.operators.joins import fan_out_weighted_means, valid_time_join
 from fleetveil.operators.ranking import full_rank, top_ranked
 from fleetveil.operators.units import (
-    count_of,
     distinct_units,
     fold_state,
     mean_of,
-    sum_of,
     unit_state,
     weighted_mean_of,
-    with_total,
 )
 from fleetveil.plans.categories import CATEGORY_COLUMNS
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +30,32 @@ def write_table(
     table: str | None = None,
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
+    bucket_by: tuple[str, int] | None = None,
 ) -> int:
     """Replace a stored table; returns its row count.
 
     Partition by the day column where queries filter on it. Sorting within the
     written files gives Parquet row-group ranges on the device key, the role an
-    index plays elsewhere.
+    index plays elsewhere. ``bucket_by`` (catalog tables only) places the rows by
+    device, so that later folds and joins on the device need no shuffle; it suits
+    tables already folded per device and day, where no device has many rows.
     """
+    if bucket_by is not None and table is None:
+        raise ValueError("bucketing needs a catalog table")
     # Rebalancing lets AQE split a day that holds much of the data and merge small ones.
     laid_out = df.hint("rebalance", *partition_by) if partition_by else df
+    if bucket_by is not None and not partition_by:
+        # One task per bucket, so each bucket becomes one file.
+        laid_out = df.repartition(bucket_by[1], bucket_by[0])
     order = [*partition_by, *[c for c in sort_by if c not in partition_by]]
     laid_out = laid_out.sortWithinPartitions(*order) if order else laid_out
 
     def write(frame: DataFrame) -> None:
         writer = frame.write.mode("overwrite")
         writer = writer.partitionBy(*partition_by) if partition_by else writer
+        if bucket_by is not None:
+            writer = writer.bucketBy(bucket_by[1], bucket_by[0])
+            writer = writer.option("path", path) if path is not None else writer
         if table is not None:
             writer.saveAsTable(table)
         else:
@@ -53,21 +65,27 @@ def write_table(
 
 
 def run_report(
-    spark: SparkSession, jobs: Mapping[str, Callable[[], tuple[int, int | None, float | None]]]
+    spark: SparkSession,
+    jobs: Mapping[str, Callable[[], tuple[int, int | None, float | None]]],
+    at_once: int = 4,
 ) -> DataFrame:
     """Run named jobs, each returning (rows, bytes, fraction); a failing job is
-    recorded and the rest go on. The report has one row per job."""
-    rows = []
-    for name, job in jobs.items():
+    recorded and the rest go on. The report has one row per job. A few jobs run at
+    once, so that small tables do not leave a cluster idle."""
+
+    def outcome(name: str) -> tuple:
         try:
-            count, size, fraction = job()
+            count, size, fraction = jobs[name]()
             status = "ok" if fraction is None or fraction >= 1.0 else "sampled"
-            rows.append((name, status, count, size, fraction, None))
+            return name, status, count, size, fraction, None
         except FileNotFoundError as missing:
-            rows.append((name, "missing", None, None, None, str(missing)))
+            return name, "missing", None, None, None, str(missing)
         except Exception as failure:  # noqa: BLE001 - reported, not hidden
             first_line = str(failure).splitlines()[0] if str(failure) else repr(failure)
-            rows.append((name, "failed", None, None, None, first_line))
+            return name, "failed", None, None, None, first_line
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(outcome, jobs))
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 
 

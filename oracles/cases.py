@@ -11,7 +11,6 @@ from oracles.build import pick, with_ctes
 from oracles.texts import (
     CTES,
     DEMO_LIMITS,
-    DEMO_POLICY,
     DEMO_REGISTRY,
     POWER_PARTS,
     _plan,

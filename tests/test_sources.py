@@ -89,6 +89,36 @@ def test_write_table_replaces_and_partitions(spark, tmp_path):
     assert (tmp_path / "t" / "dt=0").is_dir()
 
 
+def test_bucketed_table_folds_without_a_shuffle(spark, tmp_path):
+    sinks.create_schema(spark, "fleet_buckets")
+    rows = spark.range(1000).select((F.col("id") % 50).alias("guid"), F.col("id").alias("v"))
+    n = sinks.write_table(
+        rows, str(tmp_path / "b"), "fleet_buckets.t", sort_by=["guid"], bucket_by=("guid", 4))
+    assert n == 1000
+    folded = spark.table("fleet_buckets.t").groupBy("guid").agg(F.sum("v").alias("s"))
+    assert "Exchange" not in folded._jdf.queryExecution().executedPlan().toString()
+    assert folded.count() == 50
+    with pytest.raises(ValueError):
+        sinks.write_table(rows, str(tmp_path / "c"), bucket_by=("guid", 4))
+    spark.sql("DROP DATABASE fleet_buckets CASCADE")
+
+
+def test_results_do_not_depend_on_the_shuffle_width(spark, tables):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def rows(width):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        return [
+            sorted(map(tuple, analytics.run_query(n, tables, sort=False).collect()))
+            for n in (5, 12, 15, 18)
+        ]
+
+    try:
+        assert rows("1") == rows("13")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_export_and_read_back(spark, tmp_path):
     def broken():
         raise ValueError("no such result")

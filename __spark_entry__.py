@@ -263,12 +263,29 @@ def entry(spark: SparkSession) -> DataFrame:
     return run_release_query(1, _tables(spark, SMOKE_DIR), limits)
 
 
+# The training-data operators and their pipeline are optional: both may be absent.
+_LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_LLM_ORACLES: dict[str, str] = {}
+try:
+    from fleetveil.llm import entries as _llm
+
+    _LLM_QUERIES, _LLM_ORACLES = dict(_llm.QUERIES), dict(_llm.ORACLES)
+    import corpus_pipeline as _pipeline
+
+    _LLM_QUERIES["pipeline"] = _pipeline.run
+    if _pipeline.ORACLE_SQL:
+        _LLM_ORACLES["pipeline"] = _pipeline.ORACLE_SQL
+except ImportError as _missing:
+    if _missing.name not in ("fleetveil.llm", "corpus_pipeline"):
+        raise
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def registered(name: str):
         return lambda spark, folder: shape(_RUNS[name](spark, folder), SPECS[name])
 
-    return {name: registered(name) for name in SPECS}
+    return {**{name: registered(name) for name in SPECS}, **_LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(name) for name in CASES}
+    return {**{name: oracle(name) for name in CASES}, **_LLM_ORACLES}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 
 QUERIES = {
+    "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES = {

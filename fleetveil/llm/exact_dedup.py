@@ -49,9 +49,13 @@ class DigestIndex:
     def unseen(self, batch: DataFrame) -> DataFrame:
         """The batch's new texts: (digest, keep_id) with the smallest doc_id of each.
 
-        Rows whose doc_id is null stand for a text only if no other row has it.
+        Rows whose doc_id is null stand for a text only if no other row has it. The firsts are
+        stored, or the optimiser would move the anti-join below the aggregate, and all copies
+        of a text would be shuffled.
         """
-        firsts = batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        firsts = stored(
+            batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "dedup-firsts"
+        )
         return firsts.join(self.rows().hint("merge"), "digest", "left_anti")
 
     def append(self, batch: DataFrame) -> None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .packing import op1_packing
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op7_exact_dedup": op7_exact_dedup,
 }

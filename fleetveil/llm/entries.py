@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe import op4_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .packing import op1_packing
+from .quality_rules import op3_quality_rules
 from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,

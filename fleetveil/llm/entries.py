@@ -7,6 +7,7 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .token_counts import op6_token_counts
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_model import op10_lm_scores
+from .ngram_join import op9_ngram_jaccard
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .token_counts import op6_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scores": op10_lm_scores,
 }
 ORACLES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_model import op10_lm_scores
+from .line_dedup import op5_line_dedup
 from .ngram_join import op9_ngram_jaccard
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,

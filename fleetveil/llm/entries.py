@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_model import op10_lm_scores
+from .license_scan import op2_license_scan
 from .line_dedup import op5_line_dedup
 from .ngram_join import op9_ngram_jaccard
 from .packing import op1_packing
@@ -14,6 +15,7 @@ from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_line_dedup": op5_line_dedup,

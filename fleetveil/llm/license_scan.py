@@ -27,6 +27,11 @@ CONTAINMENT_PERCENT = 80
 #: Least probability that a window holding a match retrieves its template.
 PROBABILITY = 0.999_9
 
+# Words too common to tell anything.
+_COMMON = frozenset(
+    "a all an and any are as at be by can do for from has he in is it may no not of on or "
+    "that the this to under was will with you your".split()
+)
 _EDGES = "[]().,;:!?\"'*#$%&|<>{}"
 
 
@@ -94,8 +99,7 @@ def hitting_words(shingle_texts: list[str]) -> list[str]:
     chosen: list[str] = []
     while left:
         counts = Counter(w for s in left for w in s)
-        long = {w: n for w, n in counts.items() if len(w) >= 6}
-        best = max(long, key=lambda w: (long[w], w)) if long else max(counts, key=lambda w: (len(w), w))
+        best = max(counts, key=lambda w: (w not in _COMMON, len(w) >= 6, counts[w], len(w), w))
         chosen.append(best)
         left = [s for s in left if best not in s]
     return chosen
@@ -124,13 +128,14 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.arrays_overlap(pieces, F.array(*[F.lit(w) for w in anchors]))
     )
     cut = held.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    held = stored(cut.select("doc_id", shingles(F.col("w")).alias("s")), "license-shingles")
     among = F.array(*[F.lit(t) for t in texts]) if texts else F.array().cast("array<string>")
+    cut = cut.select("doc_id", shingles(F.col("w")).alias("s"))
+    held = stored(cut.where(F.arrays_overlap("s", among)), "license-shingles")
     per_class = F.explode(F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>"))
     step = F.greatest(F.expr("cls div 2"), F.lit(1))
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), step))
     windows = (
-        held.where(F.arrays_overlap("s", among)).select("doc_id", "s", per_class.alias("cls"))
+        held.select("doc_id", "s", per_class.alias("cls"))
         .select("doc_id", "s", "cls", starts.alias("start"))
         .select(
             "doc_id", "cls", "start",

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, fold_remainder, text_or_empty
+from .common import SPACE, documents, drop_stored, fold_remainder, stored, text_or_empty
 
 #: Words in a window; a window is one chain.
 WINDOW = 128
@@ -31,6 +31,8 @@ LEAST_SHARE, LEAST_RATIO = 0.01, 20.0
 LEAST_TEXTS = 3
 #: Words with a feature of their own occur so often in the sample.
 LEAST_COUNT = 5
+#: Labels, of 12 bytes, that are broadcast at most.
+BROADCAST_LABELS = 2_000_000
 ROUNDS = 70
 CUT = 0.7
 HELD_OUT_PARTS, HELD_OUT = 3, 1
@@ -222,14 +224,19 @@ def tagged_tokens(text: Column, chain: Chain) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows outside the held-out fold."""
+    """(text, toxic) of the labelled rows outside the held-out fold, stored.
+
+    Labels are joined where the documents are read as long as there are few enough of them to
+    broadcast; beyond that both sides are shuffled.
+    """
     truth = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
-    )
+    ).where(fold_remainder("doc_id", HELD_OUT_PARTS) != HELD_OUT)
+    if truth.count() <= BROADCAST_LABELS:
+        truth = F.broadcast(truth)
     rows = docs.where(fold_remainder("doc_id", HELD_OUT_PARTS) != HELD_OUT)
-    return rows.select("doc_id", text_or_empty().alias("text")).join(truth, "doc_id").select(
-        "text", (F.col("toxic") == 1).alias("toxic")
-    )
+    joined = rows.select("doc_id", text_or_empty().alias("text")).join(truth, "doc_id")
+    return stored(joined.select("text", (F.col("toxic") == 1).alias("toxic")), "toxicity-training")
 
 
 def toxic_words(texts: DataFrame) -> set[str]:
@@ -328,6 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     points = tagged.groupBy(*cells).agg(
         F.count_if(F.col("toxic")).alias("t"), F.count_if(~F.col("toxic")).alias("f")
     ).orderBy("x0", "x1").collect()
+    drop_stored(texts)
     return ToxicityModel(chain, fit_curve([(r.x0 / 20, r.x1 / 20, r.t, r.f) for r in points]))
 
 

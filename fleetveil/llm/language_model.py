@@ -42,14 +42,9 @@ BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n begin"))
 
 BLOCK = "shard int, payload binary"
 STATS = "shard int, payload binary, pairs long, n1 long, n2 long, n3 long, n4 long"
-PAIR = np.dtype([("key", "<u8"), ("count", "<u8")])
 #: Of a word: as a token its count and how many different words precede it; as a context its
 #: count and how many different words follow it once, twice, three times or more.
-WORD = np.dtype([
-    ("key", "<u8"), ("count", "<u8"), ("before", "<u8"), ("context", "<u8"), ("f1", "<u8"),
-    ("f2", "<u8"), ("f3", "<u8"),
-])
-WORD_FIELDS = [n for n in WORD.names if n != "key"]
+WORD_FIELDS = ["count", "before", "context", "f1", "f2", "f3"]
 
 
 class _Hashes(dict):
@@ -195,6 +190,33 @@ def map_array(folder: str, name: str, dtype: np.dtype) -> np.ndarray:
         return np.memmap(copy, dtype, "r")
 
 
+HEADER = 1024
+
+
+def write_columns(folder: str, name: str, columns: dict[str, np.ndarray]) -> None:
+    """Columns of one table in one file, each in the narrowest whole numbers that hold it."""
+    parts, places, at = [], [], HEADER
+    for field, values in columns.items():
+        values = values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+        pad = -values.nbytes % 8
+        parts += [values.tobytes(), bytes(pad)]
+        places.append((field, values.dtype.str, at, len(values)))
+        at += values.nbytes + pad
+    header = json.dumps(places).encode().ljust(HEADER)
+    write_array(folder, name, np.frombuffer(header + b"".join(parts), np.uint8))
+
+
+def map_columns(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The columns mapped into memory; none if the shard is empty."""
+    whole = map_array(folder, name, np.dtype(np.uint8))
+    if not len(whole):
+        return {}
+    places = json.loads(whole[:HEADER].tobytes())
+    return {
+        field: np.frombuffer(whole, kind, n, at) for field, kind, at, n in places
+    }
+
+
 def _discounts(n: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from the numbers of things seen 1, 2, 3 and 4 times.
 
@@ -223,26 +245,26 @@ class Mapped:
 
     def __init__(self, folder: str, shards: int, numbers: dict):
         self.folder, self.shards, self.n = folder, shards, numbers
-        self.arrays: dict[tuple[str, int], np.ndarray] = {}
+        self.tables: dict[tuple[str, int], dict[str, np.ndarray]] = {}
 
-    def _array(self, kind: str, shard: int, dtype: np.dtype) -> np.ndarray:
+    def _table(self, kind: str, shard: int) -> dict[str, np.ndarray]:
         key = (kind, shard)
-        if key not in self.arrays:
-            self.arrays[key] = map_array(self.folder, f"{kind}-{shard}", dtype)
-        return self.arrays[key]
+        if key not in self.tables:
+            self.tables[key] = map_columns(self.folder, f"{kind}-{shard}")
+        return self.tables[key]
 
-    def find(self, kind: str, dtype: np.dtype, keys: np.ndarray, fields: list[str]) -> np.ndarray:
+    def find(self, kind: str, keys: np.ndarray, fields: list[str]) -> np.ndarray:
         """Values of the given fields for sorted keys, 0 where there is none."""
         out = np.zeros((len(fields), len(keys)))
         edges = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
         for s in range(self.shards):
             a, b = edges[s], edges[s + 1]
-            if a < b and len(array := self._array(kind, s, dtype)):
-                at = np.minimum(np.searchsorted(array["key"], keys[a:b]), len(array) - 1)
-                rows = array[at]
-                hit = rows["key"] == keys[a:b]
+            if a < b and (table := self._table(kind, s)):
+                known = table["key"]
+                at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
+                hit = known[at] == keys[a:b]
                 for i, field in enumerate(fields):
-                    out[i, a:b] = np.where(hit, rows[field], 0)
+                    out[i, a:b] = np.where(hit, table[field][at], 0)
         return out
 
     def score(self, tokens: list[np.ndarray]) -> pd.DataFrame:
@@ -250,11 +272,11 @@ class Mapped:
         n = self.n
         left, right = _contexts(tokens)
         words, where = np.unique(np.concatenate([right, left]), return_inverse=True)
-        facts = self.find("words", WORD, words, WORD_FIELDS)
+        facts = self.find("words", words, WORD_FIELDS)
         count, before = facts[:2][:, where[: len(right)]]
         context, f1, f2, f3 = facts[2:][:, where[len(right):]]
         keys, at = np.unique(pair_hashes(left, right), return_inverse=True)
-        pair = self.find("pairs", PAIR, keys, ["count"])[0][at]
+        pair = self.find("pairs", keys, ["count"])[0][at]
         d, e = n["pair_discounts"], n["word_discounts"]
         unseen = 1 / (n["vocabulary"] + 1)
         if n["pairs"]:
@@ -310,9 +332,7 @@ def fit(texts: DataFrame, shards: int | None = None) -> Model:
                 payloads.setdefault(int(shard), []).append(payload)
         for shard, blocks in payloads.items():
             keys, left, right, counts = _merge_pairs(blocks)
-            array = np.empty(len(keys), PAIR)
-            array["key"], array["count"] = keys, counts
-            write_array(folder, f"pairs-{shard}", array)
+            write_columns(folder, f"pairs-{shard}", {"key": keys, "count": counts})
             words, facts = _word_facts(left, right, counts)
             edges = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
             sizes = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
@@ -334,19 +354,16 @@ def fit(texts: DataFrame, shards: int | None = None) -> Model:
         tokens = vocabulary = 0
         sizes = np.zeros(4, np.int64)
         for shard, blocks in payloads.items():
-            parts = [unpack(b, *["<u8"] * len(WORD.names)) for b in blocks]
+            parts = [unpack(b, *["<u8"] * (1 + len(WORD_FIELDS))) for b in blocks]
             keys, facts = _sum_by(
                 np.concatenate([p[0] for p in parts]),
-                [np.concatenate([p[i] for p in parts]) for i in range(1, len(WORD.names))],
+                [np.concatenate([p[i + 1] for p in parts]) for i in range(len(WORD_FIELDS))],
             )
-            array = np.empty(len(keys), WORD)
-            array["key"] = keys
-            for name, values in zip(WORD_FIELDS, facts):
-                array[name] = values
-            write_array(folder, f"words-{shard}", array)
-            tokens += int(array["count"].sum())
-            vocabulary += int((array["count"] > 0).sum())
-            sizes += [int((array["before"] == k).sum()) for k in (1, 2, 3, 4)]
+            word = dict(zip(WORD_FIELDS, facts))
+            write_columns(folder, f"words-{shard}", {"key": keys, **word})
+            tokens += int(word["count"].sum())
+            vocabulary += int((word["count"] > 0).sum())
+            sizes += [int((word["before"] == k).sum()) for k in (1, 2, 3, 4)]
         yield pd.DataFrame([{
             "tokens": tokens, "vocabulary": vocabulary,
             **{f"n{i + 1}": int(numbers[i + 1]) for i in range(4)}, "pairs": int(numbers[0]),

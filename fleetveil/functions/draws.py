@@ -24,7 +24,10 @@ def fresh_seed() -> str:
 
 def hashed_uniform(seed: str, *parts: Column) -> Column:
     """A uniform in (0, 1) from the first 48 bits of an MD5 over seed and parts."""
-    text = F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts])
+    # A NULL part is written out, or (NULL, 'a') and ('a', NULL) would draw alike.
+    text = F.concat_ws(
+        "|", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]
+    )
     bits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 

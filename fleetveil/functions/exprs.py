@@ -62,10 +62,30 @@ def round_to(value: Column | str, digits: int = 0) -> Column:
     return F.round(F.round(col(value).cast("double"), 9), digits)
 
 
-# Separates the parts of a joined key; does not occur in printable names.
+# Separates the parts of a joined key; inside a part it is written as \\s, a backslash as \\b.
 KEY_SEPARATOR = "\x1f"
+# Stands for a NULL part; an empty text stays an empty text.
+KEY_NULL = "\\0"
 
 
 def joined_key(columns: list[str]) -> Column:
-    """One text key from the grouping columns of a result."""
-    return F.concat_ws(KEY_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """One text key from the grouping columns of a result, different for different groups."""
+
+    def part(c: str) -> Column:
+        text = F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\b"))
+        text = F.replace(text, F.lit(KEY_SEPARATOR), F.lit("\\s"))
+        return F.coalesce(text, F.lit(KEY_NULL))
+
+    return F.concat_ws(KEY_SEPARATOR, *[part(c) for c in columns])
+
+
+def key_parts(key: Column | str, types: list[str]) -> list[Column]:
+    """The grouping columns back from a joined key, with their types."""
+    parts = F.split(col(key), KEY_SEPARATOR)
+
+    def value(i: int, kind: str) -> Column:
+        text = F.nullif(parts.getItem(i), F.lit(KEY_NULL))
+        text = F.replace(text, F.lit("\\s"), F.lit(KEY_SEPARATOR))
+        return F.replace(text, F.lit("\\b"), F.lit("\\")).cast(kind)
+
+    return [value(i, kind) for i, kind in enumerate(types)]

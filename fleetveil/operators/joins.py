@@ -20,12 +20,13 @@ def valid_time_join(
     """Inner join of facts to the history rows valid at the time of the fact.
 
     The equality on the unit makes it a hash-partitioned join with the range as
-    a residual. The fact rows of one unit are spread over ``salts`` keys and the
-    history, a few rows per unit, is repeated once per salt, so a unit with a
+    a residual. The fact rows of one unit are spread over ``salts`` keys by their time
+    and the history, a few rows per unit, is repeated once per salt, so a unit with a
     third of all facts becomes ``salts`` tasks. No pair is lost or doubled: each
-    fact row carries exactly one salt.
+    fact row carries exactly one salt. Only unit and time are read for it; fold facts
+    that share both beforehand.
     """
-    facts = fact.withColumn("__salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
+    facts = fact.withColumn("__salt", F.pmod(F.xxhash64(unit, at), F.lit(salts)).cast("int"))
     spans = history.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )

@@ -9,7 +9,7 @@ caller (``ordered``): a sort is a presentation step.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,16 +122,29 @@ def display_vendor_share(t: Tables) -> DataFrame:
     )
 
 
-def blockers_with_os(t: Tables) -> DataFrame:
+def blockers_with_os(
+    t: Tables, keys: Sequence[str] = (), where: Column | None = None, **sums: str
+) -> DataFrame:
+    """Blocker entries with the system version valid at their time, folded beforehand.
+
+    One row per device, time and ``keys``, with the number of entries in ``n_rows`` and a
+    column for each of ``sums`` (name = summed column). A device with very many entries, also
+    identical ones, is a few rows per time before the join.
+    """
+    facts = t["system_mods_top_blocker_hist"]
+    facts = facts if where is None else facts.where(where)
+    folded = facts.groupBy("guid", "dt_utc", *keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(name) for name, c in sums.items()]
+    )
     return valid_time_join(
-        t["system_mods_top_blocker_hist"], t["system_os_codename_history"],
+        folded, t["system_os_codename_history"],
         unit="guid", at="dt_utc", valid_from="min_ts", valid_to="max_ts",
     )
 
 
 def blockers_by_os(t: Tables, more_than: int = 10) -> DataFrame:
     group = ["os_name", "os_codename"]
-    per_unit = blockers_with_os(t).groupBy(*group, "guid").agg(F.count(F.lit(1)).alias("rows"))
+    per_unit = blockers_with_os(t).groupBy(*group, "guid").agg(F.sum("n_rows").alias("rows"))
     out = per_unit.groupBy(*group).agg(
         F.sum("rows").alias("num_entries"), F.count(F.lit(1)).alias("number_of_systems")
     )
@@ -331,9 +344,9 @@ def top_power_processes(t: Tables, k: int = 20) -> DataFrame:
 
 def blocker_durations(t: Tables) -> DataFrame:
     group = ["os_name", "os_codename", "blocker_name", "blocker_type", "activity_level"]
-    rows = blockers_with_os(t).where(F.col("active_time_ms") > 0)
+    rows = blockers_with_os(t, group[2:], F.col("active_time_ms") > 0, ms="active_time_ms")
     per_unit = rows.groupBy(*group, "guid").agg(
-        F.sum("active_time_ms").alias("ms"), F.count(F.lit(1)).alias("rows")
+        F.sum("ms").alias("ms"), F.sum("n_rows").alias("rows")
     )
     return per_unit.groupBy(*group).agg(
         F.count("guid").alias("number_of_clients"),

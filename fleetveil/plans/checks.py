@@ -41,9 +41,10 @@ def table_coverage(tables: Tables, names: Iterable[str] | None = None) -> DataFr
     )
 
 
-def sample_rows(tables: Tables, names: Iterable[str], n: int = 25) -> dict[str, DataFrame]:
-    """The first rows Spark finds of each table, for a look at the values."""
-    return {name: tables[name].limit(n) for name in names}
+def sample_rows(tables: Tables, names: Iterable[str], n: int) -> dict[str, DataFrame]:
+    """``n`` rows of each table for a look at the values: the first in the order of its
+    columns, so that the same table always shows the same rows."""
+    return {name: tables[name].orderBy(*tables[name].columns).limit(n) for name in names}
 
 
 def negative_ram(tables: Tables) -> DataFrame:
@@ -82,10 +83,11 @@ def status_distribution(tables: Tables) -> DataFrame:
     return tables["system_display_devices"].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_pairs(sources: Tables, n: int = 100) -> DataFrame:
+def category_pairs(sources: Tables) -> DataFrame:
+    """Every pair of parent and sub-category that occurs; a caller may limit them."""
     pairs = sources["web_usage"].select("parent_category", "sub_category").distinct()
     label = F.concat("parent_category", F.lit("-"), "sub_category").alias("category")
-    return pairs.select(label).distinct().orderBy(F.col("category").asc_nulls_last()).limit(n)
+    return pairs.select(label).distinct().orderBy(F.col("category").asc_nulls_last())
 
 
 def battery_nulls(tables: Tables) -> DataFrame:

@@ -86,7 +86,7 @@ def evaluation_summary(
     hard = passes(F.col("metric_type"), F.col("value"))
     # At most one row per query and mechanism on the base side.
     out = rows.join(F.broadcast(base), group, "left").groupBy(*group).agg(
-        F.first("primary_col").alias("primary_col"),
+        F.min("primary_col").alias("primary_col"),
         F.max(F.struct(badness.alias("b"), (-F.col("eps")).alias("o"), "value", "epsilon"))
         .alias("worst"),
         F.min(F.struct(badness.alias("b"), F.col("eps").alias("o"), "value", "epsilon"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetveil.functions.draws import fresh_seed, snap_to_grid
-from fleetveil.functions.exprs import KEY_SEPARATOR, joined_key
+from fleetveil.functions.exprs import joined_key, key_parts
 from fleetveil.operators.noise import (
     Policy,
     add_noise,
@@ -26,6 +26,7 @@ from fleetveil.plans.registry import (
     DELTA,
     EPSILON_GRID,
     INF,
+    KEY_TYPES,
     MECHANISMS,
     Limits,
     ReleasedQuery,
@@ -170,8 +171,8 @@ def run_release(
 
 
 def published_table(release: Release, number: int) -> DataFrame:
-    """One query's noisy result in wide form, keys split back, for every mechanism
-    and epsilon. Query 12 gets its rank from the noisy values."""
+    """One query's noisy result in wide form, keys split back with their types, for every
+    mechanism and epsilon. Query 12 gets its rank from the noisy values."""
     query = release.registry[number]
     at = ["mechanism", "epsilon", "group_key"]
     if not query.columns:
@@ -182,14 +183,14 @@ def published_table(release: Release, number: int) -> DataFrame:
         names = [c.name for c in query.columns]
         wide = (
             release.cells.where(F.col("query_num") == number)
-            .groupBy(*at).pivot("column", names).agg(F.first("noisy_value"))
+            .groupBy(*at).pivot("column", names).agg(F.max("noisy_value"))
         )
     if number == 12:
         wide = full_rank(
             wide, "total_power_consumption", "rnk", ["mechanism", "epsilon"], nulls=False
         )
-    parts = F.split("group_key", KEY_SEPARATOR)
-    keys = [parts.getItem(i).alias(k) for i, k in enumerate(query.keys)]
+    types = [KEY_TYPES.get(k, "string") for k in query.keys]
+    keys = [c.alias(k) for c, k in zip(key_parts("group_key", types), query.keys)]
     return wide.select("mechanism", "epsilon", *keys, *wide.columns[3:])
 
 

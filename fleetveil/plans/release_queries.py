@@ -99,7 +99,7 @@ def display_vendor_share(t: Tables, limits: Limits) -> DataFrame:
 
 def blockers_by_os(t: Tables, limits: Limits) -> DataFrame:
     group = ["os_name", "os_codename"]
-    measures = [count_of("entries", limits.blocker_entries)]
+    measures = [sum_of("entries", "n_rows", limits.blocker_entries)]
     units = _units(blockers_with_os(t), group, measures, limits)
     out = group_summary(
         units, group, [F.sum("entries").alias("num_entries")], limits.min_units[5]

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from fleetveil.functions.draws import hashed_uniform
 from fleetveil.sources.sinks import run_report, write_table
 
-SAMPLE_TARGET_BYTES = 200 * 1024 * 1024
 CORRUPT = "_corrupt_record"
 
 
@@ -88,10 +88,25 @@ def folder_bytes(spark: SparkSession, folder: str) -> int:
     return files.getContentSummary(path).getLength()
 
 
-def sample_fraction(size: int, target: int = SAMPLE_TARGET_BYTES) -> float:
+def sample_fraction(size: int, target: int) -> float:
+    """The fraction that brings ``size`` bytes down to ``target``; 1 if they are few enough."""
     return 1.0 if size <= target else target / size
 
 
+def sample_by_key(
+    rows: DataFrame, fraction: float, seed: str, keys: Sequence[str] | None = None
+) -> DataFrame:
+    """The rows whose hash of seed and key columns (all by default) lies below ``fraction``.
+
+    A row's fate depends on its own values only, so the sample is the same however the table
+    is partitioned; rows with equal keys are kept or left out together.
+    """
+    if fraction >= 1.0:
+        return rows
+    parts = [rows[f"`{k}`"] for k in (keys or rows.columns)]
+    return rows.where(hashed_uniform(seed, *parts) < F.lit(float(fraction)))
+
+
 def read_source(spark: SparkSession, source: SourceTable) -> DataFrame:
     if not folder_exists(spark, source.folder):
         raise FileNotFoundError(f"no folder for {source.name}: {source.folder}")
@@ -103,34 +118,30 @@ def read_source(spark: SparkSession, source: SourceTable) -> DataFrame:
 def read_sampled(
     spark: SparkSession,
     source: SourceTable,
-    target_bytes: int = SAMPLE_TARGET_BYTES,
-    seed: int | None = None,
+    fraction: float,
+    seed: str,
+    keys: Sequence[str] | None = None,
 ) -> tuple[DataFrame, int, float]:
-    """The table, its stored bytes and the fraction kept: whole up to the target
-    size, otherwise a Bernoulli sample of about the target."""
+    """A sample of the table, its stored bytes and the fraction: see ``sample_by_key``."""
     rows = read_source(spark, source)
     size = folder_bytes(spark, source.folder)
-    fraction = sample_fraction(size, target_bytes)
-    return (rows if fraction >= 1.0 else rows.sample(False, fraction, seed)), size, fraction
+    return sample_by_key(rows, fraction, seed, keys), size, fraction
 
 
 def load_tables(
     spark: SparkSession,
     sources: Sequence[SourceTable],
     folder: str,
-    target_bytes: int | None = None,
-    seed: int | None = None,
+    fractions: Mapping[str, float] | None = None,
+    seed: str = "",
 ) -> DataFrame:
-    """Load sources into stored tables; with ``target_bytes`` the large ones are
-    sampled. Returns (table, status, rows, bytes, fraction, error): a missing or
+    """Load sources into stored tables; a table named in ``fractions`` is sampled.
+    Returns (table, status, rows, bytes, fraction, error): a missing or
     unreadable source is one row of the report and does not stop the others."""
 
     def job(source: SourceTable):
-        if target_bytes is None:
-            rows, fraction = read_source(spark, source), 1.0
-            size = folder_bytes(spark, source.folder)
-        else:
-            rows, size, fraction = read_sampled(spark, source, target_bytes, seed)
+        fraction = (fractions or {}).get(source.name, 1.0)
+        rows, size, fraction = read_sampled(spark, source, fraction, seed)
         return write_table(rows, f"{folder}/{source.name}"), size, fraction
 
     return run_report(spark, {s.name: (lambda s=s: job(s)) for s in sources})

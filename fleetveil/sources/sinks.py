@@ -117,8 +117,18 @@ def export_results(
     return run_report(spark, {n: (lambda n=n: job(n)) for n in results})
 
 
+def noisy_only(released: DataFrame) -> DataFrame:
+    return released.drop(*[c for c in released.columns if c.startswith("true_")])
+
+
 def write_release(released: DataFrame, folder: str) -> None:
-    """Noisy cells, laid out by mechanism, variant, epsilon and query."""
+    """Noisy cells or winners, laid out by mechanism, variant, epsilon and query.
+
+    A frame that still has a true column is refused: ``noisy_only`` takes them off.
+    """
+    true = [c for c in released.columns if c.startswith("true_")]
+    if true:
+        raise ValueError(f"true values must not be stored with the noise: {', '.join(true)}")
     keys = ["mechanism", "variant", "epsilon", "query_num"]
     released.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(folder)
 

@@ -215,10 +215,16 @@ DEMO_REGISTRY = release_registry(DEMO_LIMITS)
 DEMO_POLICY = Policy()
 
 
+def _key_part(column: str) -> str:
+    """A grouping value as it stands in a joined key: NULL, backslash and separator marked."""
+    text = f"replace(replace(CAST({column} AS VARCHAR), '\\', '\\b'), chr(31), '\\s')"
+    return f"coalesce({text}, '\\0')"
+
+
 def _cells() -> str:
     parts = []
     for q in DEMO_REGISTRY.values():
-        key = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in q.keys)
+        key = ", ".join(map(_key_part, q.keys))
         for c in q.columns:
             parts.append(
                 f"SELECT {q.number} AS query_num, concat_ws(chr(31), {key}) AS group_key, "
@@ -295,10 +301,10 @@ CTES |= {
         FROM (SELECT *, sum(base) OVER (PARTITION BY {_AT}, group_key, is_dist) AS r2
               FROM row_scaled) x""",
     "selection_draws": f"""
-        SELECT 6 AS query_num, mechanism, epsilon, country AS group_key, browser AS item,
+        SELECT 6 AS query_num, mechanism, epsilon, {_key_part('country')} AS group_key, browser AS item,
                number_of_systems AS true_value,
                CASE WHEN epsilon = 'inf' THEN number_of_systems ELSE number_of_systems
-                   + {laplace('1 / eps', uniform('6', 'epsilon', 'mechanism', 'country', 'browser', "'1'"))}
+                   + {laplace('1 / eps', uniform('6', 'epsilon', 'mechanism', _key_part('country'), 'browser', "'1'"))}
                END AS noisy_value
         FROM e06_counts CROSS JOIN (SELECT * FROM (VALUES {_GRID}) AS v(mechanism, epsilon, eps)) g""",
     "winners": f"""

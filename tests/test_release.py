@@ -13,6 +13,7 @@ from fleetveil.plans.release import (
     noisy_cells,
     privacy_ledger,
     published_table,
+    result_cells,
     run_release,
 )
 from fleetveil.plans.release_queries import export_release_queries
@@ -125,6 +126,25 @@ def test_budget_shares():
     assert shares[8] == 2.0 and sum(shares.values()) == pytest.approx(10.0)
 
 
+def test_published_tables_keep_null_and_empty_keys_and_types(spark):
+    registry = release_registry(DEMO_LIMITS)
+    odd = spark.createDataFrame(
+        [(None, "x", 10, 1.0), ("", "x", 20, 2.0), ("a\x1fb\\s", None, 30, 3.0)],
+        "marketcodename string, cpugen string, number_of_systems long, "
+        "avg_duration_mins_on_battery double")
+    cells = noisy_cells(
+        result_cells(odd, registry[2]), registry, Policy(), "s", epsilons=[float("inf")])
+    wide = published_table(Release(cells, None, registry), 2).where("mechanism = 'laplace'")
+    got = {(r.marketcodename, r.cpugen): r.number_of_systems for r in wide.collect()}
+    assert got == {(None, "x"): 10.0, ("", "x"): 20.0, ("a\x1fb\\s", None): 30.0}
+    ram = spark.createDataFrame([(8.0, 9, 50.0), (None, 7, 40.0)],
+                                "ram_gb double, number_of_systems long, avg_percentage_used double")
+    cells = noisy_cells(
+        result_cells(ram, registry[11]), registry, Policy(), "s", epsilons=[float("inf")])
+    wide = published_table(Release(cells, None, registry), 11)
+    assert dict(wide.dtypes)["ram_gb"] == "double" and wide.where("ram_gb IS NULL").count() == 2
+
+
 def test_published_tables(release):
     wide = published_table(release, 3).where("epsilon = '0.5'")
     assert wide.columns[2:] == [

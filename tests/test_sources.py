@@ -61,7 +61,7 @@ def test_load_samples_large_and_reports_failures(spark, tmp_path, dirty):
             SourceTable("gone", str(tmp_path / "gone")),
             SourceTable("bad", str(bad)),
         ],
-        str(tmp_path / "db"), target_bytes=size // 4, seed=7,
+        str(tmp_path / "db"), fractions={"big": 0.25}, seed="7",
     )
     got = {r.table: r for r in report.collect()}
     assert got["big"].status == "sampled" and got["big"].bytes == size
@@ -72,6 +72,16 @@ def test_load_samples_large_and_reports_failures(spark, tmp_path, dirty):
     assert got["gone"].status == "missing" and got["bad"].status == "failed" and got["bad"].error
 
 
+def test_a_sample_does_not_depend_on_the_partitioning(spark):
+    rows = spark.range(5_000).select("id", F.lit("x").alias("v"))
+    kept = [
+        {r.id for r in readers.sample_by_key(rows.repartition(n), 0.3, "s", ["id"]).collect()}
+        for n in (2, 7)
+    ]
+    assert kept[0] == kept[1] and 1_300 < len(kept[0]) < 1_700
+    assert readers.sample_by_key(rows, 1.0, "s").count() == 5_000
+
+
 def test_full_load(spark, tmp_path):
     spark.range(100).write.parquet(str(tmp_path / "t"))
     report = readers.load_tables(
@@ -138,7 +148,11 @@ def test_release_and_summary_sinks(spark, tmp_path):
         [(1, "laplace", "advance", e, "g", "c", 1.0, 1.5) for e in ("0.5", "inf")],
         "query_num int, mechanism string, variant string, epsilon string, group_key string, "
         "column string, true_value double, noisy_value double")
-    sinks.write_release(rows, str(tmp_path / "r"))
+    with pytest.raises(ValueError, match="true_value"):
+        sinks.write_release(rows, str(tmp_path / "r"))
+    sinks.write_release(sinks.noisy_only(rows), str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    assert stored.count() == 2 and not any(c.startswith("true_") for c in stored.columns)
     assert (tmp_path / "r/mechanism=laplace/variant=advance/epsilon=inf/query_num=1").is_dir()
     sinks.write_summary(rows, str(tmp_path / "s"), as_csv=True)
     assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 2
@@ -175,6 +189,15 @@ def test_stored_layer_answers_like_the_lazy_one(spark, tables, tmp_path):
 def test_sample_rows(tables):
     got = checks.sample_rows(tables, ["system_cpu_metadata", "system_userwait"], 25)
     assert all(df.count() == 25 for df in got.values())
+    again = checks.sample_rows(
+        {n: t.repartition(5) for n, t in tables.items() if n in got}, list(got), 25)
+    assert all(sorted(map(str, got[n].collect())) == sorted(map(str, again[n].collect())) for n in got)
+
+
+def test_all_category_pairs_are_listed(spark):
+    pairs = spark.range(300).select(
+        F.col("id").cast("string").alias("parent_category"), F.lit("s").alias("sub_category"))
+    assert checks.category_pairs({"web_usage": pairs}).count() == 300
 
 
 def test_web_pivot_copy_exists_only_with_its_source(spark, sources):

@@ -14,6 +14,7 @@ from oracles.texts import (
     DEMO_REGISTRY,
     POWER_PARTS,
     _plan,
+    p_value,
     pivot_columns,
 )
 
@@ -439,9 +440,12 @@ _case("s04_sized_sample", "l_orderkey:i l_partkey:i l_quantity:d",
       "substr(md5(concat_ws('|', '7', l_orderkey, l_linenumber)), 1, 12) AS BIGINT) + 0.5) "
       "/ 281474976710656.0 < 0.25")
 
-ROWS_ONLY: dict[str, str] = {
-    "m06_p_values": f"{_ATS} spearman_rho:d p_value:d",
-}
+_case("m06_p_values", f"{_ATS} spearman_rho:d p_value:d",
+      f"SELECT *, {p_value()} AS p_value FROM (SELECT * FROM m_rho UNION ALL SELECT * FROM m_cat) r "
+      "WHERE spearman_rho IS NOT NULL")
+
+# Queries without an SQL form: none.
+ROWS_ONLY: dict[str, str] = {}
 
 
 def oracle(name: str) -> str:

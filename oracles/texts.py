@@ -342,6 +342,31 @@ def _rho(x: str, y: str) -> str:
     )
 
 
+def _spread(x: str, y: str) -> str:
+    """What the p-value of a correlation needs: degrees of freedom, no variation, size."""
+    return (
+        f"count(*) - 2 AS df, var_pop({x}) = 0 OR var_pop({y}) = 0 AS flat, "
+        f"least(abs(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y}))), 1.0) AS r"
+    )
+
+
+def p_value() -> str:
+    """Two-sided p-value by Student's t from the columns of :func:`_spread`.
+
+    For whole degrees of freedom the distribution is a finite sum over powers of an angle's
+    cosine; the angle's tangent is t / sqrt(degrees), so its sine is the correlation itself.
+    """
+    even = ("list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(2 * k + 1) "
+            "- 2 * lgamma(k + 1) - k * ln(4.0)) * pow(1 - r * r, k)))")
+    odd = ("coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(k * ln(4.0) "
+           "+ 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - r * r, k + 0.5))), 0)")
+    return (
+        f"CASE WHEN df < 0 THEN NULL WHEN flat THEN 1.0 WHEN df < 1 THEN NULL "
+        f"WHEN r >= 1 THEN 0.0 WHEN df % 2 = 0 THEN {r4(f'1 - r * {even}')} "
+        f"ELSE {r4(f'1 - 2 / pi() * (asin(r) + r * {odd})')} END"
+    )
+
+
 _FIRST = " OR ".join(
     f"(query_num = {q.number} AND col = '{q.metric_columns[0]}')"
     for q in DEMO_REGISTRY.values() if q.columns
@@ -365,7 +390,7 @@ CTES |= {
         SELECT {_AT}, {r4('avg(tvd)')} AS mean_tvd, {r4('max(tvd)')} AS max_tvd
         FROM m_tvd WHERE query_num IN (7, 8) GROUP BY ALL""",
     "m_rho": f"""
-        SELECT {_AT}, {_rho('tr', 'nr')} AS spearman_rho
+        SELECT {_AT}, {_rho('tr', 'nr')} AS spearman_rho, {_spread('tr', 'nr')}
         FROM (SELECT {_AT}, {_AVG_RANK.format(p=_AT, v='true_value', d='DESC')} AS tr,
                      {_AVG_RANK.format(p=_AT, v='noisy_value', d='DESC')} AS nr
               FROM released WHERE {_metric_filter('SPEARMAN')}) x
@@ -375,7 +400,7 @@ CTES |= {
                count(*) OVER (PARTITION BY {_AT}) AS n
         FROM winners""",
     "m_cat": f"""
-        SELECT {_AT}, {_rho('pos', 'nr')} AS spearman_rho
+        SELECT {_AT}, {_rho('pos', 'nr')} AS spearman_rho, {_spread('pos', 'nr')}
         FROM (SELECT *, {_AVG_RANK.format(p=_AT, v='lab', d='ASC')} AS nr
               FROM (SELECT a.*, coalesce((SELECT max(b.pos) FROM placed b
                         WHERE b.mechanism = a.mechanism AND b.epsilon = a.epsilon

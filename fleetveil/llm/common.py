@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,9 +56,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here."""
     folder = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(folder)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    It does so when the driver's garbage collection finds that nothing refers to them, which
+    with a driver that does little may otherwise be long after.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a frame made by ``stored`` once nothing reads it any more."""
     spark = df.sparkSession
@@ -77,6 +88,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, even if used inside lambda functions."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fold_remainder(doc_id: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

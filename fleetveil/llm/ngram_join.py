@@ -2,15 +2,19 @@
 
 A global order puts rare n-grams first: n-grams fall into a fixed number of buckets, and buckets
 are ranked by how many n-grams of the corpus they hold. The order is cut into fragments of
-equal mass, so a document's set is a few sorted segments, one in each fragment. Candidates share
-one of the first n-grams of both sets; their overlap is counted in each fragment separately and
+equal mass, so a document's set is a few segments, one in each fragment. Candidates share one
+of the first n-grams of both sets; their overlap is counted in each fragment separately and
 summed per pair.
 
 Documents with equal sets are one class from the start. Links inside a large group of near
-copies are not enumerated: in two rounds every class is compared with one pivot of each n-gram
-group, the links found are merged into components, and only pairs from different components that
-share an n-gram are compared after that. No pair that could join two components is left out, so
-the components are exact.
+copies are not enumerated: first every class is compared with one pivot of each n-gram group,
+the member with the fewest rarer n-grams, which in a group of copies is the original. The links
+found are merged into components, and then only pairs from different components that share one
+of their first n-grams are compared. No pair that could join two components is left out, so the
+components are exact.
+
+Only classes that stand in a candidate pair send their segments through a shuffle. Tasks learn
+which from sorted lists in the shared folder, mapped into memory.
 
 Sets are sets of 64-bit hashes; classes are told apart by a 128-bit hash of the set.
 """
@@ -20,34 +24,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop_stored, new_folder, shuffle_width, stored, text_or_empty
 from .components import connected_components
-from .language_model import map_array, shard_of, token_hashes, write_array
+from .language_model import map_columns, shard_of, write_columns
+from .word_hashes import mix, word_hashes
 
 WORDS, PERCENT = 3, 90
-#: Buckets of the global order; 4 MB reach each worker, whatever the corpus.
+#: Buckets of the global order; 5 MB reach each worker, whatever the corpus.
 BUCKETS = 1 << 20
 SLICE = 1 << 14
 FRAGMENTS = 8
+#: Stands for a null doc_id in the mapped lists.
+NO_ID = -(1 << 63)
 
 
-def ngram_set(text: str, words: int) -> np.ndarray:
+def ngram_set(words_hashed: np.ndarray, words: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; a shorter text is one n-gram as a whole."""
-    h = token_hashes(text)[:-1]
-    if len(h) == 0:
-        return h
-    width = min(words, len(h))
-    n = len(h) - width + 1
+    if len(words_hashed) == 0:
+        return words_hashed
+    width = min(words, len(words_hashed))
+    n = len(words_hashed) - width + 1
     out = np.full(n, width, np.uint64)
     for i in range(width):
-        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
-    return np.unique(out)
+        out = mix(out + words_hashed[i : i + n])
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+def ngram_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The set of each text of an Arrow column."""
+    hashes, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    for start, end in zip((ends - counts).tolist(), ends.tolist()):
+        yield ngram_set(hashes[start:end], words)
 
 
 def class_key(ngrams: np.ndarray) -> bytes:
@@ -75,48 +89,60 @@ class Order:
         self.fragment = np.empty(BUCKETS, np.uint8)
         self.fragment[by_count] = part
 
-    def sort(self, ngrams: np.ndarray) -> np.ndarray:
-        return ngrams[np.lexsort((ngrams, self.rank[_buckets(ngrams)]))]
+    def first(self, ngrams: np.ndarray, n: int) -> np.ndarray:
+        """The first n of the n-grams in the global order."""
+        ranks = self.rank[_buckets(ngrams)]
+        if n < len(ngrams):  # all that are not behind the n-th rank, ties included
+            near = ranks <= np.partition(ranks, n - 1)[n - 1]
+            ngrams, ranks = ngrams[near], ranks[near]
+        return ngrams[np.lexsort((ngrams, ranks))][:n]
+
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(a) for a in arrays])
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
-def _signed(ngrams: np.ndarray) -> np.ndarray:
-    return ngrams.view(np.int64)
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
 
 
 def _measured(docs: DataFrame, words: int) -> DataFrame:
     """One row per document (doc_id, n, cls), and each task's bucket counts in slices."""
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(BUCKETS, np.uint32)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        names = ["doc_id", "n", "cls", "slice", "counts"]
         for batch in batches:
-            sets = [ngram_set(t, words) for t in batch["text"]]
-            for s in sets:
-                np.add.at(counts, _buckets(s), 1)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
-                "cls": [class_key(s) for s in sets], "slice": None, "counts": None,
-            })
+            sets = list(ngram_sets(batch.column("text"), words))
+            if sets:
+                counts += np.bincount(_buckets(np.concatenate(sets)), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([class_key(s) for s in sets], pa.binary()),
+                pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
+            ], names)
         parts = counts.reshape(-1, SLICE)
         full = [i for i in range(len(parts)) if parts[i].any()]
-        yield pd.DataFrame({
-            "doc_id": None, "n": None, "cls": None, "slice": full,
-            "counts": [parts[i].tobytes() for i in full],
-        })
-
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return stored(
-        rows.mapInPandas(measure, f"doc_id {doc_type}, n long, cls binary, slice int, counts binary"),
-        "ngram-sets",
-    )
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()),
+            pa.nulls(len(full), pa.binary()), pa.array(full, pa.int32()),
+            pa.array([parts[i].astype(np.uint32).tobytes() for i in full], pa.binary()),
+        ], names)
+
+    schema = "doc_id long, n long, cls binary, slice int, counts binary"
+    return stored(_rows(docs).mapInArrow(measure, schema), "ngram-sets")
 
 
 def _order(measured: DataFrame) -> Order:
-    """Bucket counts of the whole corpus: one short array per slice reaches the driver."""
+    """Bucket counts of the whole corpus: BUCKETS / SLICE short arrays reach the driver."""
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def add(key, rows):
         total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in rows["counts"])
-        return pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
+        rows = rows.iloc[:1].copy()
+        rows["counts"] = [total.tobytes()]
+        return rows
 
     slices = measured.where("slice IS NOT NULL").select("slice", "counts")
     counts = np.zeros((BUCKETS // SLICE, SLICE), np.int64)
@@ -125,116 +151,148 @@ def _order(measured: DataFrame) -> Order:
     return Order(counts.ravel())
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
-    """(token, cls, n, pos): the first n-grams of each class, once per class and task."""
+def _meetings(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
+    """(token, cls, n, pos): the first n-grams of each class that another class shares."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # copies within a task are one class here already
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                s = ngram_set(text, words)
+            keys, sizes, firsts = [], [], []
+            for s in ngram_sets(batch.column("text"), words):
                 key = class_key(s)
                 if len(s) and key not in seen:
                     seen.add(key)
-                    first = order.value.sort(s)[: prefix_length(len(s), percent)]
-                    rows.append((key, len(s), _signed(first)))
-            yield pd.DataFrame(rows, columns=["cls", "n", "tokens"])
-
-    rows = docs.select(text_or_empty().alias("text"))
-    first = rows.mapInPandas(emit, "cls binary, n int, tokens array<long>")
-    return first.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
-
-
-def _segments(docs: DataFrame, words: int, order, wanted: str, shards: int) -> DataFrame:
-    """(cls, fragment, tokens) of the classes in the mapped list ``wanted``."""
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists = [map_array(wanted, f"classes-{s}", CLASS) for s in range(shards)]
-        seen: set[bytes] = set()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                s = ngram_set(text, words)
-                key = class_key(s)
-                if not len(s) or key in seen or not _listed(lists, key):
-                    continue
-                seen.add(key)
-                parts = order.value.fragment[_buckets(s)]
-                for f in np.unique(parts):
-                    rows.append((key, int(f), _signed(s[parts == f])))
-            yield pd.DataFrame(rows, columns=["cls", "fragment", "tokens"])
+                    keys.append(key)
+                    sizes.append(len(s))
+                    firsts.append(order.value.first(s, prefix_length(len(s), percent)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), _lists(firsts)],
+                ["cls", "n", "tokens"],
+            )
 
-    rows = docs.select(text_or_empty().alias("text"))
-    return rows.mapInPandas(emit, "cls binary, fragment int, tokens array<long>")
+    first = _rows(docs).select("text").mapInArrow(emit, "cls binary, n int, tokens array<long>")
+    rows = first.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
+    group = Window.partitionBy("token")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.lag("cls").over(group.orderBy("cls"))
+    marked = rows.select(
+        "token", "cls", "n", "pos", F.min("cls").over(whole).alias("low"),
+        F.max("cls").over(whole).alias("high"), before.alias("before"),
+    )
+    own = F.col("before").isNull() | (F.col("before") != F.col("cls"))
+    return stored(marked.where((F.col("low") != F.col("high")) & own).select("token", "cls", "n", "pos"), "ngram-meetings")
 
 
-def _head(key: bytes) -> np.uint64:
-    return np.uint64(int.from_bytes(key[:8], "little"))
+KEY = ["head", "tail"]
 
 
-def _listed(lists: list[np.ndarray], key: bytes) -> bool:
-    """Whether a class stands in the sorted lists, one for each range of its first bytes."""
-    head = _head(key)
-    part = lists[int(shard_of(np.array([head]), len(lists))[0])]
-    at = np.searchsorted(part["head"], head)
-    while at < len(part) and part["head"][at] == head:
-        if part["tail"][at] == int.from_bytes(key[8:], "little"):
-            return True
-        at += 1
-    return False
+def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
-CLASS = np.dtype([("head", "<u8"), ("tail", "<u8")])
+def _sharded(keys: Column, shards: int) -> Column:
+    @F.pandas_udf("int")
+    def shard(values):
+        heads = _halves([bytes(v) for v in values])[0]
+        return values.iloc[:0].astype("int32") if not len(values) else type(values)(
+            shard_of(heads, shards).astype(np.int32), index=values.index
+        )
 
+    return shard(keys)
 
-def _write_classes(classes: DataFrame, folder: str, shards: int) -> None:
-    """The distinct classes as sorted arrays in the shared folder, by ranges of the key."""
 
-    def shard(keys: pd.Series) -> pd.Series:
-        heads = np.array([_head(k) for k in keys], np.uint64)
-        return pd.Series(shard_of(heads, shards), dtype="int32")
+def _write_list(rows: DataFrame, folder: str, name: str, shards: int) -> None:
+    """(cls, doc_id, other) as sorted columns in the shared folder, by ranges of cls."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, set[bytes]] = {}
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple]] = {}
         for batch in batches:
-            for s, key in zip(batch["shard"], batch["cls"]):
-                found.setdefault(int(s), set()).add(bytes(key))
-        for s, keys in found.items():
-            array = np.frombuffer(b"".join(sorted(keys, key=_head)), CLASS)
-            write_array(folder, f"classes-{s}", array)
-        yield pd.DataFrame({"n": [sum(map(len, found.values()))]})
+            for s, *row in zip(*[batch.column(c).to_pylist() for c in ("shard", "cls", "doc_id", "other")]):
+                found.setdefault(s, []).append(tuple(row))
+        for s, rows in found.items():
+            head, tail = _halves([r[0] for r in rows])
+            other = _halves([r[2] for r in rows])
+            order = np.lexsort((tail, head))
+            ids = np.array([NO_ID if r[1] is None else r[1] for r in rows], np.int64).view(np.uint64)
+            columns = {"head": head, "tail": tail, "doc": ids, "ohead": other[0], "otail": other[1]}
+            write_columns(folder, f"{name}-{s}", {k: v[order] for k, v in columns.items()})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(map(len, found.values()))], pa.int64())})
+
+    sharded = rows.select(_sharded(F.col("cls"), shards).alias("shard"), "cls", "doc_id", "other")
+    sharded.repartitionById(shards, F.col("shard")).mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+class Listed:
+    """A list made by ``_write_list`` as a worker sees it."""
+
+    def __init__(self, folder: str, name: str, shards: int):
+        self.folder, self.name, self.shards = folder, name, shards
+        self.tables: dict[int, dict[str, np.ndarray]] = {}
+
+    def find(self, key: bytes, doc_id: int | None) -> list[bytes]:
+        """The other side of every row of this class, if this document stands for it."""
+        head, tail = np.frombuffer(key, np.uint64)
+        s = int(shard_of(np.array([head]), self.shards)[0])
+        if s not in self.tables:
+            self.tables[s] = map_columns(self.folder, f"{self.name}-{s}")
+        table = self.tables[s]
+        if not table:
+            return []
+        doc = np.int64(NO_ID if doc_id is None else doc_id).view(np.uint64)
+        at, out = int(np.searchsorted(table["head"], head)), []
+        while at < len(table["head"]) and table["head"][at] == head:
+            if table["tail"][at] == tail and table["doc"][at] == doc:
+                out.append(np.array([table["ohead"][at], table["otail"][at]], np.uint64).tobytes())
+            at += 1
+        return out
+
+
+def _segments(docs: DataFrame, words: int, order, folder: str, name: str, shards: int) -> DataFrame:
+    """(cls, other, fragment, tokens) for every row of a mapped list."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = Listed(folder, name, shards)
+        for batch in batches:
+            keys, others, fragments, tokens = [], [], [], []
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), ngram_sets(batch.column("text"), words)):
+                key = class_key(s)
+                found = listed.find(key, doc_id) if len(s) else []
+                if found:
+                    parts = order.value.fragment[_buckets(s)]
+                    pieces = [(int(f), s[parts == f]) for f in np.unique(parts)]
+                    for other in found:
+                        for f, piece in pieces:
+                            keys.append(key)
+                            others.append(other)
+                            fragments.append(f)
+                            tokens.append(piece)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(others, pa.binary()),
+                 pa.array(fragments, pa.int32()), _lists(tokens)],
+                ["cls", "other", "fragment", "tokens"],
+            )
 
-    sharded = classes.select("cls", F.pandas_udf(shard, "int")("cls").alias("shard"))
-    sharded.repartitionById(shards, F.col("shard")).mapInPandas(write, "n long").agg(F.sum("n")).first()
+    return _rows(docs).mapInArrow(emit, "cls binary, other binary, fragment int, tokens array<long>")
 
 
 def _possible(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Length and position bounds of a pair that meets first in n-grams at pa and pb."""
+    """Length and position bounds of a pair that meets first in n-grams at these places."""
     most = F.least(na - pa, nb - pb)
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (
         most * (100 + percent) >= (na + nb) * percent
     )
 
 
-def _pair(other: str) -> list[Column]:
-    swap = F.col("cls") > F.col(f"{other}.cls")
-    mine, its = F.struct("cls", "n"), F.struct(F.col(f"{other}.cls"), F.col(f"{other}.n"))
-    return [
-        F.when(swap, its).otherwise(mine).alias("a"), F.when(swap, mine).otherwise(its).alias("b")
-    ]
-
-
-def _pivot_pairs(first: DataFrame, rule: Column, percent: int) -> DataFrame:
-    """Each class with the pivot of each of its n-gram groups, if in another component."""
-    pivots = first.groupBy("token").agg(
-        F.min(F.struct(rule.alias("rule"), "cls", "n", "pos", "component")).alias("p")
-    )
+def _pivot_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """(cls, other, both): each class with the pivot of each of its n-gram groups."""
+    pivots = first.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("p"))
     joined = first.join(pivots, "token").where(
-        (F.col("component") != F.col("p.component"))
+        (F.col("cls") != F.col("p.cls"))
         & _possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent)
     )
-    return joined.select(*_pair("p")).distinct()
+    both = (F.col("n") + F.col("p.n")).alias("both")
+    return joined.select("cls", F.col("p.cls").alias("other"), both).distinct()
 
 
 def _cross_pairs(first: DataFrame, percent: int) -> DataFrame:
@@ -248,22 +306,39 @@ def _cross_pairs(first: DataFrame, percent: int) -> DataFrame:
         (F.col("component") < F.col("p.component"))
         & _possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent)
     )
-    return joined.select(*_pair("p")).distinct()
+    both = (F.col("n") + F.col("p.n")).alias("both")
+    return joined.select("cls", F.col("p.cls").alias("other"), both).distinct()
 
 
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar enough, overlaps counted by fragment and summed."""
-    a = segments.select(F.col("cls").alias("ca"), "fragment", F.col("tokens").alias("ta"))
-    b = segments.select(F.col("cls").alias("cb"), "fragment", F.col("tokens").alias("tb"))
-    keyed = pairs.select(
-        F.col("a.cls").alias("ca"), F.col("b.cls").alias("cb"), (F.col("a.n") + F.col("b.n")).alias("both")
+def _links(docs: DataFrame, words: int, percent: int, order, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that are similar enough, overlaps counted by fragment and summed.
+
+    The first class of a pair sends its segments once for each of its pairs, the other one
+    once; both come from the document that stands for the class.
+    """
+    spark = docs.sparkSession
+    folder, shards = new_folder(spark, "ngram-lists"), shuffle_width(spark)
+    ids = classes.select("cls", "doc_id")
+    members = pairs.join(ids, "cls").select("cls", "doc_id", "other")
+    others = pairs.select(F.col("other").alias("cls")).distinct().join(ids, "cls")
+    listed = members.union(others.select("cls", "doc_id", F.col("cls").alias("other")))
+    _write_list(listed, folder, "pairs", shards)
+    sent = stored(_segments(docs, words, order, folder, "pairs", shards), "ngram-segments")
+    members = sent.where(F.col("cls") != F.col("other"))
+    pivots = sent.where(F.col("cls") == F.col("other")).select(
+        "other", "fragment", F.col("tokens").alias("theirs")
     )
-    partial = keyed.join(a, "ca").join(b, ["cb", "fragment"]).select(
-        "ca", "cb", "both", F.size(F.array_intersect("ta", "tb")).alias("overlap")
+    partial = members.join(pivots, ["other", "fragment"]).select(
+        "cls", "other", "fragment", F.size(F.array_intersect("tokens", "theirs")).alias("overlap")
     )
-    total = partial.groupBy("ca", "cb", "both").agg(F.sum("overlap").alias("overlap"))
+    # A row repeated with its doc_id sends its segments twice.
+    once = partial.groupBy("cls", "other", "fragment").agg(F.max("overlap").alias("overlap"))
+    total = once.groupBy("cls", "other").agg(F.sum("overlap").alias("overlap"))
     enough = F.col("overlap") * (100 + percent) >= F.col("both") * percent
-    return total.where(enough).select("ca", "cb")
+    linked = pairs.join(total, ["cls", "other"]).where(enough)
+    links = stored(linked.select(F.col("cls").alias("a"), F.col("other").alias("b")), "ngram-links")
+    drop_stored(sent)
+    return links
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -276,49 +351,25 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     component are null. Repeated rows give repeated rows; other columns are ignored; an empty
     table gives an empty result.
     """
-    spark = docs.sparkSession
     measured = _measured(docs, words)
     rows = measured.where("cls IS NOT NULL").select("doc_id", "n", "cls")
-    shared = spark.sparkContext.broadcast(_order(measured))  # BUCKETS x 5 bytes
+    order = docs.sparkSession.sparkContext.broadcast(_order(measured))  # BUCKETS x 5 bytes
     classes = stored(
         rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "ngram-classes"
     )
-    prefixes = stored(_prefixes(docs, words, percent, shared), "ngram-prefixes")
-    # Only n-grams that several classes begin with can bring two together.
-    met = prefixes.groupBy("token").agg(
-        F.min("cls").alias("low"), F.max("cls").alias("high")
-    ).where("low <> high").select("token")
-    first = stored(prefixes.join(met, "token").distinct(), "ngram-meetings")
-    drop_stored(prefixes)
-    shards, wanted = shuffle_width(spark), new_folder(spark, "ngram-wanted")
-    _write_classes(first.select("cls").distinct(), wanted, shards)
-    segments = stored(
-        _segments(docs, words, shared, wanted, shards).dropDuplicates(["cls", "fragment"]),
-        "ngram-segments",
+    first = _meetings(docs, words, percent, order)
+    pairs = stored(_pivot_pairs(first, percent), "ngram-pairs")
+    links = _links(docs, words, percent, order, pairs, classes)
+    drop_stored(pairs)
+    groups = stored(connected_components(links), "ngram-components")
+    placed = first.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls")
     )
-    links, groups = None, None
-    # Round one: the member with the fewest rarer n-grams, in a group of copies the original;
-    # round two: an arbitrary one; last: all pairs that could still join two components.
-    rules = [F.col("pos"), F.xxhash64("cls"), None]
-    for rule in rules:
-        here = first.withColumn("component", F.col("cls")) if groups is None else (
-            first.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
-                "component", F.coalesce("component", "cls")
-            )
-        )
-        pairs = stored(
-            _cross_pairs(here, percent) if rule is None else _pivot_pairs(here, rule, percent),
-            "ngram-pairs",
-        )
-        found = stored(_links(pairs, segments, percent), "ngram-links")
-        drop_stored(pairs)
-        links = found if links is None else links.union(found)
-        groups = stored(
-            connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))),
-            "ngram-components",
-        )
-    drop_stored(segments)
+    pairs = stored(_cross_pairs(placed, percent), "ngram-pairs")
+    links = links.union(_links(docs, words, percent, order, pairs, classes))
+    drop_stored(pairs)
     drop_stored(first)
+    groups = stored(connected_components(links), "ngram-components")
     named = classes.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls")
     )

@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2, index_folder: str | None = No
     ``docs`` enters the index in ``batches`` of ascending doc_id, as documents arrive over
     time; the result does not depend on their number. Null text counts as empty, white space
     runs as one blank. Rows repeated with one doc_id are all marked kept if that id is the
-    smallest of its text. A null doc_id goes with the first batch and never stands for a text
+    smallest of its text. A null doc_id goes with the last batch and never stands for a text
     that another row has; if it is the only one, keep_id is null and kept false. Other columns
     are ignored. An empty table gives an empty result.
     """
@@ -112,7 +112,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2, index_folder: str | None = No
         edges = [low + (high - low + 1) * i // batches for i in range(batches + 1)]
         for start, end in zip(edges, edges[1:]):
             batch = (F.col("doc_id") >= start) & (F.col("doc_id") < end)
-            if start == low:
+            if end == edges[-1]:
                 batch = batch | F.col("doc_id").isNull()
             index.append(rows.where(batch))
     return resolve(rows, index)

@@ -72,7 +72,7 @@ def mcd(x, floors):
 
 
 def test_distances_equal_an_estimate_in_memory(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("source IN ('src0', 'src1')")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("source IN ('src0', 'src1', 'src2')")
     rows = [r for r in quality_rules.quality_verdicts(docs.withColumn("lang", quality_rules.F.lit("en"))).collect() if not r.base_failed]
     if len(rows) < quality_rules.MIN_GROUP:
         pytest.skip("too few rows for an estimate")

@@ -2,7 +2,7 @@
 
 A global order puts rare n-grams first: n-grams fall into a fixed number of buckets, and buckets
 are ranked by how many n-grams of the corpus they hold. The order is cut into fragments of
-equal mass, so a document's set is a few segments, one in each fragment. Candidates share one
+equal mass, so a document's set is a few segments, one in each fragment. Candidates share a few
 of the first n-grams of both sets; their overlap is counted in each fragment separately and
 summed per pair.
 
@@ -39,6 +39,8 @@ WORDS, PERCENT = 3, 90
 BUCKETS = 1 << 20
 SLICE = 1 << 14
 FRAGMENTS = 8
+#: First n-grams that a pair must share to be compared.
+MEETINGS = 3
 #: Stands for a null doc_id in the mapped lists.
 NO_ID = -(1 << 63)
 
@@ -73,8 +75,12 @@ def _buckets(ngrams: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """How many first n-grams two sets must meet in if their similarity suffices."""
-    return n + (-n * percent // 100) + 1
+    """First n-grams among which two sets share MEETINGS ones if their similarity suffices.
+
+    Similar sets share at least percent of each; behind the last of the first MEETINGS shared
+    ones there are that many less MEETINGS, in either set. Fewer are enough for tiny sets.
+    """
+    return min(n, n + (-n * percent // 100) + MEETINGS)
 
 
 class Order:
@@ -277,13 +283,21 @@ def _segments(docs: DataFrame, words: int, order, folder: str, name: str, shards
 
 
 def _possible(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Length and position bounds of a pair that meets first in n-grams at these places."""
-    most = F.least(na - pa, nb - pb)
+    """Length and position bounds of a pair, one of whose first meetings is at these places."""
+    most = F.least(na - pa, nb - pb) + (MEETINGS - 1)
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (
         most * (100 + percent) >= (na + nb) * percent
     )
 
 
+def _meeting_often(rows: DataFrame, percent: int) -> DataFrame:
+    """(cls, other, both) of the pairs that have enough rows (cls, other, na, nb)."""
+    least = F.ceil(F.greatest("na", "nb") * percent / 100)
+    counted = rows.groupBy("cls", "other", "na", "nb").agg(F.count(F.lit(1)).alias("meetings"))
+    often = counted.where(F.col("meetings") >= F.least(F.lit(MEETINGS), least))
+    return often.select("cls", "other", (F.col("na") + F.col("nb")).alias("both"))
+
+
 def _pivot_pairs(first: DataFrame, percent: int) -> DataFrame:
     """(cls, other, both): each class with the pivot of each of its n-gram groups."""
     pivots = first.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("p"))
@@ -291,8 +305,10 @@ def _pivot_pairs(first: DataFrame, percent: int) -> DataFrame:
         (F.col("cls") != F.col("p.cls"))
         & _possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent)
     )
-    both = (F.col("n") + F.col("p.n")).alias("both")
-    return joined.select("cls", F.col("p.cls").alias("other"), both).distinct()
+    rows = joined.select(
+        "cls", F.col("p.cls").alias("other"), F.col("n").alias("na"), F.col("p.n").alias("nb")
+    )
+    return _meeting_often(rows, percent)
 
 
 def _cross_pairs(first: DataFrame, percent: int) -> DataFrame:
@@ -306,8 +322,10 @@ def _cross_pairs(first: DataFrame, percent: int) -> DataFrame:
         (F.col("component") < F.col("p.component"))
         & _possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent)
     )
-    both = (F.col("n") + F.col("p.n")).alias("both")
-    return joined.select("cls", F.col("p.cls").alias("other"), both).distinct()
+    rows = joined.select(
+        "cls", F.col("p.cls").alias("other"), F.col("n").alias("na"), F.col("p.n").alias("nb")
+    )
+    return _meeting_often(rows, percent)
 
 
 def _links(docs: DataFrame, words: int, percent: int, order, pairs: DataFrame, classes: DataFrame) -> DataFrame:

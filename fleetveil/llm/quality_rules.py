@@ -209,7 +209,11 @@ def estimate(stats: DataFrame) -> DataFrame:
             near = near.withColumn("bin", F.floor(F.log1p("d2") * 200))
             bins = near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
             cut = _share_point(bins, ["grp"], KEPT_SHARE).withColumnRenamed("bin", "cut")
-            near, factor = near.join(cut, "grp").where("bin <= cut"), share_factor
+            # With the cut beside the estimate, the vectors meet one small table again and
+            # are summed where they lie.
+            cut = stored(now.drop("n").join(cut, "grp"), "mcd-cut")
+            near = cells.join(cut, "grp").withColumn("d2", _distance())
+            near, factor = near.where(F.floor(F.log1p("d2") * 200) <= F.col("cut")), share_factor
         else:  # the usual reweighting: all rows that fit the estimate
             near, factor = near.where(F.col("d2") <= chi2_quantile(0.975, P)), 1.0
         before, now = now, stored(_from_moments(_moments(near), factor), "mcd-estimate")

@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, stored, text_or_empty
+from .common import SPACE, bound, documents, stored, text_or_empty
 from .license_templates import TEMPLATES
 
 SHINGLE = 5
@@ -61,9 +61,13 @@ def words(text: Column) -> Column:
 
 def shingles(sequence: Column) -> Column:
     """All five-word shingles in order; a shorter sequence is one shingle as a whole."""
-    count = F.greatest(F.size(sequence) - SHINGLE + 1, F.least(F.size(sequence), F.lit(1)))
-    starts = F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), F.lit(1), count)
-    return F.transform(starts, lambda i: F.array_join(F.slice(sequence, i + 1, SHINGLE), " "))
+
+    def cut(words: Column) -> Column:
+        count = F.greatest(F.size(words) - SHINGLE + 1, F.least(F.size(words), F.lit(1)))
+        starts = F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), F.lit(1), count)
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
+
+    return bound(sequence, cut)
 
 
 def min_hashes(window: Column) -> list[Column]:
@@ -105,6 +109,27 @@ def hitting_words(shingle_texts: list[str]) -> list[str]:
     return chosen
 
 
+def _given(x: Column) -> Column:
+    return x.isNotNull()
+
+
+def _windows(s: Column, hits: Column, size_class: int) -> Column:
+    """The windows of a size class that contain one of the places ``hits``."""
+    length, step = max(1, size_class * 3 // 2), max(1, size_class // 2)
+
+    def starts(p: Column) -> Column:
+        first = F.greatest(F.ceil((p - length + 1) / step), F.lit(0)).cast("int")
+        return F.transform(F.sequence(first, F.floor(p / step).cast("int")), lambda k: k * step)
+
+    def window(at: Column) -> Column:
+        return F.struct(
+            F.lit(size_class).alias("cls"), at.alias("start"),
+            F.slice(s, at + 1, length).alias("window"),
+        )
+
+    return F.transform(F.array_distinct(F.flatten(F.transform(hits, starts))), window)
+
+
 def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """One row per document and template found in it.
 
@@ -127,21 +152,19 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     held = docs.select("doc_id", text_or_empty().alias("text")).where(
         F.arrays_overlap(pieces, F.array(*[F.lit(w) for w in anchors]))
     )
-    cut = held.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     among = F.array(*[F.lit(t) for t in texts]) if texts else F.array().cast("array<string>")
-    cut = cut.select("doc_id", shingles(F.col("w")).alias("s"))
-    held = stored(cut.where(F.arrays_overlap("s", among)), "license-shingles")
-    per_class = F.explode(F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>"))
-    step = F.greatest(F.expr("cls div 2"), F.lit(1))
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), step))
-    windows = (
-        held.select("doc_id", "s", per_class.alias("cls"))
-        .select("doc_id", "s", "cls", starts.alias("start"))
-        .select(
-            "doc_id", "cls", "start",
-            F.slice("s", F.col("start") + 1, (F.col("cls") * 3 / 2).cast("int")).alias("window"),
-        ).where(F.arrays_overlap("window", among))
+
+    # Only windows around a template shingle are made; a generator computes them once a text.
+    def windows_of(s: Column) -> Column:
+        return bound(F.array_intersect(s, among), lambda known: bound(
+            F.filter(F.transform(s, lambda x, i: F.when(F.array_contains(known, x), i)), _given),
+            lambda hits: F.concat(*[_windows(s, hits, c) for c in classes]),
+        ))
+
+    found = F.explode(bound(shingles(words(F.col("text"))), windows_of)) if classes else F.explode(
+        F.array().cast("array<struct<cls:int,start:int,window:array<string>>>")
     )
+    windows = stored(held.select("doc_id", found.alias("w")).select("doc_id", "w.*"), "license-windows")
     keyed = windows.withColumn("mins", F.array(*min_hashes(F.col("window")))).select(
         "doc_id", "cls", "start", "window", F.posexplode("mins").alias("band", "value")
     )

@@ -152,6 +152,52 @@ def distance(a, b):
     return row[-1]
 
 
+def lines_within_the_limit(texts):
+    """Positions that go if all pairs of lines are compared by edit distance alone."""
+    rows, first = [], {}
+    for i in sorted(texts):
+        for k, line in enumerate((texts[i] or "").split("\n")):
+            n = re.sub("[\x20\x09-\x0d]+", " ", line.lower()).strip(" ")
+            if n and len(n.split(" ")) >= 5:
+                rows.append((i, k, n))
+                first.setdefault(n, len(first))
+    words = sorted(((n.split(" "), x) for n, x in first.items()), key=lambda w: len(w[0]))
+    union = Union(range(len(first)))
+    for at, (a, x) in enumerate(words):
+        for b, y in words[at + 1 :]:
+            if (len(b) - len(a)) * 10 > len(b):
+                break
+            if union.find(x) != union.find(y) and distance(a, b) * 10 <= len(b):
+                union.join(x, y)
+    stays, gone = {}, defaultdict(set)
+    for i, k, n in rows:
+        if stays.setdefault(union.find(first[n]), (i, k)) != (i, k):
+            gone[i].add(k)
+    return gone
+
+
+def test_every_line_within_the_edit_limit_is_found(spark):
+    """Lines of each length, edited up to the limit and by one word more; repeated words too."""
+    rng, texts = random.Random(27), {}
+    for n in [5, 8, 9, 10, 11, 17, 18, 19, 20, 27, 29, 30, 45, 60, 100, 101]:
+        for kind in range(6):
+            base = [f"{n}k{kind}w{rng.randrange(4 * n if kind else 3)}" for _ in range(n)]
+            lines = [base]
+            for edits in (n // 10, n // 10, n // 9, n // 10 + 1):
+                line = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(line))
+                    line[at : at + rng.choice([0, 1, 1])] = [f"n{rng.randrange(10**6)}"] * rng.choice([0, 1, 1])
+                lines.append(line)
+            for line in lines:
+                texts[len(texts)] = " ".join(line)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    gone = lines_within_the_limit(texts)
+    assert sum(map(len, gone.values())) > 150
+    for r in line_dedup.dedup_lines(docs).collect():
+        assert set(r["__dropped"] or ()) == gone[r.doc_id], (r.doc_id, texts[r.doc_id])
+
+
 def left_over(text, gone):
     return "\n".join(line for k, line in enumerate((text or "").split("\n")) if k not in gone)
 

@@ -398,12 +398,12 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents whose id is their component's smallest, with the columns they came with.
 
-    Rows that share a doc_id are one document: they stay if any of them stands for its group.
+    ``words`` and ``percent`` say when two link, as in ``jaccard_groups``. Rows that share a doc_id are one document: they stay if any of them stands for its group.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"))
+    groups = jaccard_groups(docs.select("doc_id", "text"), words, percent)
     stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = stored(stays.select(F.col("doc_id").alias("__id")).distinct(), "ngram-kept")
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")

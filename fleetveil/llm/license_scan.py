@@ -1,6 +1,7 @@
 """License scan with DataFrame operations only.
 
-Texts and templates are sequences of five-word shingles. A text is cut into overlapping windows
+Texts and templates are sequences of five-word shingles; a template of fewer words is one shingle
+as a whole, and texts are cut into shingles of that length too. A text is cut into overlapping windows
 of one and a half times a size class, half a class apart, so a template's place lies wholly in
 some window of its class. Windows whose MinHash agrees with a template's in one of the bands
 retrieve it; the number of bands follows from the collision probability that is asked for. A
@@ -59,13 +60,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(bare, SPACE), lambda w: w != "")
 
 
-def shingles(sequence: Column) -> Column:
-    """All five-word shingles in order; a shorter sequence is one shingle as a whole."""
+def shingles(sequence: Column, width: int = SHINGLE) -> Column:
+    """All shingles of ``width`` words in order; a shorter sequence is one shingle as a whole."""
 
     def cut(words: Column) -> Column:
-        count = F.greatest(F.size(words) - SHINGLE + 1, F.least(F.size(words), F.lit(1)))
+        count = F.greatest(F.size(words) - width + 1, F.least(F.size(words), F.lit(1)))
         starts = F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), F.lit(1), count)
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, width), " "))
 
     return bound(sequence, cut)
 
@@ -85,10 +86,13 @@ def _size_class(n: Column) -> Column:
 
 
 def template_frame(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(template, license, shingles, size class) of a list of templates; empty texts go."""
+    """(template, license, width and texts of shingles, size class) of templates; empty texts go."""
     frame = spark.createDataFrame(list(templates), "template string, license string, text string")
     cut = frame.select("template", "license", words(text_or_empty()).alias("w")).where(F.size("w") > 0)
-    whole = cut.select("template", "license", F.array_distinct(shingles(F.col("w"))).alias("ts"))
+    whole = cut.select(
+        "template", "license", F.least(F.size("w"), F.lit(SHINGLE)).alias("width"),
+        F.array_distinct(shingles(F.col("w"))).alias("ts"),
+    )
     return whole.withColumn("cls", _size_class(F.size("ts")))
 
 
@@ -113,7 +117,7 @@ def _given(x: Column) -> Column:
     return x.isNotNull()
 
 
-def _windows(s: Column, hits: Column, size_class: int) -> Column:
+def _windows(s: Column, hits: Column, width: int, size_class: int) -> Column:
     """The windows of a size class that contain one of the places ``hits``."""
     length, step = max(1, size_class * 3 // 2), max(1, size_class // 2)
 
@@ -123,7 +127,7 @@ def _windows(s: Column, hits: Column, size_class: int) -> Column:
 
     def window(at: Column) -> Column:
         return F.struct(
-            F.lit(size_class).alias("cls"), at.alias("start"),
+            F.lit(width).alias("width"), F.lit(size_class).alias("cls"), at.alias("start"),
             F.slice(s, at + 1, length).alias("window"),
         )
 
@@ -144,7 +148,7 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     # The templates are a list in this process: its size bounds all that follows from it.
     listed = known.collect()
     texts = sorted({s for r in listed for s in r.ts})
-    classes = sorted({r.cls for r in listed})
+    widths = sorted({r.width for r in listed})
     anchors = hitting_words(texts)
     if not anchors:
         docs, anchors = docs.limit(0), [""]
@@ -152,26 +156,32 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     held = docs.select("doc_id", text_or_empty().alias("text")).where(
         F.arrays_overlap(pieces, F.array(*[F.lit(w) for w in anchors]))
     )
-    among = F.array(*[F.lit(t) for t in texts]) if texts else F.array().cast("array<string>")
 
     # Only windows around a template shingle are made; a generator computes them once a text.
-    def windows_of(s: Column) -> Column:
-        return bound(F.array_intersect(s, among), lambda known: bound(
-            F.filter(F.transform(s, lambda x, i: F.when(F.array_contains(known, x), i)), _given),
-            lambda hits: F.concat(*[_windows(s, hits, c) for c in classes]),
+    def windows_of(sequence: Column, width: int) -> Column:
+        here = [r for r in listed if r.width == width]
+        among = F.array(*[F.lit(t) for t in sorted({t for r in here for t in r.ts})])
+        classes = sorted({r.cls for r in here})
+        return bound(shingles(sequence, width), lambda s: bound(
+            F.array_intersect(s, among), lambda known: bound(
+                F.filter(F.transform(s, lambda x, i: F.when(F.array_contains(known, x), i)), _given),
+                lambda hits: F.concat(*[_windows(s, hits, width, c) for c in classes]),
+            )
         ))
 
-    found = F.explode(bound(shingles(words(F.col("text"))), windows_of)) if classes else F.explode(
-        F.array().cast("array<struct<cls:int,start:int,window:array<string>>>")
+    found = F.explode(
+        bound(words(F.col("text")), lambda w: F.concat(*[windows_of(w, k) for k in widths]))
+    ) if widths else F.explode(
+        F.array().cast("array<struct<width:int,cls:int,start:int,window:array<string>>>")
     )
     windows = stored(held.select("doc_id", found.alias("w")).select("doc_id", "w.*"), "license-windows")
     keyed = windows.withColumn("mins", F.array(*min_hashes(F.col("window")))).select(
-        "doc_id", "cls", "start", "window", F.posexplode("mins").alias("band", "value")
+        "doc_id", "width", "cls", "start", "window", F.posexplode("mins").alias("band", "value")
     )
     sought = known.withColumn("mins", F.array(*min_hashes(F.col("ts")))).select(
-        "template", "license", "ts", "cls", F.posexplode("mins").alias("band", "value")
+        "template", "license", "ts", "width", "cls", F.posexplode("mins").alias("band", "value")
     )
-    met = keyed.join(F.broadcast(sought), ["cls", "band", "value"]).dropDuplicates(
+    met = keyed.join(F.broadcast(sought), ["width", "cls", "band", "value"]).dropDuplicates(
         ["doc_id", "template", "start"]
     )
     shared = F.size(F.array_intersect("ts", "window"))
@@ -187,7 +197,7 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.struct(
             (F.col("shared") / F.size("ts")).alias("containment"), (-F.col("start")).alias("order"),
             (F.col("start") + F.array_min(hits)).cast("long").alias("first_word"),
-            (F.col("start") + F.array_max(hits) + SHINGLE - 1).cast("long").alias("last_word"),
+            (F.col("start") + F.array_max(hits) + F.col("width") - 1).cast("long").alias("last_word"),
         ).alias("best"),
     ).groupBy("doc_id", "template", "license").agg(F.max("best").alias("best"))
     return best.select(

@@ -1,6 +1,8 @@
 """Notices that the license scan looks for: (name, license, text).
 
-Fixed values: the wording of publicly known notices. A user may give a table of their own.
+Fixed values: the wording of publicly known notices, not of whole license texts. Notices that share
+most of their words (GPL and AGPL headers) may both match; containment tells which is closer. A user
+may give a table of their own.
 """
 
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
@@ -58,4 +60,45 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
         "If a copy of the MPL was not distributed with this file, You can obtain one at "
         "http://mozilla.org/MPL/2.0/.",
     ),
+    ("all-rights-reserved", "proprietary", "All rights reserved."),
+    (
+        "gpl-2-header", "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the "
+        "terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "lgpl-2.1-header", "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the "
+        "terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "agpl-3-header", "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the "
+        "terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "bsd-3-endorsement", "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior "
+        "written permission.",
+    ),
+    (
+        "cc-by-4-short", "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    (
+        "cc-by-sa-4-short", "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International "
+        "License.",
+    ),
+    (
+        "unlicense-grant", "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free "
+        "to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
+    ),
 )

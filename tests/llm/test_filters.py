@@ -229,6 +229,21 @@ def test_edited_notices_are_found(spark):
         assert 0 <= r.first_word < r.last_word
 
 
+def test_notices_of_a_few_words_are_found_in_long_texts(spark):
+    before, after = "before " * 40, " after" * 60
+    short = [("two", None, "no warranty"), ("four", None, "do not copy this")]
+    texts = [
+        (1, f"{before}\n(c) Someone. All rights reserved.{after}"), (2, f"{before}no, (Warranty){after}"),
+        (3, f"{before}do not copy this"), (4, "all rights RESERVED"), (5, f"{before}all rights are reserved{after}"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = license_scan.license_matches(docs, templates=[*TEMPLATES, *short]).collect()
+    assert {(r.doc_id, r.template, r.first_word, r.last_word) for r in rows} == {
+        (1, "all-rights-reserved", 42, 44), (2, "two", 40, 41), (3, "four", 40, 43),
+        (4, "all-rights-reserved", 0, 2),
+    }
+
+
 def test_bands_give_the_probability_asked_for():
     miss = (1 - license_scan.least_similarity()) ** license_scan.bands()
     assert miss <= 1 - license_scan.PROBABILITY

@@ -75,12 +75,17 @@ def _buckets(ngrams: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int, percent: int) -> int:
+    """First n-grams among which two sets share one if their similarity suffices."""
+    return n + (-n * percent // 100) + 1
+
+
+def sent_length(n: int, percent: int) -> int:
     """First n-grams among which two sets share MEETINGS ones if their similarity suffices.
 
     Similar sets share at least percent of each; behind the last of the first MEETINGS shared
     ones there are that many less MEETINGS, in either set. Fewer are enough for tiny sets.
     """
-    return min(n, n + (-n * percent // 100) + MEETINGS)
+    return min(n, prefix_length(n, percent) + MEETINGS - 1)
 
 
 class Order:
@@ -170,7 +175,7 @@ def _meetings(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
                     seen.add(key)
                     keys.append(key)
                     sizes.append(len(s))
-                    firsts.append(order.value.first(s, prefix_length(len(s), percent)))
+                    firsts.append(order.value.first(s, sent_length(len(s), percent)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), _lists(firsts)],
                 ["cls", "n", "tokens"],

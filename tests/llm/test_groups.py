@@ -94,6 +94,21 @@ def test_prefix_is_as_long_as_it_must_be():
         assert ngram_join.prefix_length(n, 90) == n - least + 1
 
 
+def test_sets_of_few_ngrams_and_of_just_the_least_overlap(spark):
+    for n in range(1, 200):
+        least = -(-n * 90 // 100)
+        assert ngram_join.sent_length(n, 90) == min(n, n - least + ngram_join.MEETINGS)
+    texts = ["a b c", "b c d e", "a b c d", "a b c d e", "a b c d e f", "a b c d e g", "f a b c d e f"]
+    for n in (21, 31, 40, 59, 60, 61):  # one word replaced in the middle or two: at the limit and beyond
+        words = [f"{n}w{i}" for i in range(n)]
+        texts += [" ".join(words), " ".join([*words[: n // 2], "x", *words[n // 2 + 1 :]])]
+        texts += [" ".join([*words[:-1], "y"]), " ".join(words[: n * 9 // 10]), " ".join(words[1:])]
+    texts = dict(enumerate(texts))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs).collect()}
+    assert got == plain_groups(texts)
+
+
 def test_components_of_paths_stars_and_noise(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 400)]

@@ -71,13 +71,16 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a frame made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_folder(spark).split(":", 1)[-1].lstrip("/")
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if folder.split(":", 1)[-1].lstrip("/").startswith(root):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(df.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by ``new_folder``, and nothing outside the shared folder."""
+    root = shared_folder(spark).split(":", 1)[-1].lstrip("/")
+    if folder.split(":", 1)[-1].lstrip("/").startswith(root):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -12,6 +12,7 @@ from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .token_counts import op6_token_counts
 from .toxicity import op8_toxicity
+from .warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -24,7 +25,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scores": op10_lm_scores,
+    "op11_warc": op11_warc,
 }
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,
+    "op11_warc": OP11_SQL,
 }

@@ -10,6 +10,7 @@ from .line_dedup import op5_line_dedup
 from .ngram_join import op9_ngram_jaccard
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
+from .run_detection import op13_periodic_runs
 from .token_counts import op6_token_counts
 from .toxicity import op8_toxicity
 from .warc import OP11_SQL, op11_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scores": op10_lm_scores,
     "op11_warc": op11_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .bpe import op4_bpe_roundtrip
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_model import op10_lm_scores
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scores": op10_lm_scores,
     "op11_warc": op11_warc,
+    "op12_alignment": op12_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {

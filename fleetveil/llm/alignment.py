@@ -23,89 +23,48 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _OTHER_SPACE as OTHER_SPACE
-from .bpe import SPLIT, VOCABULARY, ByteBpe, vocabulary_path
-from .bpe import load as load_bpe
+from .bpe import VOCABULARY, vocabulary_path
 from .common import documents, drop_stored, shuffle_width, stored
+from .packing import tokenizer as byte_bpe
 from .token_counts import MARK, MODEL
 
 #: Steps of the merge in one piece.
 PIECE_STEPS = 1 << 15
-#: Words whose tokens a worker remembers, for each tokenizer. Speed only.
-KEPT_WORDS = 250_000
 #: Pairs of ids whose counts are sent to every worker: at most 16 bytes each.
 TABLE_PAIRS = 1 << 19
 #: Different pairs that a task counts before it passes them on.
 COUNTED_PAIRS = 1 << 20
 
 
-class _WordsA(dict):
-    """Ids, as little-endian uint32, of a blank and a word."""
-
-    def __init__(self, coder: ByteBpe):
-        self.coder = coder
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = b"".join([self.coder.encode_piece(p.encode()) for p in SPLIT.findall(" " + word)])
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-
-class _WordsB(dict):
-    """Ids of a word, which the model reads behind a blank; empty if its pieces are other text."""
-
-    def __init__(self, model: sentencepiece.SentencePieceProcessor, content: list[bytes]):
-        self.model, self.content = model, content
-
-    def encode(self, text: str) -> bytes:
-        ids = self.model.encode(text, num_threads=1)
-        same = b"".join([self.content[i] for i in ids]) == (" " + text).encode()
-        return np.array(ids, "<u4").tobytes() if same else b""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self.encode(word)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-
 class Tokenizers:
-    """Both tokenizers, and how many bytes each of their tokens covers."""
+    """Both tokenizers, and the bytes that each of their tokens covers."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = load_bpe(path_a)
-        self.lengths_a = np.diff(self.a.offsets)
-        model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        content = []
-        for i in range(model.vocab_size()):
-            piece = model.id_to_piece(i)
-            byte = model.is_byte(i)
-            content.append(bytes([int(piece[3:5], 16)]) if byte else piece.replace(MARK, " ").encode())
-        self.lengths_b = np.array([len(c) for c in content])
-        self.words_a, self.words_b = _WordsA(self.a), _WordsB(model, content)
-        self.size_b = model.vocab_size()
+        self.a = byte_bpe(path_a)
+        bytes_a = [b""] * self.a.n_vocab
+        for token in self.a.token_byte_values():
+            bytes_a[self.a.encode_single_token(token)] = token
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_b = []
+        for i in range(self.b.vocab_size()):
+            piece = self.b.id_to_piece(i)
+            byte = self.b.is_byte(i)
+            self.bytes_b.append(bytes([int(piece[3:5], 16)]) if byte else piece.replace(MARK, " ").encode())
+        self.bytes_a, self.size_b = bytes_a, len(self.bytes_b)
+        self.lengths_a = np.array([len(x) for x in bytes_a])
+        self.lengths_b = np.array([len(x) for x in self.bytes_b])
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of blank and text by A and of the text by B; None if there are no tokens."""
-        if not text or MARK in text:  # the mark would be read back as a blank
+        if not text:
             return None
-        parted = text.split(" ")
-        # Words are encoded on their own where no other blank touches one.
-        if "" in parted or "\n " in text or OTHER_SPACE.search(text):
-            ids_a, ids_b = self.a._ordinary(" " + text), self.words_b.encode(text)
-        else:
-            ids_a = b"".join(map(self.words_a.__getitem__, parted))
-            of_b = list(map(self.words_b.__getitem__, parted))
-            ids_b = b"".join(of_b) if all(of_b) else b""
-        if not ids_b:
+        whole = " " + text
+        a = self.a.encode_to_numpy(whole, disallowed_special=())
+        b = self.b.encode(text, num_threads=1)
+        content, of_a, of_b = whole.encode(), self.bytes_a, self.bytes_b
+        if b"".join([of_b[i] for i in b]) != content or b"".join([of_a[i] for i in a.tolist()]) != content:
             return None
-        a, b = np.frombuffer(ids_a, "<u4"), np.frombuffer(ids_b, "<u4")
-        return (a, b) if self.lengths_a[a].sum() == self.lengths_b[b].sum() else None
+        return a, np.array(b, np.uint32)
 
 
 @lru_cache(2)
@@ -212,7 +171,8 @@ class Aligner:
         # Equal ends on a border: the piece before, which has the A token, has closed the group.
         skip = int(own_b > 0 and ends_b[0] == at_a)
         tie = int(own_a > 0 and own_b < len(b) and ends_b[own_b] == ends_a[own_a - 1])
-        ends = np.unique(np.concatenate([ends_a[:own_a], ends_b[skip:own_b]]))
+        ends = np.sort(np.concatenate([ends_a[:own_a], ends_b[skip:own_b]]), kind="stable")
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         of_a, of_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         links = a[of_a].astype(np.uint64) * np.uint64(self.both.size_b) + b[of_b]
         closed = ends[(ends_a[of_a] == ends) & (ends_b[of_b] == ends)]
@@ -253,12 +213,12 @@ def _aligned(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 out = []
-                for r in batch.to_pylist():
-                    a, b = np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], "<u4")
-                    one = r["pieces"] == 1
-                    made = aligner.row(one, a, b, r["own_a"], r["own_b"], r["at_a"], r["at_b"])
+                tokens = [[np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in "ab"]
+                places = [batch.column(c).to_pylist() for c in ("own_a", "own_b", "at_a", "at_b")]
+                for pieces_of, a, b, *place in zip(batch.column("pieces").to_pylist(), *tokens, *places):
+                    made = aligner.row(pieces_of == 1, a, b, *place)
                     step = len(made[1]) // (4 if aligner.size * aligner.both.size_b < 1 << 32 else 8)
-                    out.append((r["own_a"], r["own_b"], made[0], step, *made[1:]))
+                    out.append((place[0], place[1], made[0], step, *made[1:]))
                 columns = list(zip(*out)) or [()] * len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in ("row", "doc_id", "piece", "pieces")]
@@ -358,27 +318,21 @@ class Alignment:
         code = self.code
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n, size = [], [], 0
-
-            def summed() -> tuple[np.ndarray, np.ndarray]:
-                keys, of = np.unique(np.concatenate(held), return_inverse=True)
-                return keys, np.bincount(of, weights=np.concatenate(n)).astype(np.int64)
-
+            keys, sums = np.empty(0, code), np.empty(0, np.int64)
+            held, size = [], 0
             for batch in batches:
                 for links in batch.column("links"):
-                    keys = np.frombuffer(links.as_buffer(), code)
-                    held.append(keys)
-                    n.append(np.ones(len(keys), np.int64))
-                    size += len(keys)
-                    if size > 2 * COUNTED_PAIRS:
-                        keys, sums = summed()
+                    held.append(np.frombuffer(links.as_buffer(), code))
+                    size += len(held[-1])
+                    if size > COUNTED_PAIRS:
+                        keys, sums = _added(keys, sums, np.concatenate(held))
+                        held, size = [], 0
                         if len(keys) > COUNTED_PAIRS:
                             yield _counted(keys, sums)
-                            held, n, size = [], [], 0
-                        else:
-                            held, n, size = [keys], [sums], len(keys)
+                            keys, sums = keys[:0], sums[:0]
             if held:
-                yield _counted(*summed())
+                keys, sums = _added(keys, sums, np.concatenate(held))
+            yield _counted(keys, sums)
 
         total = self.links.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(
             F.sum("n").alias("n")
@@ -452,6 +406,18 @@ class Alignment:
         ).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
+def _added(keys: np.ndarray, sums: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key, ascending, with one more for each occurrence in ``more``."""
+    more = np.sort(more)
+    starts = np.flatnonzero(np.diff(more, prepend=more[:1] + 1) != 0)
+    joined = np.concatenate([keys, more[starts]])
+    n = np.concatenate([sums, np.diff(starts, append=len(more))])
+    order = np.argsort(joined, kind="stable")
+    joined, n = joined[order], n[order]
+    firsts = np.flatnonzero(np.diff(joined, prepend=joined[:1] + 1) != 0)
+    return joined[firsts], np.add.reduceat(n, firsts) if len(firsts) else n
+
+
 def _counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(keys.astype(np.int64)), pa.array(n)], names=["pair", "n"]

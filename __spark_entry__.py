@@ -17,7 +17,7 @@ from fleetveil.plans.release import (
     privacy_ledger,
 )
 from fleetveil.plans.release_queries import browser_counts, run_release_query
-from fleetveil.plans.reporting import reporting_tables, web_category_pivots
+from fleetveil.plans.reporting import reporting_tables, web_category_pivots, with_folds
 from fleetveil.operators.noise import Policy, noise_plan
 from fleetveil.session import stage
 from fleetveil.sources.bindings import telemetry_sources
@@ -178,7 +178,7 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r06_pkg_temp": _reporting("system_pkg_temp_centigrade"),
     "r07_psys_watts": _reporting("system_psys_rap_watts"),
     "r09_network": _reporting("system_network_consumption"),
-    "r10_13_web_pivots": lambda s, d: web_category_pivots(telemetry_sources(s, d)),
+    "r10_13_web_pivots": lambda s, d: web_category_pivots(with_folds(telemetry_sources(s, d))),
     "r14_web_usage": _reporting("system_web_cat_usage"),
     "r15_memory": _reporting("system_memory_utilization"),
     "r16_mods_power": _reporting("system_mods_power_consumption"),

@@ -47,15 +47,27 @@ def fan_out_weighted_means(
     one row per unit and table: a table's weighted sum is repeated once for each
     combination of rows of the other tables.
     """
-    joined = dimension.select(unit, *group)
     names = [name for name, *_ in facts]
+    units = None
     for name, frame, value, weight in facts:
         per_unit = frame.groupBy(unit).agg(
             F.sum(F.col(weight) * F.col(value)).alias(f"{name}__s"),
             F.sum(F.col(weight)).cast("double").alias(f"{name}__w"),
             F.count(F.lit(1)).cast("double").alias(f"{name}__c"),
         )
-        joined = joined.join(per_unit, unit)
+        units = per_unit if units is None else units.join(per_unit, unit)
+    return fan_out_means(dimension, units, names, unit, group)
+
+
+def fan_out_means(
+    dimension: DataFrame, units: DataFrame, names: Sequence[str], unit: str, group: Sequence[str]
+) -> DataFrame:
+    """The same from one row per unit with ``<name>__s``, ``__w`` and ``__c``: the weighted sum,
+    the weights and the number of rows of each table. A unit without rows in one has no part."""
+    complete = units
+    for name in names:
+        complete = complete.where(F.col(f"{name}__c") > 0)
+    joined = dimension.select(unit, *group).join(complete, unit)
 
     def repeated(name: str, part: str):
         value = F.col(f"{name}__{part}")

@@ -22,7 +22,7 @@ from fleetveil.functions.exprs import (
     sum_when,
     weighted_mean,
 )
-from fleetveil.operators.joins import fan_out_weighted_means, valid_time_join
+from fleetveil.operators.joins import fan_out_means, valid_time_join
 from fleetveil.operators.ranking import full_rank, top_ranked
 from fleetveil.operators.units import (
     distinct_units,
@@ -32,6 +32,12 @@ from fleetveil.operators.units import (
     weighted_mean_of,
 )
 from fleetveil.plans.categories import CATEGORY_COLUMNS
+from fleetveil.plans.reporting import (
+    METRIC_C0,
+    METRIC_FREQUENCY,
+    METRIC_PLATFORM_POWER,
+    METRIC_TEMPERATURE,
+)
 
 Tables = Mapping[str, DataFrame]
 
@@ -440,14 +446,28 @@ def network_by_processor_class(t: Tables) -> DataFrame:
     )
 
 
+# Query 24: output column, metric, value and weight column of the power fold.
+_PLATFORM_MEANS = (
+    ("avg_psys_rap_watts", METRIC_PLATFORM_POWER, "avg", "nrs"),
+    ("avg_pkg_c0", METRIC_C0, "avg", "nrs"),
+    ("avg_freq_mhz", METRIC_FREQUENCY, "core_avg", "core_nrs"),
+    ("avg_temp_centigrade", METRIC_TEMPERATURE, "core_avg", "core_nrs"),
+)
+
+
 def platform_by_chassis(t: Tables) -> DataFrame:
-    facts = [
-        ("avg_psys_rap_watts", t["system_psys_rap_watts"], "avg_psys_rap_watts", "nrs"),
-        ("avg_pkg_c0", t["system_pkg_C0"], "avg_pkg_c0", "nrs"),
-        ("avg_freq_mhz", t["system_pkg_avg_freq_mhz"], "avg_avg_freq_mhz", "nrs"),
-        ("avg_temp_centigrade", t["system_pkg_temp_centigrade"], "avg_temp_centigrade", "nrs"),
-    ]
-    return fan_out_weighted_means(t["sysinfo"], facts, "guid", ["chassistype"])
+    """All four means from one pass over the power fold, a row per device."""
+    sums = []
+    for name, metric, value, weight in _PLATFORM_MEANS:
+        of = lambda c, m=metric: F.when(F.col("metric_name") == m, c)
+        sums += [
+            F.sum(of(F.col(weight) * F.col(value))).alias(f"{name}__s"),
+            F.sum(of(F.col(weight))).cast("double").alias(f"{name}__w"),
+            F.count(of(F.lit(1))).cast("double").alias(f"{name}__c"),
+        ]
+    per_device = t["power_days"].groupBy("guid").agg(*sums)
+    names = [name for name, *_ in _PLATFORM_MEANS]
+    return fan_out_means(t["sysinfo"], per_device, names, "guid", ["chassistype"])
 
 
 QUERIES: dict[int, Callable[..., DataFrame]] = {

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from fleetveil.functions.exprs import (
     half_even_int,
     percent_of,
+    ratio,
     round_to,
     sentinel_null,
     weighted_mean,
 )
 from fleetveil.plans.categories import CATEGORIES, CATEGORY_COLUMNS
+from fleetveil.sources.sinks import write_table, write_tables
 from fleetveil.sources.tables import LazyTables
 
 Tables = Mapping[str, DataFrame]
@@ -30,6 +32,7 @@ METRIC_C0 = "HW::CORE:C0:PERCENT:"
 METRIC_FREQUENCY = "HW::CORE:AVG_FREQ:MHZ:"
 METRIC_TEMPERATURE = "HW::CORE:TEMPERATURE:CENTIGRADE:"
 METRIC_PLATFORM_POWER = "HW:::PSYS_RAP:WATTS:"
+POWER_METRICS = (METRIC_C0, METRIC_FREQUENCY, METRIC_TEMPERATURE, METRIC_PLATFORM_POWER)
 
 STATISTICS = {"min": "min_val", "avg": "avg_val", "med": "percentile_50th", "max": "max_val"}
 
@@ -79,55 +82,69 @@ def hw_pkg_power(src: Tables) -> DataFrame:
     )
 
 
-def _statistics(suffix: str, make) -> list[Column]:
-    return [make(stat, source).alias(f"{stat}_{suffix}") for stat, source in STATISTICS.items()]
+def power_days(src: Tables) -> DataFrame:
+    """The fold of the long power table that feeds four tables and query 24.
 
-
-def pkg_c0(src: Tables) -> DataFrame:
-    rows = src["power_hist"].where(F.col("metric_name") == METRIC_C0)
-    core = F.col("attribute_metric_level1").try_cast("smallint")
-    return rows.groupBy("guid", "dt", "event_name").agg(
+    One row per device, day, event and metric, over all its rows (``nrs``, ``duration_ms``, weighted
+    means) and over its cores (``core_...``: largest number of samples and duration of a core,
+    plain mean of the cores' means).
+    """
+    core = F.col("attribute_metric_level1")
+    per_core = src["power_hist"].where(F.col("metric_name").isin(*POWER_METRICS)).groupBy(
+        "guid", "dt", "event_name", "metric_name", core
+    ).agg(
         F.sum("nrs").alias("nrs"),
-        F.max(core).alias("number_of_cores"),
-        F.max("duration_ms").alias("duration_ms"),
-        *_statistics("pkg_c0", lambda _, source: weighted_mean(source, "nrs")),
+        F.sum("duration_ms").alias("duration_ms"),
+        F.max("duration_ms").alias("longest_ms"),
+        *[F.sum(F.col("nrs") * F.col(source)).alias(stat) for stat, source in STATISTICS.items()],
     )
+    return per_core.groupBy("guid", "dt", "event_name", "metric_name").agg(
+        F.sum("nrs").alias("nrs"),
+        F.sum("duration_ms").alias("duration_ms"),
+        F.max("longest_ms").alias("longest_ms"),
+        *[ratio(F.sum(s), F.sum("nrs")).alias(s) for s in STATISTICS],
+        F.max("nrs").alias("core_nrs"),
+        F.max("duration_ms").alias("core_duration_ms"),
+        F.max(core.try_cast("smallint")).alias("number_of_cores"),
+        *[F.avg(ratio(s, "nrs")).alias(f"core_{s}") for s in STATISTICS],
+    )
+
 
+def _power_table(src: Tables, metric: str, suffix: str, **columns: str) -> DataFrame:
+    """A table of one metric: its columns, then the statistics, from all rows or the cores."""
+    prefix = "core_" if columns["nrs"].startswith("core_") else ""
+    return src["power_days"].where(F.col("metric_name") == metric).select(
+        "guid", "dt", "event_name",
+        *[F.col(source).alias(name) for name, source in columns.items()],
+        *[F.col(f"{prefix}{s}").alias(f"{s}_{suffix}") for s in STATISTICS],
+    )
 
-def _per_core_then_mean(src: Tables, metric: str, suffix: str) -> DataFrame:
-    core = F.col("attribute_metric_level1").try_cast("smallint")
-    per_core = (
-        src["power_hist"]
-        .where(F.col("metric_name") == metric)
-        .groupBy("guid", "dt", "event_name", "attribute_metric_level1")
-        .agg(
-            F.sum("nrs").alias("nrs"),
-            F.sum("duration_ms").alias("duration_ms"),
-            *_statistics(suffix, lambda _, source: weighted_mean(source, "nrs")),
-        )
+
+def pkg_c0(src: Tables) -> DataFrame:
+    return _power_table(
+        src, METRIC_C0, "pkg_c0", nrs="nrs", number_of_cores="number_of_cores",
+        duration_ms="longest_ms",
     )
-    return per_core.groupBy("guid", "dt", "event_name").agg(
-        F.max("nrs").alias("nrs"),
-        F.max(core).alias("number_of_cores"),
-        F.max("duration_ms").alias("duration_ms"),
-        *_statistics(suffix, lambda stat, _: F.avg(f"{stat}_{suffix}")),
+
+
+def _core_table(src: Tables, metric: str, suffix: str) -> DataFrame:
+    return _power_table(
+        src, metric, suffix, nrs="core_nrs", number_of_cores="number_of_cores",
+        duration_ms="core_duration_ms",
     )
 
 
 def pkg_avg_freq_mhz(src: Tables) -> DataFrame:
-    return _per_core_then_mean(src, METRIC_FREQUENCY, "avg_freq_mhz")
+    return _core_table(src, METRIC_FREQUENCY, "avg_freq_mhz")
 
 
 def pkg_temp_centigrade(src: Tables) -> DataFrame:
-    return _per_core_then_mean(src, METRIC_TEMPERATURE, "temp_centigrade")
+    return _core_table(src, METRIC_TEMPERATURE, "temp_centigrade")
 
 
 def psys_rap_watts(src: Tables) -> DataFrame:
-    rows = src["power_hist"].where(F.col("metric_name") == METRIC_PLATFORM_POWER)
-    return rows.groupBy("guid", "dt", "event_name").agg(
-        F.sum("nrs").alias("nrs"),
-        F.sum("duration_ms").alias("duration_ms"),
-        *_statistics("psys_rap_watts", lambda _, source: weighted_mean(source, "nrs")),
+    return _power_table(
+        src, METRIC_PLATFORM_POWER, "psys_rap_watts", nrs="nrs", duration_ms="duration_ms"
     )
 
 
@@ -142,29 +159,54 @@ def network_consumption(src: Tables) -> DataFrame:
     )
 
 
-def category_sql(parent: str, sub: str | None) -> str:
-    """SQL condition that a usage row belongs to a category."""
-    hit = f"parent_category = '{parent}'"
-    return hit if sub is None else f"{hit} AND sub_category = '{sub}'"
+def web_days(src: Tables) -> DataFrame:
+    """The fold of the web table that feeds the usage table and the four pivots."""
+    return src["web_usage"].groupBy(
+        "guid", "dt", "browser", "parent_category", "sub_category"
+    ).agg(
+        *[
+            F.sum(c).alias(c)
+            for c in ("duration_ms", "page_load_count", "site_count", "domain_count",
+                      "page_visit_count")
+        ]
+    )
+
+
+def category() -> Column:
+    """The output column that a (parent, sub) pair feeds, of which there is one at most."""
+    parent, sub = F.col("parent_category"), F.col("sub_category")
+    out = F.lit(None).cast("string")
+    for (p, s), name in reversed(list(zip(CATEGORIES, CATEGORY_COLUMNS))):
+        out = F.when((parent == p) if s is None else (parent == p) & (sub == s), name).otherwise(out)
+    return out
 
 
 def web_category_pivots(src: Tables, measures=WEB_MEASURES) -> DataFrame:
-    """All category sums of all measures per device and day, in one scan and one
-    shuffle; columns are named ``<measure>__<category>``."""
-    # SQL text keeps the many columns cheap to build on the driver.
-    return src["web_usage"].groupBy("guid", "dt").agg(
+    """All category sums of all measures per device and day; columns are named
+    ``<measure>__<category>``.
+
+    The sums are taken per category first, so the pivot meets few rows of a device and day.
+    """
+    sums = src["web_days"].groupBy("guid", "dt", category().alias("category")).agg(
+        *[F.sum(m).alias(m) for m in measures]
+    )
+    wide = sums.groupBy("guid", "dt").pivot("category", CATEGORY_COLUMNS).agg(
+        *[F.first(m).alias(m) for m in measures]
+    )
+    # A pivot of one measure names its columns by the category alone.
+    source = (lambda name, m: name) if len(measures) == 1 else (lambda name, m: f"{name}_{m}")
+    return wide.select(
+        "guid", "dt",
         *[
-            F.expr(
-                f"sum(CASE WHEN {category_sql(parent, sub)} THEN {measure} ELSE 0 END)"
-            ).alias(f"{measure}__{name}")
-            for measure in measures
-            for (parent, sub), name in zip(CATEGORIES, CATEGORY_COLUMNS)
-        ]
+            F.coalesce(F.col(source(name, m)), F.lit(0)).alias(f"{m}__{name}")
+            for m in measures
+            for name in CATEGORY_COLUMNS
+        ],
     )
 
 
 def web_category_pivot(src: Tables, measure: str) -> DataFrame:
-    """One measure of :func:`web_category_pivots`; the others are pruned from the plan."""
+    """One measure of :func:`web_category_pivots`."""
     wide = web_category_pivots(src, (measure,))
     return wide.select(
         "guid", "dt", *[F.col(f"{measure}__{name}").alias(name) for name in CATEGORY_COLUMNS]
@@ -172,15 +214,7 @@ def web_category_pivot(src: Tables, measure: str) -> DataFrame:
 
 
 def web_cat_usage(src: Tables) -> DataFrame:
-    return src["web_usage"].groupBy(
-        "guid", "dt", "browser", "parent_category", "sub_category"
-    ).agg(
-        *[
-            F.sum(c).alias(c)
-            for c in ("duration_ms", "page_load_count", "site_count", "domain_count",
-                      "page_visit_count")
-        ]
-    )
+    return src["web_days"]
 
 
 def memory_utilization(src: Tables) -> DataFrame:
@@ -266,11 +300,51 @@ BUILDERS = {
 }
 
 
-def reporting_tables(src: Tables) -> LazyTables:
-    """The reporting tables over ``src``, plus the device dimension under its own
-    name. A table whose source is absent is left out."""
+#: Frames that feed several tables: one pass over a large source each.
+FOLDS = {"power_days": power_days, "web_days": web_days}
+
+
+def with_folds(src: Tables, stored: Tables | None = None) -> LazyTables:
+    """The sources and the folds over them, which ``stored`` replaces by their stored form."""
+    known = stored or {}
+    folds = {
+        n: (lambda n=n: known[n]) if n in known else partial(build, src)
+        for n, build in FOLDS.items()
+    }
+    return LazyTables({**{n: (lambda n=n: src[n]) for n in src}, **folds})
+
+
+def reporting_tables(src: Tables, stored: Tables | None = None) -> LazyTables:
+    """The reporting tables over ``src``, plus the folds and the device dimension under their
+    own names. A table whose source is absent is left out. ``stored`` are folds that
+    ``store_folds`` wrote: with them no table reads their sources again."""
     names = [
         n for n in BUILDERS if n != "system_web_cat_pivot" or "web_cat_pivot" in src
     ]
-    tables = {n: partial(BUILDERS[n], src) for n in names}
-    return LazyTables({**tables, "sysinfo": lambda: src["sysinfo"]})
+    both = with_folds(src, stored)
+    tables = {n: partial(BUILDERS[n], both) for n in names}
+    folds = {n: (lambda n=n: both[n]) for n in FOLDS}
+    return LazyTables({**tables, **folds, "sysinfo": lambda: src["sysinfo"]})
+
+
+def store_folds(src: Tables, folder: str) -> dict[str, DataFrame]:
+    """Each fold written once under ``folder`` and read back.
+
+    Rows are sorted by metric or device, so that a table reads the row groups of its own.
+    """
+    folds = with_folds(src)
+    first = {"power_days": ["metric_name", "guid"], "web_days": ["guid", "dt"]}
+    out = {}
+    for name in FOLDS:
+        frame = folds[name]
+        write_table(frame, f"{folder}/{name}", sort_by=first[name])
+        out[name] = frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+    return out
+
+
+def store_reporting(src: Tables, folder: str) -> DataFrame:
+    """Store the whole layer under ``folder``, each large source read once; returns the report."""
+    stored = store_folds(src, folder)
+    tables = reporting_tables(src, stored)
+    rest = {n: (lambda n=n: tables[n]) for n in tables if n not in FOLDS}
+    return write_tables(LazyTables(rest), folder)

@@ -10,8 +10,9 @@ pairs are, so exactly one last token is possible at each place.
 Pieces contain a word mark only at their start, so the mark after another character begins
 anew from a known state: a synchronising point. Texts are cut into chunks that are read in
 parallel. A chunk's state map is constant behind its first synchronising point, and before it
-the map is the short head, applied once the state in front is known. Composing the maps is a
-prefix scan: a running count of synchronising chunks tells which state each head starts from.
+the map is the short head, applied once the state in front is known. A chunk without such a point
+is read from the start state; from another one the map follows both paths until they meet. The
+maps are composed by a scan over the chunks in order.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ from functools import lru_cache
 
 import pandas as pd
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .bpe import vocabulary_path
-from .common import documents, text_or_empty
+from .common import documents, shuffle_width, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -139,28 +139,55 @@ class Transducer:
             return sum(self.run(0, s)[1] for s in _SEGMENT.findall(marked))
         return sum(map(self.words.__getitem__, text.split(" ")))
 
-    def chunk(self, text: str, first: bool) -> tuple[str, bool, int, bytes | None]:
-        """(head, synchronises, tokens behind the head, packed state at the end)."""
+    def chunk(self, text: str, first: bool, last: bool = False) -> tuple[str, bool, int, bytes | None]:
+        """(head, synchronises, tokens behind the head, packed state at the end).
+
+        A chunk without a synchronising point is all head; count and state are then those of
+        reading it from the start state, see ``through``.
+        """
+        if first and last:
+            return "", True, self.count(text), None
+        if len(self.states) > KEPT_STATES:
+            self.reset()
         marked = text.replace(" ", MARK)
         if first:
             marked, start = (MARK + marked if marked else ""), 0
         else:
             found = _SYNC.search(marked)
             if found is None:
-                return marked, False, 0, None
+                at, total = self.run(0, marked)
+                return marked, False, total, pickle.dumps(self.states[at])
             start = found.start()
-        if len(self.states) > KEPT_STATES:
-            self.reset()
-        *_, last = (start, *(m.start() for m in _SYNC.finditer(marked, start)))
-        body = marked[start + 1 : last].replace(MARK, " ") if last > start else ""
-        total = self.count(body) if last > start else 0
-        at, more = self.run(0, marked[last:])
+        end = len(marked)
+        while True:  # the last mark behind another character, or the start
+            end = marked.rfind(MARK, start, end)
+            if end <= start or marked[end - 1] != MARK:
+                break
+        end = max(end, start)
+        total = self.count(marked[start + 1 : end].replace(MARK, " ")) if end > start else 0
+        at, more = self.run(0, marked[end:])
         return marked[:start], True, total + more, pickle.dumps(self.states[at])
 
     def resume(self, state: bytes, text: str) -> int:
         """Tokens that a head adds behind the state in front of it."""
         return self.run(self.number(pickle.loads(state)), text)[1]
 
+    def through(self, state: bytes, text: str, total: int, end: bytes) -> tuple[int, bytes]:
+        """Tokens and end state of a chunk read from ``state``, given those from the start state.
+
+        Both paths are followed only until they meet, which they do within a few tokens unless
+        the text is periodic.
+        """
+        if len(self.states) > KEPT_STATES:
+            self.reset()
+        at, other, own, guessed = self.number(pickle.loads(state)), 0, 0, 0
+        for char in text:
+            if at == other:
+                return own + total - guessed, end
+            (at, n), (other, m) = self.run(at, char), self.run(other, char)
+            own, guessed = own + n, guessed + m
+        return own, pickle.dumps(self.states[at])
+
 
 class _Words(dict):
     """Counts of words behind a mark: whole paths through the transducer."""
@@ -182,15 +209,6 @@ def load(path: str) -> Transducer:
     return Transducer(path)
 
 
-def _resumed(path: str, state: Column, head: Column) -> Column:
-    @F.pandas_udf(LongType())
-    def resume(states: pd.Series, heads: pd.Series) -> pd.Series:
-        transducer = load(path)
-        return pd.Series([transducer.resume(s, h) for s, h in zip(states, heads)], dtype="int64")
-
-    return resume(state, head)
-
-
 def count_tokens(
     docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
@@ -198,17 +216,17 @@ def count_tokens(
 
     A null text counts as empty and has no tokens; repeated rows and ids give repeated rows;
     other columns are ignored; an empty table gives an empty result. Long texts are spread
-    over tasks by chunks; a word longer than a chunk is put together from its chunks.
+    over tasks by chunks, whose maps are composed in order, one chunk in memory at a time.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("text")
     )
     last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / chunk_chars).cast("int")
     chunks = rows.select(
-        "row", "doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("k")
+        "row", "doc_id", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("k")
     ).select(
-        "row", "doc_id", "k",
-        F.when((F.col("k") == 0) & (F.length("text") <= chunk_chars), F.col("text")).otherwise(
+        "row", "doc_id", "k", "last",
+        F.when(F.col("last") == 0, F.col("text")).otherwise(
             F.substring("text", F.col("k") * chunk_chars + 1, F.lit(chunk_chars))
         ).alias("chunk"),
     )
@@ -216,7 +234,10 @@ def count_tokens(
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         transducer = load(path)
         for batch in batches:
-            maps = [transducer.chunk(c, k == 0) for c, k in zip(batch["chunk"], batch["k"])]
+            maps = [
+                transducer.chunk(c, k == 0, k == end)
+                for c, k, end in zip(batch["chunk"], batch["k"], batch["last"])
+            ]
             out = batch[["row", "doc_id", "k"]].copy()
             out["n_bytes"] = [len(c.encode()) for c in batch["chunk"]]
             out["head"], out["synced"], out["inner"], out["state"] = (
@@ -224,54 +245,39 @@ def count_tokens(
             )
             yield out
 
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks of a text follow each other: the running state goes from one to the next."""
+        transducer = load(path)
+        row = doc_id = state = None
+        n_bytes = n_tokens = 0
+        for batch in batches:
+            done = []
+            for r in batch.itertuples(index=False):
+                if r.row != row:
+                    if row is not None:
+                        done.append((doc_id, n_bytes, n_tokens))
+                    row, doc_id, state, n_bytes, n_tokens = r.row, r.doc_id, None, 0, 0
+                n_bytes += r.n_bytes
+                if r.synced:
+                    n_tokens += r.inner + (transducer.resume(state, r.head) if r.head else 0)
+                    state = r.state
+                else:
+                    n, state = transducer.through(state, r.head, r.inner, r.state)
+                    n_tokens += n
+            yield pd.DataFrame(done, columns=["doc_id", "n_bytes", "n_tokens"]).astype(kinds)
+        if row is not None:
+            yield pd.DataFrame([(doc_id, n_bytes, n_tokens)], columns=["doc_id", "n_bytes", "n_tokens"]).astype(kinds)
+
     doc_type = docs.schema["doc_id"].dataType.simpleString()
+    kinds = {"doc_id": "Int64"} if doc_type in ("bigint", "int") else {}
     maps = chunks.mapInPandas(
         read,
         f"row long, doc_id {doc_type}, k int, n_bytes long, head string, synced boolean, "
         "inner long, state binary",
     )
-    before = F.sum(F.col("synced").cast("int")).over(
-        Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    scanned = maps.withColumn("reached", before)
-    # The head of a synchronising chunk ends the run in front of it.
-    runs = scanned.select(
-        "row", "doc_id", "n_bytes", "inner",
-        F.explode(F.filter(
-            F.array(
-                F.struct(
-                    (F.col("reached") - F.col("synced").cast("int")).alias("run"), "k", "head",
-                    F.lit(None).cast("binary").alias("state"), F.lit(False).alias("own"),
-                ),
-                F.struct(
-                    F.col("reached").alias("run"), "k", F.lit("").alias("head"), "state",
-                    F.lit(True).alias("own"),
-                ),
-            ),
-            lambda x: x["own"] | (x["head"] != ""),
-        )).alias("part"),
-    ).select(
-        "row", "doc_id", "part.*",
-        F.when(F.col("part.own"), F.col("n_bytes")).otherwise(0).alias("n_bytes"),
-        F.when(F.col("part.own"), F.col("inner")).otherwise(0).alias("inner"),
-    )
-    heads = F.array_sort(F.collect_list(F.when(F.col("head") != "", F.struct("k", "head"))))
-    whole = runs.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"),
-        F.sum("inner").alias("inner"), F.max("state").alias("state"),
-        F.array_join(F.transform(heads, lambda x: x["head"]), "").alias("head"),
-    )
-    counted = whole.withColumn(
-        "head_tokens",
-        F.when(F.col("head") != "", _resumed(path, F.col("state"), F.col("head"))).otherwise(0),
-    )
-    total = counted.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"),
-        F.sum(F.col("inner") + F.col("head_tokens")).alias("n_tokens"),
-    )
-    return total.select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    ordered = maps.repartition(shuffle_width(docs.sparkSession), "row").sortWithinPartitions("row", "k")
+    total = ordered.mapInPandas(compose, f"doc_id {doc_type}, n_bytes long, n_tokens long")
+    return total.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,26 @@ def test_transducer_equals_the_library_however_a_text_is_cut(pieces):
         assert total == want, repr(text)
 
 
+def test_paths_through_text_without_blanks_meet(pieces):
+    """Chunks without a synchronising point, from any state: the map equals reading them again."""
+    own = token_counts.load(bpe.vocabulary_path(token_counts.MODEL))
+    rng = random.Random(12)
+    texts = ["a" * 4000, "ab" * 2500, "word" * 900, "the" * 700 + "x" + "the" * 700, "中文" * 1500]
+    texts += ["".join(rng.choices("abcdefgh中文é\n", k=4000)) for _ in range(5)]
+    for text in texts:
+        for width in (97, 1000):
+            total, state = 0, None
+            for k in range(0, len(text), width):
+                head, synced, inner, end = own.chunk(text[k : k + width], k == 0)
+                assert synced == (k == 0)
+                if synced:
+                    total, state = total + inner, end
+                else:
+                    n, state = own.through(state, head, inner, end)
+                    total += n
+            assert total == len(pieces.encode(text)), text[:20]
+
+
 def test_compiled_states_may_be_forgotten(pieces, texts, monkeypatch):
     monkeypatch.setattr(token_counts, "KEPT_STATES", 50)
     monkeypatch.setattr(token_counts, "KEPT_WORDS", 20)

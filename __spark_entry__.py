@@ -18,13 +18,21 @@ from fleetveil.plans.release import (
 )
 from fleetveil.plans.release_queries import browser_counts, run_release_query
 from fleetveil.plans.reporting import reporting_tables, web_category_pivots, with_folds
+from fleetveil.functions.calibration import with_gaussian_sigma
 from fleetveil.operators.noise import Policy, noise_plan
 from fleetveil.session import stage
 from fleetveil.sources.bindings import telemetry_sources
 from fleetveil.sources.readers import SourceTable, read_sampled
 from oracles.build import shape
 from oracles.cases import CASES, COVERAGE, PUBLISHED_POLICY, Q_OPTIONS, ROWS_ONLY, oracle
-from oracles.texts import DEMO_LIMITS, DEMO_POLICY, DEMO_REGISTRY, DEMO_SEED
+from oracles.texts import (
+    DEMO_LIMITS,
+    DEMO_POLICY,
+    DEMO_REGISTRY,
+    DEMO_SEED,
+    EXACT_LIMITS,
+    PUBLISHED_REGISTRY,
+)
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 OVERLONG_SECONDS = 20_000
@@ -46,10 +54,10 @@ def _staged(spark: SparkSession, folder: str, what: str, build):
     return _STAGED[key]
 
 
-def exact(spark: SparkSession, folder: str) -> DataFrame:
+def exact(spark: SparkSession, folder: str, limits: Limits = DEMO_LIMITS) -> DataFrame:
     return _staged(
-        spark, folder, "cells",
-        lambda: stage(exact_cells(_tables(spark, folder), DEMO_REGISTRY, DEMO_LIMITS)),
+        spark, folder, f"cells {limits.max_groups_per_unit}",
+        lambda: stage(exact_cells(_tables(spark, folder), DEMO_REGISTRY, limits)),
     )
 
 
@@ -70,6 +78,16 @@ def release(spark: SparkSession, folder: str, policy: Policy = DEMO_POLICY) -> R
     return _staged(spark, folder, f"release {policy}", build)
 
 
+def published_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The published behaviour: unbounded results, tighter sensitivities, whole budgets."""
+    return _staged(
+        spark, folder, "published cells",
+        lambda: stage(noisy_cells(
+            exact(spark, folder, EXACT_LIMITS), PUBLISHED_REGISTRY, PUBLISHED_POLICY, DEMO_SEED
+        )),
+    )
+
+
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     return _staged(
         spark, folder, "summary",
@@ -89,7 +107,7 @@ def _analysis(number: int):
 
 
 def _exact_release(number: int):
-    return lambda spark, folder: run_release_query(number, _tables(spark, folder), DEMO_LIMITS)
+    return lambda spark, folder: run_release_query(number, _tables(spark, folder), EXACT_LIMITS)
 
 
 def _check(build: Callable[..., DataFrame], **options):
@@ -112,12 +130,13 @@ def _norms(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     spec = sensitivity_frame(spark, DEMO_REGISTRY)
-    s = F.col("sensitivity")
+    s, groups = F.col("sensitivity"), F.col("groups")
     by_column = released.join(F.broadcast(spec), ["query_num", "column"])
     # The budget share of a column is in the plan; here only its sensitivity counts.
     return by_column.groupBy("query_num").agg(
         F.count(F.lit(1)).alias("n_columns"), F.sum("n").alias("n_cells"),
-        F.sum(s).alias("l1_sensitivity"), F.sqrt(F.sum(s * s)).alias("l2_sensitivity"),
+        F.sum(s * groups).alias("l1_sensitivity"),
+        F.sqrt(F.sum(s * s * groups)).alias("l2_sensitivity"),
     )
 
 
@@ -129,6 +148,26 @@ def _scales(spark: SparkSession, folder: str) -> DataFrame:
     return released.join(F.broadcast(plan), ["query_num", "column"])
 
 
+def _sigmas(spark: SparkSession, folder: str) -> DataFrame:
+    """The analytic scale of every released Gaussian column, solved in one job, beside the classic."""
+    plan = noise_plan(spark, DEMO_REGISTRY, DEMO_POLICY, mechanisms=["gaussian"]).where(
+        F.col("epsilon") != "inf"
+    )
+    released = exact(spark, folder).groupBy("query_num", "column").agg(
+        F.sum((F.col("true_value").isNotNull()).cast("int")).alias("n_cells")
+    )
+    spec = sensitivity_frame(spark, DEMO_REGISTRY).select("query_num", "column", "sensitivity", "groups")
+    shift = F.col("sensitivity") * F.sqrt("groups")
+    asked = released.join(F.broadcast(plan), ["query_num", "column"]).join(
+        F.broadcast(spec), ["query_num", "column"]
+    ).withColumn("shift", shift)
+    solved = with_gaussian_sigma(asked, "shift", "column_epsilon", "column_delta")
+    classic = F.col("shift") * F.sqrt(2 * F.log(1.25 / F.col("column_delta"))) / F.col("column_epsilon")
+    return solved.withColumn("classic", classic).withColumn("saved", 1 - F.col("sigma") / classic).withColumn(
+        "digits", F.format_string("%.4e", "sigma")
+    )
+
+
 def _ledger(spark: SparkSession, folder: str) -> DataFrame:
     made = release(spark, folder)
     return privacy_ledger(spark, made.cells, made.winners, DEMO_REGISTRY, DEMO_POLICY)
@@ -213,7 +252,9 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "d13_16_post_e07": _noised(7, 8),
     "d17_grid": lambda s, d: release(s, d).cells,
-    "d20_published_grid": lambda s, d: release(s, d, PUBLISHED_POLICY).cells,
+    "d05_sigma": _sigmas,
+    "d06_classic": _sigmas,
+    "d20_published_grid": published_cells,
     "d21_ledger": _ledger,
     "m01_relative_error": _metric("RE", metrics.median_relative_error),
     "m02_tvd": _metric("TVD", metrics.total_variation),

@@ -70,6 +70,23 @@ def analytic_gaussian_sigma(
     return min(sigma, classic) if cap_at_classic else sigma
 
 
+def round_up(x: float, digits: int = 5) -> float:
+    """To so many significant digits."""
+    if x == 0.0 or x == INF:
+        return x
+    power = 10.0 ** (digits - 1 - math.floor(math.log10(x)))
+    return math.ceil(x * power) / power
+
+
+def released_sigma(epsilon: float, delta: float) -> float:
+    """The sigma that releases use, in units of the sensitivity.
+
+    Rounding up adds a little noise and makes the published scale independent of the last digits
+    of a search.
+    """
+    return round_up(analytic_gaussian_sigma(1.0, epsilon, delta))
+
+
 def with_gaussian_sigma(df: DataFrame, sensitivity: str, epsilon: str, delta: str) -> DataFrame:
     """Add ``sigma`` to a parameter frame, solving once per distinct parameter row."""
     keys = [sensitivity, epsilon, delta]

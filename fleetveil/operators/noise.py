@@ -8,13 +8,14 @@ released columns times mechanisms times epsilons and does not grow with data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetveil.functions.calibration import analytic_gaussian_sigma, laplace_scale
+from fleetveil.functions.calibration import laplace_scale, released_sigma
 from fleetveil.functions.draws import gaussian_draw, laplace_draw
 from fleetveil.plans.registry import (
     DELTA,
@@ -95,12 +96,14 @@ def plan_rows(
                 for epsilon in epsilons:
                     eps = epsilon * share if epsilon != INF else INF
                     col_delta = delta * (share if policy.budget == "split" else 1.0)
-                    key = (mechanism, column.sensitivity, eps, col_delta)
+                    key = (mechanism, column.sensitivity, query.groups, eps, col_delta)
                     if key not in scales:
+                        # One unit moves so many groups: a sum of shifts for Laplace, a root
+                        # of squares for the Gaussian.
                         scales[key] = (
-                            analytic_gaussian_sigma(column.sensitivity, eps, col_delta)
+                            released_sigma(eps, col_delta) * column.sensitivity * math.sqrt(query.groups)
                             if gaussian
-                            else laplace_scale(column.sensitivity, eps)
+                            else laplace_scale(column.sensitivity * query.groups, eps)
                         )
                     rows.append((
                         query.number, column.name, mechanism, epsilon_label(epsilon), epsilon,
@@ -223,16 +226,16 @@ def normalise_rows(noisy: DataFrame, smoothing: float | None) -> DataFrame:
     )
 
 
-def noisy_selection(counts: DataFrame, grid: DataFrame, seed: str) -> DataFrame:
+def noisy_selection(counts: DataFrame, grid: DataFrame, seed: str, groups: int = 1) -> DataFrame:
     """Report noisy max: the item with the largest noisy count per group.
 
     ``counts`` holds (query_num, group_key, item, true_value); ``grid`` the
-    mechanism and epsilon pairs. Laplace noise of scale 1/epsilon goes on each
-    count under either mechanism name. The winner is a grouped maximum, partly
+    mechanism and epsilon pairs. Laplace noise of scale groups/epsilon goes on each
+    count under either mechanism name: a unit counts in at most ``groups`` of them. The winner is a grouped maximum, partly
     computed before the shuffle, so a group of any size is no hot task.
     """
     scale = F.when(F.col("epsilon_value") == F.lit(INF), F.lit(0.0)).otherwise(
-        F.lit(1.0) / F.col("epsilon_value")
+        F.lit(float(groups)) / F.col("epsilon_value")
     )
     identity = [F.col(c) for c in ("query_num", "epsilon", "mechanism", "group_key", "item")]
     noisy = counts.crossJoin(F.broadcast(grid)).withColumn(

@@ -110,7 +110,8 @@ def bound_groups_per_unit(
 
     The filter on the row number is planned as a limit ahead of the shuffle.
     """
-    order = Window.partitionBy(unit).orderBy(F.xxhash64(unit, *group), *group)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (unit, *group)]
+    order = Window.partitionBy(unit).orderBy(F.md5(F.concat_ws("|", *parts)), *group)
     numbered = df.withColumn("__pick", F.row_number().over(order))
     return numbered.where(F.col("__pick") <= limit).drop("__pick")
 
@@ -124,18 +125,28 @@ def group_summary(
     """Aggregate (group, unit) rows over units.
 
     The minimum size uses the true number of units: a quality threshold, not a
-    private one (see ``filter_by_noisy_count``).
+    private one (see ``filter_by_noisy_count``). ``mean_of_enough`` asks for the units
+    with a value.
     """
     out = units.groupBy(*group).agg(F.count(F.lit(1)).alias("number_of_systems"), *outputs)
     return out if min_units is None else out.where(F.col("number_of_systems") >= min_units)
 
 
-def distinct_units(fact: DataFrame, group: Sequence[str], unit: str) -> DataFrame:
+def distinct_units(
+    fact: DataFrame, group: Sequence[str], unit: str, max_groups_per_unit: int | None = None
+) -> DataFrame:
     """Number of distinct units per group, in two levels instead of COUNT(DISTINCT)."""
     pairs = fact.select(*group, unit).distinct()
+    if max_groups_per_unit is not None:
+        pairs = bound_groups_per_unit(pairs, unit, group, max_groups_per_unit)
     return pairs.groupBy(*group).agg(F.count(unit).alias("number_of_systems"))
 
 
+def mean_of_enough(value: Column | str, least: int) -> Column:
+    """Aggregate: the mean, NULL if fewer than ``least`` units have a value."""
+    return F.avg(value) if least <= 1 else F.when(F.count(value) >= least, F.avg(value))
+
+
 def with_total(df: DataFrame, **totals: Column) -> DataFrame:
     """Attach one-row totals; the broadcast side is a single row."""
     total = df.agg(*[expr.alias(name) for name, expr in totals.items()])

@@ -159,13 +159,17 @@ def blockers_by_os(t: Tables, more_than: int = 10) -> DataFrame:
     )
 
 
-def browser_devices_by_country(t: Tables, known_only: bool = False) -> DataFrame:
+def browser_devices_by_country(
+    t: Tables, known_only: bool = False, max_groups_per_unit: int | None = None
+) -> DataFrame:
     """(country, browser, number_of_systems): distinct devices."""
     use = t["system_web_cat_usage"].select("guid", "browser").distinct()
     if known_only:
         use = use.where(F.col("browser").isNotNull())
     country = t["sysinfo"].select("guid", F.col("countryname_normalized").alias("country"))
-    return distinct_units(use.join(country, "guid"), ["country", "browser"], "guid")
+    return distinct_units(
+        use.join(country, "guid"), ["country", "browser"], "guid", max_groups_per_unit
+    )
 
 
 def top_browser_by_country(t: Tables) -> DataFrame:

@@ -152,7 +152,7 @@ def date_range(tables: Tables) -> DataFrame:
 
 
 def bound_rules(limits: Limits) -> list[tuple[int, str, float, float]]:
-    """(query, column, low, high) that a clipped result must respect."""
+    """(query, column, low, high, per unit) that a clipped result must respect."""
     state = limits.state_minutes
     highs: dict[int, dict[str, float]] = {
         1: {"avg_number_of_dc_powerons": limits.power_ons, "avg_duration": limits.battery_minutes},
@@ -164,31 +164,40 @@ def bound_rules(limits: Limits) -> list[tuple[int, str, float, float]]:
         5: {"entries_per_system": limits.blocker_entries},
         7: {
             **{f"avg_{s}_time": state for s in ("on", "off", "modern_sleep", "sleep")},
-            "avg_total_time": 4 * state,
+            "avg_total_time": limits.total_time_parts * state,
             **{f"avg_pcnt_{s}_time": limits.percent for s in ("on", "off", "mods", "sleep")},
         },
-        8: {"days": limits.days},
         9: {"avg_pkg_power_consumed": limits.package_watts},
         10: {f"percent_{s}": limits.percent for s in ("systems", "instances", "duration")},
         11: {"avg_percentage_used": limits.percent},
         12: {"total_power_consumption": limits.user_power},
     }
-    return [(q, c, 0.0, float(high)) for q, cols in highs.items() for c, high in cols.items()]
+    rules = [(q, c, 0.0, float(high), False) for q, cols in highs.items() for c, high in cols.items()]
+    # Sums over devices: the cap of one times the devices of the group.
+    return [
+        *rules, (5, "num_entries", 0.0, float(limits.blocker_entries), True),
+        (8, "days", 0.0, float(limits.days), True),
+    ]
 
 
 def bound_violations(
-    cells: DataFrame, rules: Sequence[tuple[int, str, float, float]]
+    cells: DataFrame, rules: Sequence[tuple[int, str, float, float, bool]]
 ) -> DataFrame:
     """Per (query, column): checked cells and those outside their bounds; a NULL is
     outside."""
     table = cells.sparkSession.createDataFrame(
-        list(rules), "query_num int, column string, low double, high double"
+        list(rules), "query_num int, column string, low double, high double, per_unit boolean"
     )
-    value = F.col("true_value")
-    bad = value.isNull() | F.isnan(value) | (value < F.col("low")) | (value > F.col("high"))
     # The rules are one row per checked column.
-    return cells.join(F.broadcast(table), ["query_num", "column"]).groupBy(
-        "query_num", "column"
-    ).agg(
+    checked = cells.join(F.broadcast(table), ["query_num", "column"])
+    summed = sorted({r[0] for r in rules if r[4]})
+    units = cells.where(
+        (F.col("column") == "number_of_systems") & F.col("query_num").isin(summed)
+    ).select("query_num", "group_key", F.col("true_value").alias("units"))
+    checked = checked.join(units, ["query_num", "group_key"], "left")
+    value = F.col("true_value")
+    high = F.when(F.col("per_unit"), F.col("high") * F.col("units")).otherwise(F.col("high"))
+    bad = value.isNull() | F.isnan(value) | (value < F.col("low")) | (value > high)
+    return checked.groupBy("query_num", "column").agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum(bad.cast("int")).alias("n_violations")
     )

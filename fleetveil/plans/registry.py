@@ -51,14 +51,36 @@ class Limits:
     )
     # A unit without data counts as NULL; True restores its counting as the cap.
     null_is_cap: bool = False
-    # Optional bound on the number of groups one unit may appear in.
-    max_groups_per_unit: int | None = None
+    # Groups that one unit may count in where it can be in several; None sets no bound, and
+    # then the scales cover one group only.
+    max_groups_per_unit: int | None = 4
+    # A mean is NULL if fewer than the minimum have a value; else all units count towards it.
+    count_contributors: bool = True
+    # Parts of avg_total_time that are capped one by one.
+    total_time_parts: int = 4
+
+    def unbounded(self) -> Limits:
+        """The same caps as the published queries use them: a unit counts in all its groups,
+        and towards the minimum size with or without a value."""
+        return replace(self, max_groups_per_unit=None, count_contributors=False)
+
+    def least(self, number: int) -> int:
+        """Values that a mean of a query needs."""
+        return self.min_units[number] if self.count_contributors else 0
 
 
 def published_sensitivity_limits(limits: Limits) -> Limits:
     """The tighter caps the published sensitivities were computed from. Noise of
     that scale does not cover the clipping in ``Limits``: for comparison only."""
-    return replace(limits, display_seconds=600.0, state_minutes=720.0, user_power=10.0)
+    return replace(
+        limits.unbounded(), display_seconds=600.0, state_minutes=720.0, user_power=10.0,
+        total_time_parts=1,
+    )
+
+
+# Queries whose groups come from the facts, so that a unit can be in several of them; in all
+# others a unit has one group.
+MANY_GROUPS = (3, 4, 5, 6, 10, 11)
 
 
 @dataclass(frozen=True)
@@ -82,6 +104,8 @@ class ReleasedQuery:
     metric_columns: tuple[str, ...]
     # Column the published post-process scales to a sum of 100, true share or not.
     percent_column: str | None = None
+    # Groups that one unit moves; a sensitivity is that of one group.
+    groups: int = 1
 
     def column(self, name: str) -> Released:
         return next(c for c in self.columns if c.name == name)
@@ -92,11 +116,11 @@ class ReleasedQuery:
 
     @property
     def l1_sensitivity(self) -> float:
-        return sum(c.sensitivity for c in self.columns)
+        return self.groups * sum(c.sensitivity for c in self.columns)
 
     @property
     def l2_sensitivity(self) -> float:
-        return math.sqrt(sum(c.sensitivity**2 for c in self.columns))
+        return math.sqrt(self.groups * sum(c.sensitivity**2 for c in self.columns))
 
 
 def _count(name: str = "number_of_systems") -> Released:
@@ -110,7 +134,7 @@ def _mean(name: str, cap: float, min_units: int) -> Released:
 def release_registry(limits: Limits | None = None) -> dict[int, ReleasedQuery]:
     """The twelve released queries with sensitivities derived from ``limits``.
 
-    A mean of values capped at C over at least k units moves by at most C/k, a sum
+    In one group a mean of values capped at C over at least k units moves by at most C/k, a sum
     by C, a count or a percentage by 1.
     """
     cap = limits or Limits()
@@ -152,7 +176,7 @@ def release_registry(limits: Limits | None = None) -> dict[int, ReleasedQuery]:
             (_count(),
              *[_mean(c, cap.state_minutes, k[7]) for c in state_means],
              # The mean of a sum of four parts, each with the cap.
-             _mean("avg_total_time", len(state_means) * cap.state_minutes, k[7]),
+             _mean("avg_total_time", cap.total_time_parts * cap.state_minutes, k[7]),
              *[Released(c, cap.percent / k[7], dist=True) for c in state_shares]),
             "TVD", state_shares, "avg_pcnt_on_time"),
         ReleasedQuery(
@@ -178,7 +202,10 @@ def release_registry(limits: Limits | None = None) -> dict[int, ReleasedQuery]:
             (Released("total_power_consumption", cap.user_power),),
             "SPEARMAN", ("total_power_consumption",)),
     ]
-    return {q.number: q for q in queries}
+    bound = cap.max_groups_per_unit or 1
+    return {
+        q.number: replace(q, groups=bound if q.number in MANY_GROUPS else 1) for q in queries
+    }
 
 
 def slug(title: str) -> str:
@@ -187,15 +214,15 @@ def slug(title: str) -> str:
 
 
 def sensitivity_frame(spark: SparkSession, registry: dict[int, ReleasedQuery]) -> DataFrame:
-    """(query_num, column, sensitivity, is_dist, is_share, metric_type): one row per
+    """(query_num, column, sensitivity, groups, is_dist, is_share, metric_type): one row per
     released column."""
     rows = [
-        (q.number, c.name, float(c.sensitivity), c.dist, c.share, q.metric)
+        (q.number, c.name, float(c.sensitivity), q.groups, c.dist, c.share, q.metric)
         for q in registry.values()
         for c in q.columns
     ]
     return spark.createDataFrame(
         rows,
-        "query_num int, column string, sensitivity double, is_dist boolean, is_share boolean, "
+        "query_num int, column string, sensitivity double, groups int, is_dist boolean, is_share boolean, "
         "metric_type string",
     )

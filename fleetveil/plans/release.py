@@ -122,10 +122,11 @@ def noisy_winners(
     epsilons: Iterable[float] = EPSILON_GRID,
     mechanisms: Iterable[str] = MECHANISMS,
 ) -> DataFrame:
-    cells = selection_counts(counts, registry[SELECTION_QUERY])
+    query = registry[SELECTION_QUERY]
+    cells = selection_counts(counts, query)
     grid = epsilon_frame(counts.sparkSession, list(epsilons), list(mechanisms))
     if policy.advanced and policy.selection == "counts":
-        out = noisy_selection(cells, grid, seed)
+        out = noisy_selection(cells, grid, seed, query.groups)
     else:
         best = cells.groupBy("query_num", "group_key").agg(
             F.max(F.struct("true_value", "item")).getField("item").alias("true_item")
@@ -157,13 +158,15 @@ def run_release(
     loss of an executor without replaying the source scans.
     """
     limits = limits or Limits()
+    if published_sensitivities:
+        limits = limits.unbounded()
     policy = policy or Policy()
     seed = seed or fresh_seed()
     registry = release_registry(
         published_sensitivity_limits(limits) if published_sensitivities else limits
     )
     cells = stage(exact_cells(tables, registry, limits))
-    counts = stage(browser_counts(tables))
+    counts = stage(browser_counts(tables, limits))
     grid = {"epsilons": list(epsilons), "mechanisms": list(mechanisms)}
     noisy = noisy_cells(cells, registry, policy, seed, delta=delta, **grid)
     winners = noisy_winners(counts, registry, policy, seed, **grid)

@@ -16,10 +16,12 @@ from fleetveil.functions.exprs import clip_upper, percent_of, ratio, round_to, r
 from fleetveil.operators.ranking import full_rank, top_ranked
 from fleetveil.operators.units import (
     Measure,
+    bound_groups_per_unit,
     count_of,
     distinct_units,
     group_summary,
     mean_of,
+    mean_of_enough,
     sum_of,
     unit_values,
     weighted_mean_of,
@@ -34,13 +36,21 @@ from fleetveil.plans.analytics import (
     weighted_category_shares,
 )
 from fleetveil.plans.categories import CATEGORY_COLUMNS
-from fleetveil.plans.registry import Limits, release_registry, slug
+from fleetveil.plans.registry import MANY_GROUPS, Limits, release_registry, slug
 from fleetveil.sources.sinks import export_results
 
 Tables = Mapping[str, DataFrame]
 
 
+def _bound(number: int, limits: Limits) -> int | None:
+    """Groups of a query that one device counts in."""
+    if limits.max_groups_per_unit is None:
+        return None
+    return limits.max_groups_per_unit if number in MANY_GROUPS else 1
+
+
 def _units(
+    number: int,
     fact: DataFrame,
     group: list[str],
     measures: list[Measure],
@@ -48,12 +58,12 @@ def _units(
     dimension: DataFrame | None = None,
 ) -> DataFrame:
     return unit_values(
-        fact, "guid", group, measures, dimension, limits.null_is_cap, limits.max_groups_per_unit
+        fact, "guid", group, measures, dimension, limits.null_is_cap, _bound(number, limits)
     )
 
 
-def _mean(name: str, digits: int | None = None) -> Column:
-    mean = F.avg(name)
+def _mean(name: str, least: int, digits: int | None = None) -> Column:
+    mean = mean_of_enough(name, least)
     return (mean if digits is None else round_to(mean, digits)).alias(name)
 
 
@@ -63,9 +73,9 @@ def battery_by_country(t: Tables, limits: Limits) -> DataFrame:
         mean_of("avg_duration", "duration_mins", limits.battery_minutes),
     ]
     country = t["sysinfo"].select("guid", F.col("countryname_normalized").alias("country"))
-    units = _units(t["system_batt_dc_events"], ["country"], measures, limits, country)
+    units = _units(1, t["system_batt_dc_events"], ["country"], measures, limits, country)
     return group_summary(
-        units, ["country"], [_mean(m.name) for m in measures], limits.min_units[1]
+        units, ["country"], [_mean(m.name, limits.least(1)) for m in measures], limits.min_units[1]
     )
 
 
@@ -74,8 +84,8 @@ def battery_by_cpu(t: Tables, limits: Limits) -> DataFrame:
     measures = [mean_of(name, "duration_mins", limits.battery_minutes)]
     cpu = t["system_cpu_metadata"].where(F.col("cpugen") != "Unknown")
     group = ["marketcodename", "cpugen"]
-    units = _units(t["system_batt_dc_events"], group, measures, limits, cpu)
-    return group_summary(units, group, [_mean(name)], limits.min_units[2])
+    units = _units(2, t["system_batt_dc_events"], group, measures, limits, cpu)
+    return group_summary(units, group, [_mean(name, limits.least(2))], limits.min_units[2])
 
 
 def display_durations(t: Tables, limits: Limits) -> DataFrame:
@@ -84,14 +94,15 @@ def display_durations(t: Tables, limits: Limits) -> DataFrame:
         for s in ("ac", "dc")
     ]
     group = ["connection_type", "resolution"]
-    units = _units(sized_displays(t), group, measures, limits)
-    return group_summary(units, group, [_mean(m.name, 2) for m in measures], limits.min_units[3])
+    units = _units(3, sized_displays(t), group, measures, limits)
+    means = [_mean(m.name, limits.least(3), 2) for m in measures]
+    return group_summary(units, group, means, limits.min_units[3])
 
 
 def display_vendor_share(t: Tables, limits: Limits) -> DataFrame:
     """The total is the sum of the vendor counts, so the shares add up to 100."""
     known = t["system_display_devices"].where(F.col("vendor_name").isNotNull())
-    counts = distinct_units(known, ["vendor_name"], "guid")
+    counts = distinct_units(known, ["vendor_name"], "guid", _bound(4, limits))
     totalled = with_total(counts, total_number_of_systems=F.sum("number_of_systems"))
     share = round_to(percent_of("number_of_systems", "total_number_of_systems"), 2)
     return totalled.withColumn("percentage_of_systems", share)
@@ -100,7 +111,7 @@ def display_vendor_share(t: Tables, limits: Limits) -> DataFrame:
 def blockers_by_os(t: Tables, limits: Limits) -> DataFrame:
     group = ["os_name", "os_codename"]
     measures = [sum_of("entries", "n_rows", limits.blocker_entries)]
-    units = _units(blockers_with_os(t), group, measures, limits)
+    units = _units(5, blockers_with_os(t), group, measures, limits)
     out = group_summary(
         units, group, [F.sum("entries").alias("num_entries")], limits.min_units[5]
     )
@@ -110,26 +121,26 @@ def blockers_by_os(t: Tables, limits: Limits) -> DataFrame:
     )
 
 
-def browser_counts(t: Tables) -> DataFrame:
+def browser_counts(t: Tables, limits: Limits | None = None) -> DataFrame:
     """(country, browser, number_of_systems), the input of the noisy selection."""
-    return browser_devices_by_country(t, known_only=True)
+    return browser_devices_by_country(t, True, _bound(6, limits or Limits()))
 
 
 def top_browser_by_country(t: Tables, limits: Limits) -> DataFrame:
-    winners = top_ranked(browser_counts(t), F.col("number_of_systems"), 1, ["country"])
+    winners = top_ranked(browser_counts(t, limits), F.col("number_of_systems"), 1, ["country"])
     return winners.select("country", "browser")
 
 
 def sleep_by_cpu(t: Tables, limits: Limits) -> DataFrame:
     group = ["marketcodename", "cpugen"]
-    states = list(SLEEP_STATES.values())
+    states, least = list(SLEEP_STATES.values()), limits.least(7)
     measures = [mean_of(s, s, limits.state_minutes) for s in states]
     units = _units(
-        t["system_on_off_suspend_time_day"], group, measures, limits, t["system_cpu_metadata"]
+        7, t["system_on_off_suspend_time_day"], group, measures, limits, t["system_cpu_metadata"]
     ).withColumn("total", row_total(states))
     outputs = [
-        *[round_to(F.avg(s), 2).alias(f"avg_{k}_time") for k, s in SLEEP_STATES.items()],
-        round_to(F.avg("total"), 2).alias("avg_total_time"),
+        *[round_to(mean_of_enough(s, least), 2).alias(f"avg_{k}_time") for k, s in SLEEP_STATES.items()],
+        round_to(mean_of_enough("total", least), 2).alias("avg_total_time"),
         *[
             round_to(percent_of(F.sum(s), F.sum("total")), 2).alias(f"avg_pcnt_{s}")
             for s in states
@@ -151,6 +162,8 @@ def persona_web_categories(t: Tables, limits: Limits) -> DataFrame:
         clip_upper("days", limits.days, limits.null_is_cap).alias("days"),
         *[clip_upper(c, limits.web_duration_ms, limits.null_is_cap).alias(c) for c in sums],
     ).where(F.col("total_duration") > 0)
+    if (bound := _bound(8, limits)) is not None:
+        capped = bound_groups_per_unit(capped, "guid", ["persona"], bound)
     return group_summary(
         capped, ["persona"], [F.sum("days").alias("days"), *weighted_category_shares()],
         limits.min_units[8],
@@ -161,8 +174,8 @@ def package_power_by_country(t: Tables, limits: Limits) -> DataFrame:
     name = "avg_pkg_power_consumed"
     measures = [weighted_mean_of(name, "mean", "nrs", limits.package_watts)]
     group = ["countryname_normalized"]
-    units = _units(t["system_hw_pkg_power"], group, measures, limits, t["sysinfo"])
-    return group_summary(units, group, [_mean(name)], limits.min_units[9])
+    units = _units(9, t["system_hw_pkg_power"], group, measures, limits, t["sysinfo"])
+    return group_summary(units, group, [_mean(name, limits.least(9))], limits.min_units[9])
 
 
 def browser_shares(t: Tables, limits: Limits) -> DataFrame:
@@ -173,7 +186,7 @@ def browser_shares(t: Tables, limits: Limits) -> DataFrame:
     ]
     parts = ["systems", "instances", "duration"]
     per_browser = group_summary(
-        _units(known, ["browser"], measures, limits), ["browser"],
+        _units(10, known, ["browser"], measures, limits), ["browser"],
         [F.sum(p).alias(p) for p in parts[1:]],
     ).withColumnRenamed("number_of_systems", "systems")
     totalled = with_total(per_browser, **{f"all_{p}": F.sum(p) for p in parts})
@@ -187,9 +200,9 @@ def ram_histogram(t: Tables, limits: Limits) -> DataFrame:
     gb = F.col("sysinfo_ram") / F.pow(F.lit(2.0), F.lit(10.0))
     name = "avg_percentage_used"
     units = _units(
-        rows.withColumn("ram_gb", gb), ["ram_gb"], [mean_of(name, name, limits.percent)], limits
+        11, rows.withColumn("ram_gb", gb), ["ram_gb"], [mean_of(name, name, limits.percent)], limits
     )
-    return group_summary(units, ["ram_gb"], [_mean(name, 0)], limits.min_units[11])
+    return group_summary(units, ["ram_gb"], [_mean(name, limits.least(11), 0)], limits.min_units[11])
 
 
 def power_by_user(t: Tables, limits: Limits) -> DataFrame:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from fleetveil.operators.noise import Policy
 from fleetveil.plans.categories import CATEGORY_COLUMNS
-from fleetveil.plans.checks import bound_rules
 from fleetveil.plans.reporting import WEB_MEASURES
 from fleetveil.plans.registry import EPSILON_GRID, epsilon_label
 from oracles.build import pick, with_ctes
+from oracles.noise_plan import classic, plan_ctes
 from oracles.texts import (
     CTES,
     DEMO_LIMITS,
     DEMO_REGISTRY,
     POWER_PARTS,
-    _plan,
+    cells_text,
     p_value,
     pivot_columns,
 )
@@ -139,12 +139,45 @@ _case("v13_devices", "metric:s unique_systems:i",
 _case("v14_date_range", "metric:s earliest_date:s latest_date:s days_span:i",
       "SELECT 'Date Range' AS metric, min(dt) AS earliest_date, max(dt) AS latest_date, "
       "date_diff('day', min(dt), max(dt)) AS days_span FROM rep_display")
-_RULES = ", ".join(f"({q}, '{c}', {lo!r}, {hi!r})" for q, c, lo, hi in bound_rules(DEMO_LIMITS))
+# What a clipped result may reach; "device" is times the devices of the group.
+_BOUNDS = """
+ 1 avg_number_of_dc_powerons 10 value
+ 1 avg_duration 60 value
+ 2 avg_duration_mins_on_battery 60 value
+ 3 average_duration_on_ac_in_seconds 3600 value
+ 3 average_duration_on_dc_in_seconds 3600 value
+ 4 percentage_of_systems 100 value
+ 5 entries_per_system 50 value
+ 5 num_entries 50 device
+ 7 avg_on_time 1440 value
+ 7 avg_off_time 1440 value
+ 7 avg_modern_sleep_time 1440 value
+ 7 avg_sleep_time 1440 value
+ 7 avg_total_time 5760 value
+ 7 avg_pcnt_on_time 100 value
+ 7 avg_pcnt_off_time 100 value
+ 7 avg_pcnt_mods_time 100 value
+ 7 avg_pcnt_sleep_time 100 value
+ 8 days 365 device
+ 9 avg_pkg_power_consumed 50 value
+10 percent_systems 100 value
+10 percent_instances 100 value
+10 percent_duration 100 value
+11 avg_percentage_used 100 value
+12 total_power_consumption 100 value
+"""
+_RULES = ", ".join(
+    f"({q}, '{c}', 0.0, {high}.0, {kind == 'device'})"
+    for q, c, high, kind in map(str.split, _BOUNDS.strip().splitlines())
+)
 _case("v15_bounds", "query_num:i column:s n_cells:i n_violations:i",
-      f"""SELECT c.query_num, c.col AS "column", count(*) AS n_cells,
-          count(*) FILTER (WHERE true_value IS NULL OR true_value NOT BETWEEN low AND high) AS n_violations
-          FROM cells c JOIN (SELECT * FROM (VALUES {_RULES}) AS v(query_num, col, low, high)) r
-          ON r.query_num = c.query_num AND r.col = c.col GROUP BY 1, 2""")
+      f"""SELECT c.query_num, c.col AS "column", count(*) AS n_cells, count(*) FILTER (WHERE
+              c.true_value IS NULL OR c.true_value NOT BETWEEN low AND high * CASE WHEN per_device
+              THEN u.true_value ELSE 1 END) AS n_violations
+          FROM cells c JOIN (SELECT * FROM (VALUES {_RULES}) AS v(query_num, col, low, high, per_device)) r
+            ON r.query_num = c.query_num AND r.col = c.col
+          LEFT JOIN cells u ON u.query_num = c.query_num AND u.group_key = c.group_key
+            AND u.col = 'number_of_systems' AND per_device GROUP BY 1, 2""")
 
 # -------------------------------------------------------------- analytical queries
 # Thresholds that split the small test groups.
@@ -329,16 +362,27 @@ for _q in DEMO_REGISTRY.values():
 _CELL = "query_num:i mechanism:s epsilon:s group_key:s column:s true_value:d noisy_value:d"
 _REL = 'SELECT *, col AS "column" FROM released'
 _case("d03_norms", "query_num:i n_columns:i n_cells:i l1_sensitivity:d l2_sensitivity:d",
-      """SELECT query_num, count(*) AS n_columns, sum(n) AS n_cells, sum(scale) AS l1_sensitivity,
-         sqrt(sum(scale * scale)) AS l2_sensitivity
+      """SELECT query_num, count(*) AS n_columns, sum(n) AS n_cells,
+         sum(sensitivity * groups) AS l1_sensitivity,
+         sqrt(sum(sensitivity * sensitivity * groups)) AS l2_sensitivity
          FROM (SELECT query_num, col, count(*) AS n FROM cells GROUP BY 1, 2)
-         JOIN (SELECT query_num, col, scale * column_epsilon AS scale FROM plan
-               WHERE mechanism = 'laplace' AND epsilon = '1.0') USING (query_num, col)
+         JOIN plan_columns USING (query_num, col)
          GROUP BY query_num""")
 _case("d04_scales",
       "query_num:i column:s mechanism:s epsilon:s column_epsilon:d scale:d n_cells:i",
       'SELECT *, col AS "column" FROM plan JOIN (SELECT query_num, col, count(*) AS n_cells '
       "FROM cells GROUP BY 1, 2) USING (query_num, col) WHERE epsilon <> 'inf'")
+_SOLVED = f"""
+    SELECT query_num, col AS "column", epsilon, column_epsilon, g.delta, n_cells,
+           sensitivity * sqrt(groups) * exact_sigma AS sigma,
+           sensitivity * sqrt(groups) * {classic('column_epsilon', 'g.delta')} AS classic
+    FROM plan_grid g JOIN sigma_table s ON s.eps = column_epsilon AND s.delta = g.delta
+    JOIN (SELECT query_num, col, count(true_value) AS n_cells FROM cells GROUP BY 1, 2) USING (query_num, col)"""
+# Two searches agree to about nine digits; the rows compare four.
+_case("d05_sigma", "query_num:i column:s epsilon:s n_cells:i digits:s",
+      f"SELECT *, format('{{:.4e}}', sigma) AS digits FROM ({_SOLVED}) x")
+_case("d06_classic", "query_num:i column:s epsilon:s classic:d saved:d",
+      f"SELECT *, 1 - sigma / classic AS saved FROM ({_SOLVED}) x")
 _case("d08_laplace_e01", _CELL, f"{_REL} WHERE query_num = 1 AND mechanism = 'laplace'")
 _case("d09_gaussian_e01", _CELL, f"{_REL} WHERE query_num = 1 AND mechanism = 'gaussian'")
 _case("d11_proportion_e10", _CELL, f"{_REL} WHERE query_num = 10")
@@ -452,7 +496,7 @@ def oracle(name: str) -> str:
     spec, sql = CASES[name]
     ctes = CTES
     if name.startswith("d20_"):
-        ctes = {**CTES, "plan": _plan(PUBLISHED_POLICY)}
+        ctes = {**CTES, "cells": cells_text("e"), **plan_ctes(DEMO_LIMITS.min_units, 1, published=True)}
     return with_ctes(ctes, pick(spec, sql))
 
 

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from fleetveil.operators.noise import Policy, plan_rows
+from fleetveil.operators.noise import Policy
 from fleetveil.plans.categories import CATEGORIES, CATEGORY_COLUMNS
-from fleetveil.plans.registry import EPSILON_GRID, MECHANISMS, Limits, epsilon_label, release_registry
+from fleetveil.plans.registry import (
+    EPSILON_GRID,
+    MECHANISMS,
+    Limits,
+    epsilon_label,
+    published_sensitivity_limits,
+    release_registry,
+)
+from oracles.noise_plan import plan_ctes
 from fleetveil.sources.bindings import VIEW_SQL, BASE_TABLES
 
 # The test tables are small, so the registered queries use smaller minimum sizes.
 DEMO_LIMITS = Limits(min_units={1: 50, 2: 50, 3: 50, 5: 10, 7: 5, 8: 20, 9: 5, 11: 20})
+# The exact queries as published: a device counts in all its groups.
+EXACT_LIMITS = DEMO_LIMITS.unbounded()
+# Fixed value: groups that the release lets one device count in.
+GROUPS = 4
 DEMO_SEED = "demo-seed"
 
 CTES: dict[str, str] = {}
@@ -118,64 +130,86 @@ _K = DEMO_LIMITS.min_units
 _STATES = ("on", "off", "mods", "sleep")
 _TOTAL = " + ".join(CATEGORY_COLUMNS)
 
-CTES |= {
-    "e01": f"""
-        SELECT country, count(*) AS number_of_systems, avg(ons) AS avg_number_of_dc_powerons,
-               avg(mins) AS avg_duration
+
+
+def release_ctes(p: str, groups: int | None) -> dict[str, str]:
+    """The twelve queries under names that begin with ``p``.
+
+    With ``groups`` a device counts in so many groups at most, chosen by a hash, where groups come
+    from the facts, and a mean is NULL without enough devices that have a value.
+    """
+
+    def few(*names: str, unit: str = "guid") -> str:
+        if groups is None:
+            return ""
+        parts = ", ".join(f"coalesce(CAST({n} AS VARCHAR), '')" for n in (unit, *names))
+        return (f"QUALIFY row_number() OVER (PARTITION BY {unit} "
+                f"ORDER BY md5(concat_ws('|', {parts})), {', '.join(names)}) <= {groups}")
+
+    def mean(x: str, q: int) -> str:
+        return f"avg({x})" if groups is None else f"CASE WHEN count({x}) >= {_K[q]} THEN avg({x}) END"
+
+    return {
+    f"{p}01": f"""
+        SELECT country, count(*) AS number_of_systems, {mean('ons', 1)} AS avg_number_of_dc_powerons,
+               {mean('mins', 1)} AS avg_duration
         FROM (SELECT s.countryname_normalized AS country, b.guid, least(avg(num_power_ons), 10) AS ons,
                      least(avg(duration_mins), 60) AS mins
               FROM rep_batt b JOIN src_sysinfo s ON s.guid = b.guid GROUP BY 1, 2) device
         GROUP BY country HAVING count(*) >= {_K[1]}""",
-    "e02": f"""
+    f"{p}02": f"""
         SELECT marketcodename, cpugen, count(*) AS number_of_systems,
-               avg(mins) AS avg_duration_mins_on_battery
+               {mean('mins', 2)} AS avg_duration_mins_on_battery
         FROM (SELECT marketcodename, cpugen, b.guid, least(avg(duration_mins), 60) AS mins
               FROM rep_batt b JOIN src_cpu_metadata c ON c.guid = b.guid
               WHERE cpugen <> 'Unknown' GROUP BY 1, 2, 3) device
         GROUP BY 1, 2 HAVING count(*) >= {_K[2]}""",
-    "e03": f"""
+    f"{p}03": f"""
         SELECT connection_type, resolution, count(*) AS number_of_systems,
-               round_dec(avg(ac), 2) AS average_duration_on_ac_in_seconds,
-               round_dec(avg(dc), 2) AS average_duration_on_dc_in_seconds
+               round_dec({mean('ac', 3)}, 2) AS average_duration_on_ac_in_seconds,
+               round_dec({mean('dc', 3)}, 2) AS average_duration_on_dc_in_seconds
         FROM (SELECT connection_type, concat(resolution_heigth, 'x', resolution_width) AS resolution,
                      guid, least(avg(duration_ac), 3600) AS ac, least(avg(duration_dc), 3600) AS dc
               FROM rep_display
               WHERE connection_type IS NOT NULL AND resolution_heigth <> 0 AND resolution_width <> 0
-              GROUP BY 1, 2, 3) device
+              GROUP BY 1, 2, 3 {few('connection_type', 'resolution')}) device
         GROUP BY 1, 2 HAVING count(*) >= {_K[3]}""",
-    "e04": """
+    f"{p}04": f"""
         SELECT vendor_name, n AS number_of_systems, sum(n) OVER () AS total_number_of_systems,
                round_dec(n * 1e2 / sum(n) OVER (), 2) AS percentage_of_systems
-        FROM (SELECT vendor_name, count(DISTINCT guid) AS n FROM rep_display
-              WHERE vendor_name IS NOT NULL GROUP BY 1) vendors""",
-    "e05": f"""
+        FROM (SELECT vendor_name, count(*) AS n
+              FROM (SELECT vendor_name, guid FROM rep_display WHERE vendor_name IS NOT NULL
+                    GROUP BY 1, 2 {few('vendor_name')}) device GROUP BY 1) vendors""",
+    f"{p}05": f"""
         SELECT os_name, os_codename, sum(n) AS num_entries, count(*) AS number_of_systems,
                CAST(sum(n) AS DOUBLE) / count(*) AS entries_per_system
         FROM (SELECT os_name, os_codename, b.guid, least(count(*), 50) AS n
               FROM src_blockers b JOIN src_os_history h
                 ON h.guid = b.guid AND dt_utc >= min_ts AND dt_utc <= max_ts
-              GROUP BY 1, 2, 3) device
+              GROUP BY 1, 2, 3 {few('os_name', 'os_codename', unit='b.guid')}) device
         GROUP BY 1, 2 HAVING count(*) >= {_K[5]}""",
-    "e06_counts": """
-        SELECT countryname_normalized AS country, browser, count(DISTINCT w.guid) AS number_of_systems
-        FROM rep_web w JOIN src_sysinfo s ON s.guid = w.guid
-        WHERE browser IS NOT NULL GROUP BY 1, 2""",
-    "e06": """
-        SELECT country, browser FROM e06_counts c
-        WHERE number_of_systems = (SELECT max(number_of_systems) FROM e06_counts m
+    f"{p}06_counts": f"""
+        SELECT country, browser, count(*) AS number_of_systems
+        FROM (SELECT countryname_normalized AS country, browser, w.guid
+              FROM rep_web w JOIN src_sysinfo s ON s.guid = w.guid
+              WHERE browser IS NOT NULL GROUP BY 1, 2, 3 {few('country', 'browser', unit='w.guid')}) device
+        GROUP BY 1, 2""",
+    f"{p}06": f"""
+        SELECT country, browser FROM {p}06_counts c
+        WHERE number_of_systems = (SELECT max(number_of_systems) FROM {p}06_counts m
                                    WHERE m.country = c.country)""",
-    "e07": f"""
+    f"{p}07": f"""
         SELECT marketcodename, cpugen, count(*) AS number_of_systems,
-               round_dec(avg(s_on), 2) AS avg_on_time, round_dec(avg(s_off), 2) AS avg_off_time,
-               round_dec(avg(s_mods), 2) AS avg_modern_sleep_time, round_dec(avg(s_sleep), 2) AS avg_sleep_time,
-               round_dec(avg(s_on + s_off + s_mods + s_sleep), 2) AS avg_total_time,
+               round_dec({mean('s_on', 7)}, 2) AS avg_on_time, round_dec({mean('s_off', 7)}, 2) AS avg_off_time,
+               round_dec({mean('s_mods', 7)}, 2) AS avg_modern_sleep_time, round_dec({mean('s_sleep', 7)}, 2) AS avg_sleep_time,
+               round_dec({mean('s_on + s_off + s_mods + s_sleep', 7)}, 2) AS avg_total_time,
                {', '.join(f"round_dec(sum(s_{s}) * 1e2 / nullif(sum(s_on + s_off + s_mods + s_sleep), 0), 2)"
                           f" AS avg_pcnt_{s}_time" for s in _STATES)}
         FROM (SELECT marketcodename, cpugen, o.guid,
                      {', '.join(f'least(avg({s}_time), 1440) AS s_{s}' for s in _STATES)}
               FROM src_on_off o JOIN src_cpu_metadata c ON c.guid = o.guid GROUP BY 1, 2, 3) device
         GROUP BY 1, 2 HAVING count(*) >= {_K[7]}""",
-    "e08": f"""
+    f"{p}08": f"""
         SELECT persona, count(*) AS number_of_systems, sum(days) AS days,
                {', '.join(f"round_dec(1e2 * sum(days * {c} / total) / sum(days), 3) AS {c}"
                           for c in CATEGORY_COLUMNS)}
@@ -184,34 +218,39 @@ CTES |= {
                      least(sum({_TOTAL}), 3.6e6) AS total
               FROM rep_webdur w JOIN src_sysinfo s ON s.guid = w.guid GROUP BY 1, 2) device
         WHERE total > 0 GROUP BY persona HAVING count(*) >= {_K[8]}""",
-    "e09": f"""
-        SELECT countryname_normalized, count(*) AS number_of_systems, avg(w) AS avg_pkg_power_consumed
+    f"{p}09": f"""
+        SELECT countryname_normalized, count(*) AS number_of_systems, {mean('w', 9)} AS avg_pkg_power_consumed
         FROM (SELECT countryname_normalized, p.guid, least({_wavg('mean', 'nrs')}, 50) AS w
               FROM rep_hwpkg p JOIN src_sysinfo s ON s.guid = p.guid GROUP BY 1, 2) device
         GROUP BY 1 HAVING count(*) >= {_K[9]}""",
-    "e10": """
+    f"{p}10": f"""
         SELECT browser, round_dec(n * 1e2 / sum(n) OVER (), 2) AS percent_systems,
                round_dec(r * 1e2 / sum(r) OVER (), 2) AS percent_instances,
                round_dec(ms * 1e2 / sum(ms) OVER (), 2) AS percent_duration
         FROM (SELECT browser, count(*) AS n, sum(r) AS r, sum(ms) AS ms
               FROM (SELECT browser, guid, least(count(*), 50) AS r, least(sum(duration_ms), 3.6e6) AS ms
-                    FROM rep_web WHERE browser IS NOT NULL GROUP BY 1, 2) device
+                    FROM rep_web WHERE browser IS NOT NULL GROUP BY 1, 2 {few('browser')}) device
               GROUP BY 1) browsers""",
-    "e11": f"""
-        SELECT sysinfo_ram / 1024 AS ram_gb, count(*) AS number_of_systems,
-               round_dec(avg(p)) AS avg_percentage_used
-        FROM (SELECT sysinfo_ram, guid, least(avg(avg_percentage_used), 100) AS p
-              FROM rep_mem WHERE avg_percentage_used > 0 GROUP BY 1, 2) device
+    f"{p}11": f"""
+        SELECT ram_gb, count(*) AS number_of_systems,
+               round_dec({mean('u', 11)}) AS avg_percentage_used
+        FROM (SELECT sysinfo_ram / 1024 AS ram_gb, guid, least(avg(avg_percentage_used), 100) AS u
+              FROM rep_mem WHERE avg_percentage_used > 0 GROUP BY 1, 2 {few('ram_gb')}) device
         GROUP BY 1 HAVING count(*) >= {_K[11]}""",
-    "e12": """
+    f"{p}12": f"""
         SELECT user_id, least(sum(total_power_consumption), 100) AS total_power_consumption,
                rank() OVER (ORDER BY least(sum(total_power_consumption), 100) DESC) AS rnk
         FROM rep_power GROUP BY user_id""",
 }
 
+
+CTES |= release_ctes("e", None)
+CTES |= release_ctes("s", GROUPS)
+
 # ------------------------------------------------------------------- private release
 
 DEMO_REGISTRY = release_registry(DEMO_LIMITS)
+PUBLISHED_REGISTRY = release_registry(published_sensitivity_limits(DEMO_LIMITS))
 DEMO_POLICY = Policy()
 
 
@@ -221,7 +260,7 @@ def _key_part(column: str) -> str:
     return f"coalesce({text}, '\\0')"
 
 
-def _cells() -> str:
+def cells_text(prefix: str) -> str:
     parts = []
     for q in DEMO_REGISTRY.values():
         key = ", ".join(map(_key_part, q.keys))
@@ -229,7 +268,7 @@ def _cells() -> str:
             parts.append(
                 f"SELECT {q.number} AS query_num, concat_ws(chr(31), {key}) AS group_key, "
                 f"'' AS item, '{c.name}' AS col, CAST({c.name} AS DOUBLE) AS true_value "
-                f"FROM e{q.number:02d}"
+                f"FROM {prefix}{q.number:02d}"
             )
     return " UNION ALL ".join(parts)
 
@@ -244,16 +283,6 @@ def _literal(x) -> str:
     return f"{x!r}::DOUBLE" if isinstance(x, float) else repr(x)
 
 
-def _plan(policy: Policy) -> str:
-    names = ("query_num, col, mechanism, epsilon, eps, column_epsilon, column_delta, scale, "
-             "rescale, normalise, is_dist")
-    rows = ", ".join(
-        "(" + ", ".join(_literal(x) for x in row) + ")"
-        for row in plan_rows(DEMO_REGISTRY, policy)
-    )
-    return f"SELECT * FROM (VALUES {rows}) AS p({names})"
-
-
 def uniform(*parts: str) -> str:
     text = f"concat_ws('|', '{DEMO_SEED}', {', '.join(parts)})"
     return f"((CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
@@ -270,8 +299,8 @@ _GRID = ", ".join(
 _AT = "query_num, mechanism, epsilon"
 
 CTES |= {
-    "cells": _cells(),
-    "plan": _plan(DEMO_POLICY),
+    "cells": cells_text("s"),
+    **plan_ctes(_K, GROUPS),
     "drawn": f"""
         SELECT c.query_num, mechanism, epsilon, eps, group_key, item, c.col, true_value, is_dist,
                normalise,
@@ -304,9 +333,9 @@ CTES |= {
         SELECT 6 AS query_num, mechanism, epsilon, {_key_part('country')} AS group_key, browser AS item,
                number_of_systems AS true_value,
                CASE WHEN epsilon = 'inf' THEN number_of_systems ELSE number_of_systems
-                   + {laplace('1 / eps', uniform('6', 'epsilon', 'mechanism', _key_part('country'), 'browser', "'1'"))}
+                   + {laplace(f'{GROUPS} / eps', uniform('6', 'epsilon', 'mechanism', _key_part('country'), 'browser', "'1'"))}
                END AS noisy_value
-        FROM e06_counts CROSS JOIN (SELECT * FROM (VALUES {_GRID}) AS v(mechanism, epsilon, eps)) g""",
+        FROM s06_counts CROSS JOIN (SELECT * FROM (VALUES {_GRID}) AS v(mechanism, epsilon, eps)) g""",
     "winners": f"""
         SELECT {_AT}, group_key,
                (array_agg(item ORDER BY true_value DESC, item DESC))[1] AS true_item,

@@ -5,10 +5,10 @@ the same within a partition. The full-rank operators here work on the distinct
 values with their counts instead:
 
 1. count the rows per distinct value (partial aggregation absorbs ties);
-2. assign each value to an order-preserving bucket, a fixed function of the value;
-3. turn bucket totals into running offsets (one row per bucket, bounded by the
-   number of buckets whatever the data size);
-4. accumulate inside each bucket, many small windows in parallel.
+2. range-partition the values: Spark samples them, so that the bounds follow the data and
+   close values are spread like any others; the result is staged, so the bounds are fixed;
+3. turn the partitions' totals into running offsets (one row per partition and group in it);
+4. accumulate inside each partition, many windows of equal size in parallel.
 
 Values must evaluate to the same bits each time the frame is read: integers,
 rounded numbers, text, or a frame that went through ``session.stage``.
@@ -21,9 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per doubling of the value.
-BUCKETS_PER_OCTAVE = 1024
-_OCTAVE_SHIFT = 1100 * BUCKETS_PER_OCTAVE
+from fleetveil.session import stage
 
 
 def top_ranked(
@@ -38,88 +36,38 @@ def top_ranked(
     return df.withColumn(name, F.rank().over(order)).where(F.col(name) <= k)
 
 
-def numeric_bucket(value: Column) -> Column:
-    """Monotone bucket number of a double; equal values share a bucket.
-
-    The power of two below the value, then equal steps up to the next one. An
-    exponent that the logarithm rounds one off gives the same bucket, so the number
-    does not depend on the last bit of a math library. Infinities and NaN, which
-    Spark orders last, get buckets of their own.
-    """
-    value = value.cast("double")
-    size = F.abs(value)
-    finite = size < F.lit(float("inf"))
-    exponent = F.least(F.floor(F.log2(F.when(finite & (size > 0), size))), F.lit(1023))
-    mantissa = size / F.pow(F.lit(2.0), exponent.cast("double"))
-    step = exponent * F.lit(BUCKETS_PER_OCTAVE) + F.floor(
-        (mantissa - F.lit(1.0)) * F.lit(float(BUCKETS_PER_OCTAVE))
-    )
-    ranked = F.when(finite, step + F.lit(_OCTAVE_SHIFT)).otherwise(F.lit(3 * _OCTAVE_SHIFT))
-    return (
-        F.when(F.isnan(value), F.lit(4 * _OCTAVE_SHIFT))
-        .when(value == 0, F.lit(0))
-        .when(value < 0, -ranked)
-        .otherwise(ranked)
-        .cast("bigint")
-    )
-
-
-def with_text_bucket(df: DataFrame, value: str) -> DataFrame:
-    """Add ``__bucket``: the three characters after the prefix that all values share.
-
-    Every text between the smallest and the largest has their common prefix, so one
-    row of extremes gives its length; dropping it keeps the order of the values.
-    """
-    ends = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    shared = ends.select(
-        F.expr(
-            "size(filter(sequence(1, greatest(length(__lo), 1)),"
-            " i -> substring(__lo, 1, i) = substring(__hi, 1, i)))"
-        ).alias("__shared")
-    )
-    return (
-        df.crossJoin(F.broadcast(shared))
-        .withColumn("__bucket", F.substr(F.col(value), F.col("__shared") + F.lit(1), F.lit(3)))
-        .drop("__shared")
-    )
-
-
 def value_positions(
     df: DataFrame,
     value: str,
     group: Sequence[str] = (),
     descending: bool = True,
-    text: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
     """(group, value, n, before, total): how many rows hold the value, how many come
-    strictly ahead of it, and how many there are, over the non-NULL values."""
+    strictly ahead of it, and how many there are. NULL is a value behind all others.
+
+    ``ranges`` is the number of partitions, that of shuffles by default.
+    """
     group = list(group)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(
+        counts.repartitionByRange(parts, *group, order).withColumn("__range", F.spark_partition_id())
     )
-    if text:
-        counts = with_text_bucket(counts, value)
-    else:
-        counts = counts.withColumn("__bucket", numeric_bucket(F.col(value)))
-    bucket_order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
-    value_order = F.col(value).desc() if descending else F.col(value).asc()
-    ahead = Window.partitionBy(*group).orderBy(bucket_order)
-    buckets = (
-        counts.groupBy(*group, "__bucket")
+    by_group = Window.partitionBy(*group)
+    ahead = by_group.orderBy("__range")
+    offsets = (
+        ranged.groupBy(*group, "__range")
         .agg(F.sum("n").alias("__n"))
         .withColumn("__ahead", F.sum("__n").over(ahead) - F.col("__n"))
-        .withColumn("total", F.sum("__n").over(Window.partitionBy(*group)))
+        .withColumn("total", F.sum("__n").over(by_group))
         .drop("__n")
     )
-    inside = Window.partitionBy(*group, "__bucket").orderBy(value_order)
-    located = counts.withColumn("__inside", F.sum("n").over(inside) - F.col("n"))
-    left, right = located.alias("l"), buckets.alias("r")
-    same = F.col("l.__bucket") == F.col("r.__bucket")
-    for g in group:
-        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    return left.join(right, same).select(
+    inside = Window.partitionBy(*group, "__range").orderBy(order)
+    located = ranged.withColumn("__inside", F.sum("n").over(inside) - F.col("n"))
+    left, right = located.alias("l"), offsets.alias("r")
+    return left.join(right, _same("__range", group)).select(
         *[F.col(f"l.{g}").alias(g) for g in group],
         F.col(f"l.{value}").alias(value),
         F.col("n"),
@@ -128,6 +76,13 @@ def value_positions(
     )
 
 
+def _same(key: str, group: Sequence[str]) -> Column:
+    same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    for g in group:
+        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
+    return same
+
+
 def rank_table(
     df: DataFrame,
     value: str,
@@ -147,20 +102,12 @@ def rank_table(
 
 
 def attach_rank(
-    df: DataFrame, ranks: DataFrame, value: str, name: str, group: Sequence[str] = (),
-    salts: int = 8,
+    df: DataFrame, ranks: DataFrame, value: str, name: str, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Join a :func:`rank_table` back to the rows. The rows are spread over ``salts``
-    keys, so a value shared by a third of them does not land in one task."""
-    spread = ranks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    left, right = rows.alias("l"), spread.alias("r")
-    same = (F.col("l.__salt") == F.col("r.__salt")) & (
-        F.col(f"l.{value}") == F.col(f"r.{value}")
-    )
-    for g in group:
-        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    return left.join(right, same, "left").select(
+    """Join a :func:`rank_table` back to the rows. Each value is there once, so the rows of one
+    that is very common may be split at will, which the adaptive skew join does."""
+    left, right = df.alias("l"), ranks.alias("r")
+    return left.join(right, _same(value, group), "left").select(
         *[F.col(f"l.{c}").alias(c) for c in df.columns], F.col(f"r.{name}").alias(name)
     )
 
@@ -172,37 +119,10 @@ def full_rank(
     group: Sequence[str] = (),
     descending: bool = True,
     average: bool = False,
-    nulls: bool = True,
 ) -> DataFrame:
-    """Add the rank of every row. NULL values come last (``nulls=False`` skips that
-    step where none occur)."""
+    """Add the rank of every row; NULL values tie behind all others."""
     ranks = rank_table(df, value, name, group, descending, average)
-    ranked = attach_rank(df, ranks, value, name, group)
-    return _rank_nulls(df, ranked, value, name, list(group), average) if nulls else ranked
-
-
-def _rank_nulls(
-    df: DataFrame, ranked: DataFrame, value: str, name: str, group: list[str], average: bool
-) -> DataFrame:
-    # NULLs tie with each other behind every value: one row per group to look up.
-    sizes = df.groupBy(*group).agg(
-        F.count(value).alias("__known"), F.count(F.lit(1)).alias("__all")
-    )
-    last = F.col("__known") + F.lit(1)
-    if average:
-        last = last + (F.col("__all") - F.col("__known") - F.lit(1)) / F.lit(2.0)
-    left = ranked.alias("l")
-    right = sizes.where(F.col("__known") < F.col("__all")).select(*group, last.alias("__last"))
-    right = right.alias("r")
-    same = F.col(f"l.{value}").isNull()
-    for g in group:
-        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    if not group:
-        right = F.broadcast(right)
-    return left.join(right, same, "left").select(
-        *[F.col(f"l.{c}").alias(c) for c in df.columns],
-        F.coalesce(F.col(f"l.{name}"), F.col("r.__last")).alias(name),
-    )
+    return attach_rank(df, ranks, value, name, group)
 
 
 def exact_median(
@@ -210,7 +130,7 @@ def exact_median(
 ) -> DataFrame:
     """Exact median per group without holding a group's values in one buffer."""
     group = list(group)
-    places = value_positions(df, value, group, descending=False)
+    places = value_positions(df.where(F.col(value).isNotNull()), value, group, descending=False)
     low = F.floor((F.col("total") + F.lit(1)) / F.lit(2.0))
     high = F.floor((F.col("total") + F.lit(2)) / F.lit(2.0))
     first, last = F.col("before") + F.lit(1), F.col("before") + F.col("n")

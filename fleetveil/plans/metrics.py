@@ -110,7 +110,7 @@ def spearman_numeric(cells: DataFrame) -> DataFrame:
 def spearman_categorical(winners: DataFrame) -> DataFrame:
     """Winners in key order: a label stands for its last position among the true
     winners, a label that never truly wins for the number of rows."""
-    places = value_positions(winners, "group_key", AT, descending=False, text=True)
+    places = value_positions(winners, "group_key", AT, descending=False)
     located = winners.join(
         places.select(*AT, "group_key", F.col("before").alias("position"), "total"),
         [*AT, "group_key"],
@@ -124,7 +124,7 @@ def spearman_categorical(winners: DataFrame) -> DataFrame:
     # Several branches read the label positions: fix them once.
     scored = stage(scored)
     ranked = full_rank(
-        scored, "label_position", "label_rank", AT, descending=False, average=True, nulls=False
+        scored, "label_position", "label_rank", AT, descending=False, average=True
     )
     return rank_correlation(ranked, "position", "label_rank")
 

@@ -189,9 +189,7 @@ def published_table(release: Release, number: int) -> DataFrame:
             .groupBy(*at).pivot("column", names).agg(F.max("noisy_value"))
         )
     if number == 12:
-        wide = full_rank(
-            wide, "total_power_consumption", "rnk", ["mechanism", "epsilon"], nulls=False
-        )
+        wide = full_rank(wide, "total_power_consumption", "rnk", ["mechanism", "epsilon"])
     types = [KEY_TYPES.get(k, "string") for k in query.keys]
     keys = [c.alias(k) for c, k in zip(key_parts("group_key", types), query.keys)]
     return wide.select("mechanism", "epsilon", *keys, *wide.columns[3:])

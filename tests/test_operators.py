@@ -8,7 +8,6 @@ from fleetveil.operators.joins import fan_out_weighted_means, valid_time_join
 from fleetveil.operators.ranking import (
     exact_median,
     full_rank,
-    numeric_bucket,
     top_ranked,
     value_positions,
 )
@@ -83,27 +82,32 @@ def test_full_rank_puts_nulls_last_together(spark):
 def test_full_rank_has_no_single_task_window_over_rows(spark):
     df = spark.createDataFrame(_pairs(50), "id int, g string, v double")
     plan = full_rank(df, "v", "rk")._jdf.queryExecution().executedPlan().toString()
-    # The only unpartitioned window runs over bucket totals.
-    assert plan.count("SinglePartition") <= plan.count("__bucket")
+    # The only unpartitioned window runs over the totals of the ranges.
+    assert plan.count("SinglePartition") == 1
     for line in plan.splitlines():
         if "Window" in line and "rank(" in line:
             raise AssertionError(line)
+    # No row is hashed as a whole; the join is on the value alone.
+    assert "xxhash64" not in plan and "__salt" not in plan
 
 
-def test_buckets_follow_the_order_of_values(spark):
+def test_ranges_follow_the_values(spark):
+    """Close values, far ones, ties at a cap, infinities, NULL and NaN: one window has few of them."""
     rng = random.Random(11)
-    values = [2.0**e for e in range(-1074, 1024)] + [
-        rng.uniform(1, 2) * 2.0 ** rng.randint(-1000, 1000) for _ in range(3000)
-    ]
-    values += [v * (1 - 2**-53) for v in values] + [1.7976931348623157e308, float("inf"), 0.0]
-    values += [-v for v in values]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    rows = df.select("v", numeric_bucket(F.col("v")).alias("b")).collect()
-    ordered = [r.b for r in sorted(rows, key=lambda r: r.v)]
-    assert ordered == sorted(ordered) and None not in ordered
-    nan = spark.createDataFrame([(float("nan"),)], "v double").select(
-        numeric_bucket(F.col("v")).alias("b")).first()
-    assert nan.b > ordered[-1]
+    values = [1.0 + i * 2.0**-40 for i in range(2000)] + [rng.uniform(-1e300, 1e300) for _ in range(500)]
+    values += [100.0] * 900 + [float("inf"), -float("inf"), 0.0, -0.0, 5e-324, 1.7976931348623157e308]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 7 + [(float("nan"),)], "v double").repartition(5)
+    rows = value_positions(df, "v", ranges=16).collect()
+    ordered = sorted(values, reverse=True)
+    first = {}
+    for i, v in enumerate(ordered):
+        first.setdefault(v, i)
+    got = {r.v: (r.n, r.before) for r in rows if r.v is not None and r.v == r.v}
+    assert got == {v: (values.count(v), first[v] + 1) for v in set(values)}  # NaN is ahead
+    assert {(r.n, r.before, r.total) for r in rows if r.v is None} == {(7, len(values) + 1, len(values) + 8)}
+    assert len(rows) == len(set(values)) + 2
+    one = value_positions(df.limit(0), "v")
+    assert one.count() == 0
 
 
 def test_text_positions(spark):
@@ -111,7 +115,7 @@ def test_text_positions(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = {
         r.w: (r.n, r.before, r.total)
-        for r in value_positions(df, "w", descending=False, text=True).collect()
+        for r in value_positions(df, "w", descending=False).collect()
     }
     assert got["apple"] == (2, 0, 6) and got["apricot"] == (1, 2, 6) and got["pear"][1] == 5
 
@@ -124,7 +128,7 @@ def test_text_positions_with_a_shared_prefix(spark, prefix):
     df = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
     got = {
         r.w: (r.n, r.before)
-        for r in value_positions(df, "w", descending=False, text=True).collect()
+        for r in value_positions(df, "w", descending=False).collect()
     }
     assert got == {w: (words.count(w), sum(x < w for x in words)) for w in words}
 

@@ -177,7 +177,7 @@ def plain_lines(texts, agree=2):
             most = max(n, len(words[j]))
             d = (h ^ hashes[j][0]).bit_count()
             if (
-                10 * abs(n - len(words[j])) <= most and d <= 9 and d + (g ^ hashes[j][1]).bit_count() <= 22
+                10 * abs(n - len(words[j])) <= most and d <= 10 and d + (g ^ hashes[j][1]).bit_count() <= 18
                 and union.find(i) != union.find(j) and distance(ws, words[j]) * 10 <= most
             ):
                 union.join(i, j)

@@ -186,20 +186,32 @@ def test_spans_name_the_offending_words(spark):
 EDGES = "[]().,;:!?\"'*#$%&|<>{}"
 
 
-def plain_shingles(text):
-    w = [x for x in (v.strip(EDGES) for v in re.split("[\x20\x09-\x0d]+", text.lower())) if x]
-    return [" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))]
+def plain_words(text):
+    return [x for x in (v.strip(EDGES) for v in re.split("[\x20\x09-\x0d]+", text.lower())) if x]
+
+
+def plain_shingles(words, width):
+    """All runs of ``width`` words; fewer words are one run."""
+    return [" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1)))]
 
 
 def plain_matches(texts, templates):
+    """Best containment over all windows, by shingles as wide as the template, five words at most."""
     out = {}
+    known = []
+    for name, _, t in templates:
+        width = min(5, len(plain_words(t)))
+        known.append((name, width, set(plain_shingles(plain_words(t), width))))
     for i, text in texts.items():
-        s = plain_shingles(text)
-        for name, _, t in templates:
-            ts = set(plain_shingles(t))
+        words = plain_words(text)
+        by_width = {k: plain_shingles(words, k) for k in {w for _, w, _ in known}}
+        for name, width, ts in known:
+            s = by_width[width]
+            if not ts & set(s):
+                continue
             c = 1 << (len(ts) - 1).bit_length()
             steps = range(0, len(s), max(1, c // 2))
-            best = max((len(ts & set(s[k : k + 3 * c // 2])) / len(ts) for k in steps), default=0)
+            best = max((len(ts & set(s[k : k + max(1, 3 * c // 2)])) / len(ts) for k in steps), default=0)
             if best >= 0.8:
                 out[i, name] = round(best, 9)
     return out

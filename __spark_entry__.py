@@ -15,14 +15,16 @@ from fleetveil.plans.release import (
     noisy_cells,
     noisy_winners,
     privacy_ledger,
+    rerun_epsilon,
 )
 from fleetveil.plans.release_queries import browser_counts, run_release_query
 from fleetveil.plans.reporting import reporting_tables, web_category_pivots, with_folds
 from fleetveil.functions.calibration import with_gaussian_sigma
 from fleetveil.operators.noise import Policy, noise_plan
-from fleetveil.session import stage
+from fleetveil.session import stage, work_folder
 from fleetveil.sources.bindings import telemetry_sources
 from fleetveil.sources.readers import SourceTable, read_sampled
+from fleetveil.sources.sinks import noisy_only, read_release, write_release, write_summary
 from oracles.build import shape
 from oracles.cases import CASES, COVERAGE, PUBLISHED_POLICY, Q_OPTIONS, ROWS_ONLY, oracle
 from oracles.texts import (
@@ -168,6 +170,24 @@ def _sigmas(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stored_release(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole grid stored, one epsilon of it noised and stored again, all read back."""
+    place = work_folder(spark, "release")
+    write_release(noisy_only(release(spark, folder).cells), place)
+    rerun_epsilon(exact(spark, folder), DEMO_REGISTRY, DEMO_POLICY, DEMO_SEED, 0.5, place)
+    return read_release(spark, place)
+
+
+def _evaluation_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Both mechanisms' summaries stored, evaluated and compared; the stored comparison."""
+    rows, place = summary(spark, folder), work_folder(spark, "evaluation")
+    folders = {m: f"{place}/{m}" for m in ("gaussian", "laplace")}
+    for mechanism, target in folders.items():
+        write_summary(rows.where(F.col("mechanism") == mechanism), target)
+    evaluation.evaluation_job(spark, folders, place)
+    return spark.read.parquet(f"{place}/comparison")
+
+
 def _ledger(spark: SparkSession, folder: str) -> DataFrame:
     made = release(spark, folder)
     return privacy_ledger(spark, made.cells, made.winners, DEMO_REGISTRY, DEMO_POLICY)
@@ -256,6 +276,8 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d06_classic": _sigmas,
     "d20_published_grid": published_cells,
     "d21_ledger": _ledger,
+    "s15_release_roundtrip": _stored_release,
+    "y05_job": _evaluation_job,
     "m01_relative_error": _metric("RE", metrics.median_relative_error),
     "m02_tvd": _metric("TVD", metrics.total_variation),
     "m03_pivot_tvd": _metric("TVD", _pivot_tvd),

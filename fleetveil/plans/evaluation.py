@@ -6,12 +6,17 @@ metric columns; ``epsilon`` may be text or a number, infinity spelled any way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetveil.functions.exprs import round_to
 from fleetveil.plans.metrics import passes
 from fleetveil.plans.registry import LOWER_IS_BETTER, PASS_THRESHOLD
+from fleetveil.sources.readers import folder_exists
+from fleetveil.sources.sinks import run_report, write_table
 
 # Fixed values of the selection rule.
 ADAPTIVE_TOLERANCE = 0.9
@@ -118,6 +123,46 @@ def evaluation_summary(
     )
 
 
+SUMMARY_SCHEMA = (
+    "query_num int, mechanism string, variant string, epsilon string, query_file string, "
+    "delta double, database string, n_rows long, metric_type string, median_re double, "
+    "spearman_rho double, p_value double, mean_tvd double, max_tvd double, tvd double, pass int"
+)
+
+
+def evaluation_job(
+    spark: SparkSession, summaries: Mapping[str, str], folder: str, published: bool = False
+) -> DataFrame:
+    """Evaluate stored metric summaries, one folder per mechanism, and store two tables.
+
+    Writes ``evaluation_summary`` and, where both mechanisms are there, ``comparison`` under
+    ``folder``. The report has a row per input and output: a missing summary is reported and
+    the rest goes on; without any summary nothing is written.
+    """
+    found: dict[str, DataFrame] = {}
+
+    def load(mechanism: str):
+        if not folder_exists(spark, summaries[mechanism]):
+            raise FileNotFoundError(f"no summary of {mechanism}: {summaries[mechanism]}")
+        rows = spark.read.schema(SUMMARY_SCHEMA).parquet(summaries[mechanism])
+        found[mechanism] = rows.where(F.col("mechanism") == mechanism)
+        return found[mechanism].count(), None, None
+
+    read = run_report(spark, {m: (lambda m=m: load(m)) for m in summaries})
+    rows = [found[m] for m in sorted(found)]
+    if not rows:
+        return read
+    together = reduce(DataFrame.unionByName, rows)
+    outputs = {"evaluation_summary": lambda: evaluation_summary(together, published)}
+    if {"gaussian", "laplace"} <= found.keys():
+        outputs["comparison"] = lambda: mechanism_comparison(together)
+
+    def store(name: str):
+        return write_table(outputs[name](), f"{folder}/{name}"), None, None
+
+    return read.unionByName(run_report(spark, {n: (lambda n=n: store(n)) for n in outputs}))
+
+
 def mechanism_comparison(summary: DataFrame) -> DataFrame:
     """Gaussian against Laplace per (query, epsilon), on the first metric column
     both sides have. Pairs missing on a side are in :func:`unmatched_pairs`."""

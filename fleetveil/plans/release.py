@@ -16,6 +16,7 @@ from fleetveil.operators.noise import (
     add_noise,
     clamp_and_normalise,
     epsilon_frame,
+    epsilon_on_grid,
     flip_selection,
     noise_plan,
     noisy_selection,
@@ -35,6 +36,7 @@ from fleetveil.plans.registry import (
 )
 from fleetveil.plans.release_queries import browser_counts, run_release_query
 from fleetveil.session import stage
+from fleetveil.sources.sinks import noisy_only, write_release
 
 SELECTION_QUERY = 6
 
@@ -173,6 +175,31 @@ def run_release(
     return Release(stage(noisy), stage(winners), registry)
 
 
+def rerun_epsilon(
+    cells: DataFrame,
+    registry: Mapping[int, ReleasedQuery],
+    policy: Policy,
+    seed: str,
+    epsilon: float,
+    folder: str,
+    grid: Iterable[float] = EPSILON_GRID,
+    mechanisms: Iterable[str] = MECHANISMS,
+    delta: float = DELTA,
+) -> int:
+    """Noise one epsilon of the grid anew and store it among the others; returns its place.
+
+    An epsilon that is not on the grid is refused. A draw depends on the seed and the cell only,
+    so with the seed of the stored release the same bits come out; other partitions of the
+    folder stay as they are.
+    """
+    place, value = epsilon_on_grid(epsilon, grid)
+    noisy = noisy_cells(
+        cells, registry, policy, seed, epsilons=[value], mechanisms=mechanisms, delta=delta
+    )
+    write_release(noisy_only(noisy), folder, others_stay=True)
+    return place
+
+
 def published_table(release: Release, number: int) -> DataFrame:
     """One query's noisy result in wide form, keys split back with their types, for every
     mechanism and epsilon. Query 12 gets its rank from the noisy values."""

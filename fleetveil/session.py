@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fleetveil-checkpoint-"))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, not yet made, beside the checkpoints that all executors share."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 

@@ -121,16 +121,33 @@ def noisy_only(released: DataFrame) -> DataFrame:
     return released.drop(*[c for c in released.columns if c.startswith("true_")])
 
 
-def write_release(released: DataFrame, folder: str) -> None:
+#: How a stored release is laid out, and its columns.
+RELEASE_KEYS = ("mechanism", "variant", "epsilon", "query_num")
+RELEASE_CELLS = (
+    "group_key string, item string, column string, noisy_value double, mechanism string, "
+    "variant string, epsilon string, query_num int"
+)
+
+
+def write_release(released: DataFrame, folder: str, others_stay: bool = False) -> None:
     """Noisy cells or winners, laid out by mechanism, variant, epsilon and query.
 
-    A frame that still has a true column is refused: ``noisy_only`` takes them off.
+    A frame that still has a true column is refused: ``noisy_only`` takes them off. With
+    ``others_stay`` only the partitions that the frame has rows for are replaced.
     """
     true = [c for c in released.columns if c.startswith("true_")]
     if true:
         raise ValueError(f"true values must not be stored with the noise: {', '.join(true)}")
-    keys = ["mechanism", "variant", "epsilon", "query_num"]
-    released.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(folder)
+    mode = "dynamic" if others_stay else "static"
+    (
+        released.hint("rebalance", *RELEASE_KEYS).write.mode("overwrite")
+        .option("partitionOverwriteMode", mode).partitionBy(*RELEASE_KEYS).parquet(folder)
+    )
+
+
+def read_release(spark: SparkSession, folder: str, schema: str = RELEASE_CELLS) -> DataFrame:
+    """A stored release with its types: an epsilon is a label, not a number."""
+    return spark.read.schema(schema).parquet(folder)
 
 
 def write_summary(summary: DataFrame, folder: str, as_csv: bool = False) -> None:

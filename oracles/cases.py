@@ -488,6 +488,10 @@ _case("m06_p_values", f"{_ATS} spearman_rho:d p_value:d",
       f"SELECT *, {p_value()} AS p_value FROM (SELECT * FROM m_rho UNION ALL SELECT * FROM m_cat) r "
       "WHERE spearman_rho IS NOT NULL")
 
+_case("s15_release_roundtrip", "query_num:i mechanism:s epsilon:s group_key:s column:s noisy_value:d",
+      _REL)
+CASES["y05_job"] = CASES["y04_comparison"]
+
 # Queries without an SQL form: none.
 ROWS_ONLY: dict[str, str] = {}
 

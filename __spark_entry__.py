@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetveil.plans import analytics, chart_data, checks, evaluation, metrics
 from fleetveil.plans.registry import Limits, sensitivity_frame
@@ -23,8 +24,20 @@ from fleetveil.functions.calibration import with_gaussian_sigma
 from fleetveil.operators.noise import Policy, noise_plan
 from fleetveil.session import stage, work_folder
 from fleetveil.sources.bindings import telemetry_sources
-from fleetveil.sources.readers import SourceTable, read_sampled
-from fleetveil.sources.sinks import noisy_only, read_release, write_release, write_summary
+from fleetveil.sources.readers import (
+    SourceTable,
+    load_tables,
+    read_csv,
+    read_csv_with_rejects,
+    read_sampled,
+)
+from fleetveil.sources.sinks import (
+    noisy_only,
+    read_release,
+    write_csv,
+    write_release,
+    write_summary,
+)
 from oracles.build import shape
 from oracles.cases import CASES, COVERAGE, PUBLISHED_POLICY, Q_OPTIONS, ROWS_ONLY, oracle
 from oracles.texts import (
@@ -228,6 +241,59 @@ def _sized_sample(spark: SparkSession, folder: str) -> DataFrame:
     return read_sampled(spark, source, 0.25, "7", ["l_orderkey", "l_linenumber"])[0]
 
 
+CSV_SCHEMA = "l_orderkey long, l_linenumber long, l_quantity double, l_returnflag string"
+
+
+def _csv_folder(spark: SparkSession, folder: str, malformed: bool) -> str:
+    """Line items as gzip CSV files; if asked, with a number that is none in some first lines."""
+    text = F.col("l_quantity").cast("string")
+    if malformed:
+        bad = (F.col("l_orderkey") % 97 == 0) & (F.col("l_linenumber") == 1)
+        text = F.when(bad, "n/a").otherwise(text)
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", text.alias("l_quantity"), "l_returnflag"
+    )
+    place = work_folder(spark, "csv")
+    write_csv(rows, place, 3)
+    return place
+
+
+def _typed_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Types inferred from the text, rows of the few files spread before the aggregation."""
+    rows = read_csv(spark, _csv_folder(spark, folder, False), spread=16)
+    return rows.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"),
+        F.max(F.lit(dict(rows.dtypes)["l_quantity"])).alias("kind"),
+    )
+
+
+def _csv_with_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    place = _csv_folder(spark, folder, True)
+    good, bad = read_csv_with_rejects(spark, place, StructType.fromDDL(CSV_SCHEMA))
+    return good.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")
+    ).unionByName(bad.select(
+        F.lit("rejected").alias("l_returnflag"), F.lit(1).alias("one")
+    ).groupBy("l_returnflag").agg(F.count("one").alias("n"), F.lit(None).cast("double").alias("quantity")))
+
+
+def _load_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A Parquet table, a CSV folder with malformed lines and a missing one, loaded and reported."""
+    sources = [
+        SourceTable("orders", f"{folder}/orders.parquet"),
+        SourceTable("lines", _csv_folder(spark, folder, True), "csv", True, CSV_SCHEMA),
+        SourceTable("absent", f"{folder}/absent.parquet"),
+    ]
+    return load_tables(spark, sources, work_folder(spark, "loaded"))
+
+
+def _in_order(number: int):
+    options = Q_OPTIONS.get(number, {})
+    return lambda spark, folder: analytics.positioned(
+        number, analytics.run_query(number, _tables(spark, folder), sort=False, **options)
+    )
+
+
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r01_display_devices": _reporting("system_display_devices"),
     "r02_userwait": _reporting("system_userwait"),
@@ -306,6 +372,12 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b09_single_epsilon": _of_summary(
         lambda rows: _flags_as_int(chart_data.is_single_epsilon(rows), "single_epsilon")
     ),
+    "s02_csv_typed": _typed_csv,
+    "s03_csv_rejects": _csv_with_rejects,
+    "s11_load_report": _load_report,
+    "l01_q04_order": _in_order(4),
+    "l01_q15_order": _in_order(15),
+    "l01_q23_order": _in_order(23),
     "s04_sized_sample": _sized_sample,
     "m06_p_values": _of_summary(lambda rows: rows.where("spearman_rho IS NOT NULL")),
 }

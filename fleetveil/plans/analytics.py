@@ -23,7 +23,7 @@ from fleetveil.functions.exprs import (
     weighted_mean,
 )
 from fleetveil.operators.joins import fan_out_means, valid_time_join
-from fleetveil.operators.ranking import full_rank, top_ranked
+from fleetveil.operators.ranking import full_rank, top_ranked, with_position
 from fleetveil.operators.units import (
     distinct_units,
     fold_state,
@@ -526,6 +526,18 @@ def ordered(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
     )
 
 
+def positioned(number: int, result: DataFrame) -> DataFrame:
+    """The result with the place of each row in the query's presentation order, from 1; rows
+    that the order leaves equal follow their other columns."""
+    keys = ORDERS[number]
+    rest = [(c, False) for c in result.columns if c not in {k for k, _ in keys}]
+    order = [
+        F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last()
+        for c, down in [*keys, *rest]
+    ]
+    return with_position(result, order)
+
+
 def run_query(number: int, tables: Tables, sort: bool = True, **options) -> DataFrame:
     out = QUERIES[number](tables, **options)
     return ordered(out, ORDERS[number]) if sort and number in ORDERS else out

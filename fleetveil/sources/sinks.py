@@ -117,6 +117,14 @@ def export_results(
     return run_report(spark, {n: (lambda n=n: job(n)) for n in results})
 
 
+def write_csv(df: DataFrame, folder: str, files: int) -> int:
+    """A folder of gzip CSV files with a header each; returns the number of rows."""
+    return counted_write(
+        df.repartition(files),
+        lambda frame: frame.write.mode("overwrite").csv(folder, header=True, compression="gzip"),
+    )
+
+
 def noisy_only(released: DataFrame) -> DataFrame:
     return released.drop(*[c for c in released.columns if c.startswith("true_")])
 

@@ -492,6 +492,29 @@ _case("s15_release_roundtrip", "query_num:i mechanism:s epsilon:s group_key:s co
       _REL)
 CASES["y05_job"] = CASES["y04_comparison"]
 
+_case("s02_csv_typed", "l_returnflag:s n:i quantity:d kind:s",
+      "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity, 'double' AS kind FROM lineitem "
+      "GROUP BY 1")
+_MALFORMED = "l_orderkey % 97 = 0 AND l_linenumber = 1"
+_case("s03_csv_rejects", "l_returnflag:s n:i quantity:d",
+      f"SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem "
+      f"WHERE NOT ({_MALFORMED}) GROUP BY 1 UNION ALL "
+      f"SELECT 'rejected', count(*), NULL FROM lineitem WHERE {_MALFORMED}")
+_case("s11_load_report", "table:s status:s rows:i",
+      f"""SELECT 'orders' AS "table", 'ok' AS status, count(*) AS rows FROM orders UNION ALL
+          SELECT 'lines', 'ok', count(*) FROM lineitem WHERE NOT ({_MALFORMED}) UNION ALL
+          SELECT 'absent', 'missing', NULL""")
+for _n, _order in ((4, "percentage_of_systems DESC NULLS LAST"), (15, "app_type, rank"),
+                   (23, "processor_class, os")):
+    _name = next(k for k in CASES if k.startswith(f"q{_n:02d}"))
+    _spec, _sql = CASES[_name]
+    _by = [x.split()[0].rstrip(",") for x in _order.split(", ")]
+    _rest = [c.split(":")[0] for c in _spec.split() if c.split(":")[0] not in _by]
+    CASES[f"l01_q{_n:02d}_order"] = (
+        f"{_spec} position:i",
+        f"SELECT *, row_number() OVER (ORDER BY {', '.join([_order, *_rest])}) AS position "
+        f"FROM ({_sql}) result")
+
 # Queries without an SQL form: none.
 ROWS_ONLY: dict[str, str] = {}
 

@@ -16,10 +16,20 @@ from fleetveil.plans.release import (
     noisy_cells,
     noisy_winners,
     privacy_ledger,
+    published_table,
     rerun_epsilon,
 )
-from fleetveil.plans.release_queries import browser_counts, run_release_query
-from fleetveil.plans.reporting import reporting_tables, web_category_pivots, with_folds
+from fleetveil.plans.release_queries import (
+    browser_counts,
+    export_release_queries,
+    run_release_query,
+)
+from fleetveil.plans.reporting import (
+    reporting_tables,
+    web_category_pivot,
+    web_category_pivots,
+    with_folds,
+)
 from fleetveil.functions.calibration import with_gaussian_sigma
 from fleetveil.operators.noise import Policy, noise_plan
 from fleetveil.session import stage, work_folder
@@ -51,6 +61,7 @@ from oracles.texts import (
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 OVERLONG_SECONDS = 20_000
+SAMPLE_ROWS = 20
 
 
 def _tables(spark: SparkSession, folder: str):
@@ -287,6 +298,19 @@ def _load_report(spark: SparkSession, folder: str) -> DataFrame:
     return load_tables(spark, sources, work_folder(spark, "loaded"))
 
 
+def _raw_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """The copied pivot table over a source that has one: here, durations by category."""
+    sources = telemetry_sources(spark, folder)
+    raw = web_category_pivot(with_folds(sources), "duration_ms")
+    return reporting_tables({**{n: sources[n] for n in sources}, "web_cat_pivot": raw})[
+        "system_web_cat_pivot"
+    ]
+
+
+def _export_report(spark: SparkSession, folder: str) -> DataFrame:
+    return export_release_queries(_tables(spark, folder), work_folder(spark, "export"), EXACT_LIMITS)
+
+
 def _in_order(number: int):
     options = Q_OPTIONS.get(number, {})
     return lambda spark, folder: analytics.positioned(
@@ -302,6 +326,7 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r05_pkg_freq": _reporting("system_pkg_avg_freq_mhz"),
     "r06_pkg_temp": _reporting("system_pkg_temp_centigrade"),
     "r07_psys_watts": _reporting("system_psys_rap_watts"),
+    "r08_web_cat_pivot": _raw_pivot,
     "r09_network": _reporting("system_network_consumption"),
     "r10_13_web_pivots": lambda s, d: web_category_pivots(with_folds(telemetry_sources(s, d))),
     "r14_web_usage": _reporting("system_web_cat_usage"),
@@ -315,6 +340,9 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r22_apps": _reporting("system_frgnd_apps_types"),
     "v01_coverage": _check(checks.table_coverage, names=list(COVERAGE)),
     "v02_source_coverage": _check(checks.table_coverage, names=["sysinfo"]),
+    "v03_sample_rows": lambda s, d: checks.sample_rows(
+        _tables(s, d), ["system_cpu_metadata"], SAMPLE_ROWS
+    )["system_cpu_metadata"],
     "v04_negative_ram": _check(checks.negative_ram),
     "v05_overlong_days": _check(checks.overlong_count, limit=OVERLONG_SECONDS),
     "v06_top_overlong": _check(checks.top_overlong, limit=OVERLONG_SECONDS),
@@ -343,6 +371,9 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d20_published_grid": published_cells,
     "d21_ledger": _ledger,
     "s15_release_roundtrip": _stored_release,
+    "p02_published": lambda s, d: published_table(release(s, d), 2),
+    "p12_published": lambda s, d: published_table(release(s, d), 12),
+    "n13_export_report": _export_report,
     "y05_job": _evaluation_job,
     "m01_relative_error": _metric("RE", metrics.median_relative_error),
     "m02_tvd": _metric("TVD", metrics.total_variation),

@@ -14,6 +14,7 @@ from oracles.texts import (
     DEMO_REGISTRY,
     POWER_PARTS,
     cells_text,
+    key_part,
     p_value,
     pivot_columns,
 )
@@ -515,6 +516,28 @@ for _n, _order in ((4, "percentage_of_systems DESC NULLS LAST"), (15, "app_type,
         f"SELECT *, row_number() OVER (ORDER BY {', '.join([_order, *_rest])}) AS position "
         f"FROM ({_sql}) result")
 
+_case("r08_web_cat_pivot", "guid:i dt:s " + _d(*CATEGORY_COLUMNS), "SELECT * FROM rep_webdur")
+_case("v03_sample_rows", "guid:i marketcodename:s cpugen:s",
+      "SELECT * FROM src_cpu_metadata ORDER BY guid, marketcodename, cpugen LIMIT 20")
+_NOISY = "max(noisy_value) FILTER (WHERE col = '{0}') AS {0}"
+for _n, _keys in ((2, ("marketcodename", "cpugen")), (12, ("user_id",))):
+    _cols = [c.name for c in DEMO_REGISTRY[_n].columns]
+    _key = ", ".join(map(key_part, _keys))
+    _wide = (
+        f"SELECT mechanism, epsilon, {', '.join(_keys)}, {', '.join(_NOISY.format(c) for c in _cols)} "
+        f"FROM released r JOIN (SELECT DISTINCT {', '.join(_keys)}, concat_ws(chr(31), {_key}) AS gk "
+        f"FROM s{_n:02d}) k ON r.group_key = gk WHERE query_num = {_n} GROUP BY mechanism, epsilon, {', '.join(_keys)}"
+    )
+    if _n == 12:
+        _wide = (f"SELECT *, rank() OVER (PARTITION BY mechanism, epsilon ORDER BY {_cols[0]} DESC "
+                 f"NULLS LAST) AS rnk FROM ({_wide}) w")
+    _case(f"p{_n:02d}_published",
+          f"mechanism:s epsilon:s {' '.join(f'{k}:s' for k in _keys)} {_d(*_cols)}" + " rnk:i" * (_n == 12),
+          _wide)
+_case("n13_export_report", "table:s status:s rows:i", " UNION ALL ".join(
+    f"""SELECT '{"_".join(q.title.lower().replace("/", " ").split())}' AS "table", 'ok' AS status, """
+    f"count(*) AS rows FROM e{q.number:02d}" for q in DEMO_REGISTRY.values()))
+
 # Queries without an SQL form: none.
 ROWS_ONLY: dict[str, str] = {}
 

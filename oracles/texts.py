@@ -254,7 +254,7 @@ PUBLISHED_REGISTRY = release_registry(published_sensitivity_limits(DEMO_LIMITS))
 DEMO_POLICY = Policy()
 
 
-def _key_part(column: str) -> str:
+def key_part(column: str) -> str:
     """A grouping value as it stands in a joined key: NULL, backslash and separator marked."""
     text = f"replace(replace(CAST({column} AS VARCHAR), '\\', '\\b'), chr(31), '\\s')"
     return f"coalesce({text}, '\\0')"
@@ -263,7 +263,7 @@ def _key_part(column: str) -> str:
 def cells_text(prefix: str) -> str:
     parts = []
     for q in DEMO_REGISTRY.values():
-        key = ", ".join(map(_key_part, q.keys))
+        key = ", ".join(map(key_part, q.keys))
         for c in q.columns:
             parts.append(
                 f"SELECT {q.number} AS query_num, concat_ws(chr(31), {key}) AS group_key, "
@@ -330,10 +330,10 @@ CTES |= {
         FROM (SELECT *, sum(base) OVER (PARTITION BY {_AT}, group_key, is_dist) AS r2
               FROM row_scaled) x""",
     "selection_draws": f"""
-        SELECT 6 AS query_num, mechanism, epsilon, {_key_part('country')} AS group_key, browser AS item,
+        SELECT 6 AS query_num, mechanism, epsilon, {key_part('country')} AS group_key, browser AS item,
                number_of_systems AS true_value,
                CASE WHEN epsilon = 'inf' THEN number_of_systems ELSE number_of_systems
-                   + {laplace(f'{GROUPS} / eps', uniform('6', 'epsilon', 'mechanism', _key_part('country'), 'browser', "'1'"))}
+                   + {laplace(f'{GROUPS} / eps', uniform('6', 'epsilon', 'mechanism', key_part('country'), 'browser', "'1'"))}
                END AS noisy_value
         FROM s06_counts CROSS JOIN (SELECT * FROM (VALUES {_GRID}) AS v(mechanism, epsilon, eps)) g""",
     "winners": f"""

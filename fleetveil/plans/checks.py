@@ -180,23 +180,24 @@ def bound_rules(limits: Limits) -> list[tuple[int, str, float, float]]:
     ]
 
 
-def bound_violations(
-    cells: DataFrame, rules: Sequence[tuple[int, str, float, float, bool]]
-) -> DataFrame:
+def bound_violations(cells: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     """Per (query, column): checked cells and those outside their bounds; a NULL is
-    outside."""
+    outside. A rule is (query, column, low, high) and, if wanted, whether ``high`` is meant
+    for each device of the group."""
+    rules = [(*r, False)[:5] for r in rules]
     table = cells.sparkSession.createDataFrame(
-        list(rules), "query_num int, column string, low double, high double, per_unit boolean"
+        rules, "query_num int, column string, low double, high double, per_unit boolean"
     )
     # The rules are one row per checked column.
     checked = cells.join(F.broadcast(table), ["query_num", "column"])
+    value, high = F.col("true_value"), F.col("high")
     summed = sorted({r[0] for r in rules if r[4]})
-    units = cells.where(
-        (F.col("column") == "number_of_systems") & F.col("query_num").isin(summed)
-    ).select("query_num", "group_key", F.col("true_value").alias("units"))
-    checked = checked.join(units, ["query_num", "group_key"], "left")
-    value = F.col("true_value")
-    high = F.when(F.col("per_unit"), F.col("high") * F.col("units")).otherwise(F.col("high"))
+    if summed:
+        units = cells.where(
+            (F.col("column") == "number_of_systems") & F.col("query_num").isin(summed)
+        ).select("query_num", "group_key", F.col("true_value").alias("units"))
+        checked = checked.join(units, ["query_num", "group_key"], "left")
+        high = F.when(F.col("per_unit"), high * F.col("units")).otherwise(high)
     bad = value.isNull() | F.isnan(value) | (value < F.col("low")) | (value > high)
     return checked.groupBy("query_num", "column").agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum(bad.cast("int")).alias("n_violations")

@@ -221,6 +221,16 @@ def test_bound_violations_count_nulls(spark):
     assert [(r.column, r.n_cells, r.n_violations) for r in row] == [("c", 3, 2)]
 
 
+def test_bounds_of_sums_follow_the_devices_of_the_group(spark):
+    cells = spark.createDataFrame(
+        [(8, g, c, v) for g, n, v8 in (("a", 3.0, 30.0), ("b", 2.0, 21.0)) for c, v in (("number_of_systems", n), ("days", v8))],
+        "query_num int, group_key string, column string, true_value double")
+    row = checks.bound_violations(cells, [(8, "days", 0.0, 10.0, True)]).first()
+    assert (row.n_cells, row.n_violations) == (2, 1)
+    row = checks.bound_violations(cells, [(8, "days", 0.0, 10.0, False)]).first()
+    assert (row.n_cells, row.n_violations) == (2, 2)
+
+
 def test_orders_put_nulls_last(spark):
     df = spark.createDataFrame([(None,), (1,), (2,)], "v int")
     assert [r.v for r in analytics.ordered(df, [("v", False)]).collect()] == [1, 2, None]

@@ -275,11 +275,43 @@ def sample_windows(texts: DataFrame) -> list[tuple[list[str], bool]]:
     )
     out = []
     for toxic in (True, False):
-        chosen = windows.where(F.col("toxic") == toxic).orderBy("h", "window").limit(SAMPLE_WINDOWS)
-        out += [(r.window, toxic) for r in chosen.select("window").collect()]
+        some = windows.where(F.col("toxic") == toxic)
+        rows = some.where(F.col("h") <= _cut(some)).groupBy("h", "window").agg(
+            F.count(F.lit(1)).alias("n")
+        ).collect()
+        chosen: list[list[str]] = []
+        for r in sorted(rows, key=lambda r: (r.h, r.window)):
+            chosen += [r.window] * min(r.n, SAMPLE_WINDOWS - len(chosen))
+        out += [(w, toxic) for w in chosen]
     return out
 
 
+def _cut(windows: DataFrame) -> int:
+    """A hash that the smallest ``SAMPLE_WINDOWS`` windows do not exceed, and few others.
+
+    Windows are counted by the leading bits of their hash, of those on the border by further
+    bits, so that the driver sees counts and later about as many windows as it asked for.
+    """
+    before, inside = 0, F.lit(True)
+    for shift in (48, 32, 16, 0):
+        bins = windows.where(inside).groupBy(F.shiftright("h", shift).alias("bin")).agg(
+            F.countDistinct("h").alias("kinds"), F.count(F.lit(1)).alias("n")
+        ).collect()
+        here = None
+        for r in sorted(bins, key=lambda r: r.bin):
+            here = r
+            if before + r.n >= SAMPLE_WINDOWS:
+                break
+            before += r.n
+        if here is None:
+            return (1 << 63) - 1
+        top = ((here.bin + 1) << shift) - 1
+        if here.kinds <= 2 * SAMPLE_WINDOWS:
+            return top
+        inside = F.shiftright("h", shift) == here.bin
+    return top
+
+
 def curve_inputs() -> list[Column]:
     """What the document curve sees: offending weight, and weight in a thousand words."""
     weight, n = F.col("__weight"), F.greatest(F.col("__tagged.n_words"), F.lit(1))

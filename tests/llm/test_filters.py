@@ -167,6 +167,23 @@ def test_toxicity_of_odd_rows_and_labels(spark, odd, empty):
     assert toxicity.toxicity_scores(empty, labels).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 7, 60, 10_000])
+def test_sampled_windows_are_those_with_the_smallest_hashes(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "SAMPLE_WINDOWS", most)
+    texts = [(" ".join(f"w{i % 40}x{k}" for k in range(300)), i % 3 == 0) for i in range(90)] + [("same text", True)] * 20
+    frame = spark.createDataFrame(texts, "text string, toxic boolean").repartition(4)
+    got = toxicity.sample_windows(frame)
+    windows = [
+        (t.split(" ")[k : k + toxicity.WINDOW], toxic) for t, toxic in texts
+        for k in range(0, len(t.split(" ")), toxicity.WINDOW)
+    ]
+    hashed = spark.createDataFrame(windows, "w array<string>, toxic boolean").selectExpr("xxhash64(w) AS h", "w", "toxic").collect()
+    for toxic in (True, False):
+        want = [r.w for r in sorted((r for r in hashed if r.toxic == toxic), key=lambda r: (r.h, r.w))][:most]
+        assert [w for w, t in got if t == toxic] == want
+    assert toxicity.sample_windows(frame.limit(0)) == []
+
+
 def test_spans_name_the_offending_words(spark):
     filler = "calm words of a quiet day go on and on and say nothing much at all".split()
     rows = []

@@ -29,8 +29,12 @@ def sentinel_null(value: Column | str, sentinel: float = -1) -> Column:
 
 
 def half_even_int(value: Column | str) -> Column:
-    """Double to integer, rounding halves to even as the source engine's cast does."""
-    return F.bround(col(value), 0).cast("int")
+    """Double to integer, rounding halves to even as the source engine's cast does.
+
+    The last bits of a sum, which depend on the order of its terms, are dropped first: a decimal
+    tie is a tie in any order.
+    """
+    return F.bround(F.round(col(value).cast("double"), 9), 0).cast("int")
 
 
 def sum_when(condition: Column, value: Column | str) -> Column:

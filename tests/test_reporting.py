@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from fleetveil.functions.exprs import half_even_int
 from fleetveil.plans import reporting
 from fleetveil.plans.analytics import run_query
 from fleetveil.plans.categories import CATEGORIES, CATEGORY_COLUMNS
@@ -93,3 +94,12 @@ def test_power_rows_without_samples_or_core_number(spark):
     r = reporting.pkg_avg_freq_mhz(src).first()
     assert (r.nrs, r.number_of_cores, r.duration_ms, r.avg_avg_freq_mhz) == (2, 1, 10.0, 2.0)
     assert src["power_days"].count() == 1 and reporting.pkg_c0(src).count() == 0
+
+
+def test_a_tie_rounds_alike_in_any_order_of_the_sum(spark):
+    shares = [0.02 * 10, 0.04 * 10, 0.09 * 10]
+    sums = [shares[i] + shares[j] + shares[k] for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+    assert len(set(sums)) > 1
+    cases = [*[(s, 2) for s in sums], (0.5, 0), (2.5, 2), (-1.5, -2), (1.4999, 1), (None, None)]
+    out = spark.createDataFrame(cases, "v double, expected int").select(half_even_int("v").alias("i"), "expected")
+    assert [r.i for r in out.collect()] == [e for _, e in cases]

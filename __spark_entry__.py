@@ -265,13 +265,13 @@ def _csv_folder(spark: SparkSession, folder: str, malformed: bool) -> str:
         "l_orderkey", "l_linenumber", text.alias("l_quantity"), "l_returnflag"
     )
     place = work_folder(spark, "csv")
-    write_csv(rows, place, 3)
+    write_csv(rows, place)
     return place
 
 
 def _typed_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Types inferred from the text, rows of the few files spread before the aggregation."""
-    rows = read_csv(spark, _csv_folder(spark, folder, False), spread=16)
+    """Types inferred from the text, rows of the files spread by size before the aggregation."""
+    rows = read_csv(spark, _csv_folder(spark, folder, False)).hint("rebalance")
     return rows.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"),
         F.max(F.lit(dict(rows.dtypes)["l_quantity"])).alias("kind"),

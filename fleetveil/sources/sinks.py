@@ -117,10 +117,14 @@ def export_results(
     return run_report(spark, {n: (lambda n=n: job(n)) for n in results})
 
 
-def write_csv(df: DataFrame, folder: str, files: int) -> int:
-    """A folder of gzip CSV files with a header each; returns the number of rows."""
+def write_csv(df: DataFrame, folder: str, files: int | None = None) -> int:
+    """A folder of gzip CSV files with a header each; returns the number of rows.
+
+    One task writes a file and one reads it. Without ``files`` their number follows the size of
+    the rows: AQE cuts them into parts of its advisory size.
+    """
     return counted_write(
-        df.repartition(files),
+        df.hint("rebalance") if files is None else df.repartition(files),
         lambda frame: frame.write.mode("overwrite").csv(folder, header=True, compression="gzip"),
     )
 

@@ -241,3 +241,20 @@ def test_unusual_core_column_name(tables):
     renamed = {**{n: tables[n] for n in ("system_network_consumption",)},
                "sysinfo": tables["sysinfo"].withColumnRenamed("ofcores", "#ofcores")}
     assert "number_of_cores" in analytics.server_like_devices(renamed, cores="#ofcores").columns
+
+
+def test_csv_files_follow_the_size_of_the_rows(spark, tmp_path):
+    rows = spark.range(400_000).selectExpr("id", "uuid() AS text").cache()
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    files = {}
+    try:
+        spark.conf.set(key, "1m")
+        for name, some in (("few", rows.where("id < 4000")), ("many", rows)):
+            assert sinks.write_csv(some, str(tmp_path / name)) == some.count()
+            files[name] = len(list((tmp_path / name).glob("*.csv.gz")))
+    finally:
+        spark.conf.set(key, before)
+        rows.unpersist()
+    assert files["few"] == 1 and files["many"] >= 4
+    assert readers.read_csv(spark, str(tmp_path / "many")).count() == 400_000

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from fleetveil.llm import line_dedup, ngram_join
@@ -255,6 +256,50 @@ def test_blocks_grow_with_the_number_of_lines():
         assert len(line_dedup.block_sets(agree)) == math.comb(agree + 5, agree)
 
 
+def test_groups_do_not_depend_on_the_number_of_lines(spark, monkeypatch):
+    """The blocks that must agree are the same for a few lines and for very many."""
+    asked = []
+    keys = line_dedup._keys
+    monkeypatch.setattr(line_dedup, "_keys", lambda lines, agree, sets: asked.append(agree) or keys(lines, agree, sets))
+    monkeypatch.setattr(line_dedup, "agreeing_blocks", lambda lines: 4)
+    docs = spark.createDataFrame([(0, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k x")], "doc_id long, text string")
+    line_dedup.dedup_lines(docs).collect()
+    assert set(asked) == {2}
+
+
+def test_parities_lose_no_pair_within_the_edit_limit(spark):
+    rng = random.Random(9)
+    texts = []
+    for n in (10, 19, 40, 130, 400):
+        line = [f"w{rng.randrange(3 * n)}" for _ in range(n)]
+        for _ in range(20):
+            near = list(line)
+            for _ in range(n // 10):
+                k, kind = rng.randrange(len(near)), rng.randrange(3)
+                if kind == 0:
+                    near[k] = f"v{rng.randrange(999)}"
+                elif kind == 1 and len(near) > 9:
+                    del near[k]
+                else:
+                    near.insert(k, f"v{rng.randrange(999)}")
+            texts += [" ".join(near), " ".join(rng.choices(line, k=n))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = line_dedup.line_rows(docs)
+    # SimHashes set alike, so that lengths and parities alone decide.
+    found = rows.join(line_dedup.simhashes(rows), ["row", "pos"]).select(
+        "doc_id", "words", *[F.lit(0).cast("long").alias(c) for c in "hg"], "p", "q"
+    ).checkpoint()
+    x, y = found.alias("x"), found.alias("y")
+    both = x.join(y, F.col("x.doc_id") < F.col("y.doc_id")).where(line_dedup._close("x.", "y."))
+    close = {(a, b) for a, b in both.select("x.doc_id", "y.doc_id").collect()}
+    words = [t.split(" ") for t in texts]
+    near = {
+        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
+        if i // 40 == j // 40 and distance(words[i], words[j]) * 10 <= max(len(words[i]), len(words[j]))
+    }
+    assert len(near) > 50 and near <= close and len(close) < 20 * 40 * 5
+
+
 def left_over(text, gone):
     return "\n".join(line for k, line in enumerate((text or "").split("\n")) if k not in gone)
 

@@ -38,6 +38,7 @@ from fleetveil.plans.reporting import (
     METRIC_PLATFORM_POWER,
     METRIC_TEMPERATURE,
 )
+from fleetveil.session import stage
 
 Tables = Mapping[str, DataFrame]
 
@@ -281,7 +282,8 @@ def users_by_power(t: Tables) -> DataFrame:
     totals = t["system_mods_power_consumption"].groupBy("user_id").agg(
         F.sum("total_power_consumption").alias("total_power_consumption")
     )
-    return full_rank(totals, "total_power_consumption", "rnk")
+    # Ranks and rows both read the sums: one pass over the power table.
+    return full_rank(stage(totals), "total_power_consumption", "rnk")
 
 
 def _network_per_device(t: Tables) -> DataFrame:

@@ -34,7 +34,7 @@ from fleetveil.plans.registry import (
     published_sensitivity_limits,
     release_registry,
 )
-from fleetveil.plans.release_queries import browser_counts, run_release_query
+from fleetveil.plans.release_queries import browser_counts, run_cell_query
 from fleetveil.session import stage
 from fleetveil.sources.sinks import noisy_only, write_release
 
@@ -82,7 +82,7 @@ def exact_cells(
     """The cells of all (or some) release queries; the true rank of query 12 is not
     among them, it is recomputed from noisy values."""
     wanted = [n for n in (numbers or registry) if registry[n].columns]
-    parts = [result_cells(run_release_query(n, tables, limits), registry[n]) for n in wanted]
+    parts = [result_cells(run_cell_query(n, tables, limits), registry[n]) for n in wanted]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetveil.operators.units import bound_groups_per_unit, mean_of_enough
+from fleetveil.plans.analytics import run_query
 from fleetveil.plans.registry import MANY_GROUPS, Limits, published_sensitivity_limits, release_registry
+from fleetveil.plans.release import exact_cells
 from fleetveil.plans.release_queries import run_release_query
 from fleetveil.plans.reporting import reporting_tables
 from oracles.texts import DEMO_LIMITS
@@ -65,6 +67,26 @@ def test_the_bound_is_met_and_fixed(spark):
     assert sorted(kept.where("guid <> 6").collect()) == sorted(fewer.collect())
 
 
+def test_the_hashes_of_groups_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(u, g) for u in range(40) for g in range(u % 7 + 1)], "guid int, g int")
+    kept = bound_groups_per_unit(rows, "guid", ["g"], 3)
+    plan = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    hashes = [i for i, line in enumerate(plan) if "md5(" in line]
+    # A plan is printed from its end.
+    assert len(shuffles) == 1 and hashes and max(hashes) < shuffles[0]
+
+
+def test_power_of_users_is_read_once(tables):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    cells = plan(exact_cells(tables, release_registry(LIMITS), LIMITS, [12]))
+    assert cells.count("lineitem.parquet") == 1 and "ExistingRDD" not in cells
+    for ranked in (run_release_query(12, tables, LIMITS), run_query(12, tables)):
+        assert "lineitem.parquet" not in plan(ranked)
+
+
 def test_a_mean_needs_enough_devices_with_a_value(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", 1.0), ("b", None)], "g string, x double")
     got = dict(rows.groupBy("g").agg(mean_of_enough("x", 2)).collect())

@@ -336,6 +336,33 @@ def test_a_frequent_line_with_many_variants(spark, monkeypatch, hot):
         assert r.text == left_over(texts[r.doc_id], gone[r.doc_id])
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_first_round_shuffles_crowded_keys_only(spark, monkeypatch, most):
+    """Keys few lines share are left to the second round; with very many crowded ones, lots are small."""
+    seen = []
+    pivots = line_dedup._pivot_pairs
+    monkeypatch.setattr(line_dedup, "_pivot_pairs", lambda rows: seen.append(rows.count()) or pivots(rows))
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", most - 1)
+    rng = random.Random(11)
+    texts = {i: " ".join(f"w{rng.randrange(5000)}" for _ in range(20)) for i in range(300)}
+    texts |= {i: " ".join([*texts[i - 300].split(" ")[:19], f"x{i}"]) for i in range(300, 330)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    gone = plain_lines(texts)
+    for r in line_dedup.dedup_lines(docs).collect():
+        assert set(r["__dropped"] or ()) == gone[r.doc_id]
+    assert sum(map(len, gone.values())) >= 20
+    # Each line has a key or two for each set of blocks.
+    assert max(seen) <= (0 if most else 2 * line_dedup.PIVOTS_AT_ONCE * len(texts))
+
+
+@pytest.mark.parametrize("line", ["a\tb c  d e f", " \t a b\x0b\x0cc d e", "a b c d e\r", "a b c d", "", "  ", "ä  ö ü\x0cß é"])
+def test_words_of_lines_with_and_without_gaps(spark, line):
+    rows = line_dedup.line_rows(spark.createDataFrame([(1, line)], "doc_id long, text string")).collect()
+    words = re.findall("[^\x20\x09-\x0d]+", line.lower())
+    want = [(len(words), " ".join(words))] if len(words) >= 5 else []
+    assert [(r.words, r.norm) for r in rows] == want
+
+
 def test_lines_of_odd_rows(odd, empty):
     done = line_dedup.dedup_lines(odd)
     rows = done.collect()

@@ -322,3 +322,9 @@ def test_dedup_of_odd_rows(odd, empty):
     nulls = [r for r in rows if r.doc_id in (1, 2)]
     assert all((r.keep_id, r.group_size) == (1, 3) for r in nulls)
     assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_texts_are_measured_once_for_what_the_rules_keep(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = quality_rules.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -300,6 +300,26 @@ def test_parities_lose_no_pair_within_the_edit_limit(spark):
     assert len(near) > 50 and near <= close and len(close) < 20 * 40 * 5
 
 
+def test_blocks_of_words_lose_no_pair_and_meet_few_others(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (10, 19, 25, 60, 110):
+        for _ in range(20):
+            line = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            near = list(line)
+            for k in rng.sample(range(n), n // 10):
+                near[k] = f"v{rng.randrange(999)}"
+            texts += [" ".join(line), " ".join(near)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = line_dedup.line_rows(docs).checkpoint()
+    lines = line_dedup.distinct_lines(rows).checkpoint()
+    ids = {r.line: r.first.doc_id for r in lines.collect()}
+    lots, poor = line_dedup.retrieved(lines, rows)
+    found = {frozenset((ids[r.a], ids[r.b])) for lot in lots for r in lot.collect()}
+    assert {frozenset((i, i + 1)) for i in range(0, len(texts), 2)} <= found
+    assert len(found) < 2 * len(texts) and poor.count() == 0
+
+
 def left_over(text, gone):
     return "\n".join(line for k, line in enumerate((text or "").split("\n")) if k not in gone)
 

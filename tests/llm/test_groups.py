@@ -320,6 +320,44 @@ def test_blocks_of_words_lose_no_pair_and_meet_few_others(spark):
     assert len(found) < 2 * len(texts) and poor.count() == 0
 
 
+def test_long_lines_meet_by_blocks_of_words(spark, monkeypatch):
+    """No line is left to the keys of whole lines for its length, and few unrelated ones are paired."""
+    monkeypatch.setattr(line_dedup, "WORD_KEYS_AT_ONCE", 3000)  # several lots
+    rng = random.Random(8)
+    texts = []
+    for n in (150, 210, 300, 700):
+        for _ in range(12):
+            line = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            near = list(line)
+            for k in sorted(rng.sample(range(n), n // 10), reverse=True):
+                kind = rng.randrange(3)
+                near[k : k + 1] = [[f"v{rng.randrange(999)}"], [], [near[k], f"v{rng.randrange(999)}"]][kind]
+            texts += [" ".join(line), " ".join(near)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.distinct_lines(line_dedup.line_rows(docs).checkpoint()).checkpoint()
+    ids = {r.line: r.first.doc_id for r in lines.collect()}
+    lots, poor = line_dedup.retrieved(lines)
+    found = {frozenset((ids[r.a], ids[r.b])) for lot in lots for r in lot.collect()}
+    words = [t.split(" ") for t in texts]
+    near = {
+        frozenset((i, i + 1)) for i in range(0, len(texts), 2)
+        if distance(words[i], words[i + 1]) * 10 <= max(len(words[i]), len(words[i + 1]))
+    }
+    assert len(near) > 20 and near <= found and len(found) < 3 * len(texts)
+    assert len(lots) > 1 and poor.count() == 0
+
+
+def test_words_that_cancel_leave_a_line_to_the_keys_of_whole_lines(spark):
+    """Blocks are exclusive ors: a word twice looks like none, so such lines are told as poor."""
+    texts = ["same " * 19 + "same", "same " * 20 + "same", "a b c d e f g h i j k l m n o p q r s t"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.distinct_lines(line_dedup.line_rows(docs).checkpoint()).checkpoint()
+    ids = {r.line: r.first.doc_id for r in lines.collect()}
+    _, poor = line_dedup.retrieved(lines)
+    assert {ids[r.line] for r in poor.collect()} >= {0, 1}
+    assert [r["__dropped"] for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [None, [0], None]
+
+
 def left_over(text, gone):
     return "\n".join(line for k, line in enumerate((text or "").split("\n")) if k not in gone)
 
